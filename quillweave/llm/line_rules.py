@@ -11,19 +11,16 @@ are read, so further columns may have any name.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import SPACE, WORD, table
+from quillweave.llm.common import SPACE, table
 
-#: Fixed values of the contract: the characters that count as symbols.
-SYMBOLS = "[#*$%&|<>]"
-#: Phrases of page furniture, matched without case.
-BOILERPLATE = (
-    "all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept cookies|enable javascript"
-    "|skip to content|click here to|lorem ipsum|page not found"
-)
+#: Phrases of page furniture, looked for in the lower-cased line.
+BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "skip to content", "click here to", "lorem ipsum", "page not found")
 
 
 @dataclass(frozen=True)
@@ -34,101 +31,90 @@ class LineRules:
     shout_share: float = 0.6  # punctuation: words that end in !! beyond this
     bars: int = 2  # navigation: separate bars in a line
     bar_share: float = 0.15  # navigation: bars among the words
-    same_next_share: float = 0.5  # boilerplate: words equal to the word before
+    distinct_share: float = 0.5  # boilerplate: fewer distinct words than this
     lost_share: float = 0.5  # document: word characters in removed lines beyond this
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
-
-
-def _chars(text: Column) -> Column:
-    """Code points in words."""
-    return F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))
+def _let(value: Column, f) -> Column:
+    """f of value, which is evaluated once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _symbols(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))
 
 
+def split_words(text: Column) -> Column:
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+
+
 def repeated_words(words: Column) -> Column:
-    """How many words lie in three-word windows that occur twice or more; words must be a column, as it is read often.
+    """How many words lie in three-word windows that occur twice or more.
 
     Windows are sorted by hash with their place, equal neighbours give the places of repeated windows, and the places,
     sorted again, give the covered words: n log n in the words of a text, within its row.
     """
-    n = F.size(words)
-    at = lambda i: F.element_at(words, i)
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(at(i), at(i + 1), at(i + 2)).alias("h"), i.alias("i")))
 
     def covered(w: Column) -> Column:
-        size = F.size(w)
         h = lambda k: F.get(w, k)["h"]
-        starts = F.array_sort(F.transform(F.filter(w, lambda x, k: F.coalesce((h(k - 1) == x["h"]), F.lit(False)) | F.coalesce(h(k + 1) == x["h"], F.lit(False))), lambda x: x["i"]))
-        return F.when(size < 2, F.lit(0)).otherwise(_spread(starts))
-
-    hashes = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
-    bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  evaluates value once
-    return (
-        F.when(n < 4, F.lit(0))
-        .when(bound(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h)), F.lit(0))
-        .otherwise(bound(F.sort_array(windows), covered))
-        .cast("long")
-    )
+        same = lambda a, b: F.coalesce(a == b, F.lit(False))
+        return _spread(F.sort_array(F.transform(F.filter(w, lambda x, k: same(h(k - 1), x["h"]) | same(h(k + 1), x["h"])), lambda x: x["i"])))
+
+    def repeated(hashes: Column) -> Column:
+        places = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(places, covered))
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(hashes, repeated)).cast("long")
 
 
 def _spread(starts: Column) -> Column:
-    """Words covered by windows of three that start at these places, sorted."""
-    bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
-    return bound(
+    """Words covered by windows of three that start at these sorted places."""
+    return F.aggregate(
         starts,
-        lambda s: F.aggregate(
-            s,
-            F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
-            lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
-            lambda acc: acc["n"],
-        ),
+        F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
+        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
+        lambda acc: acc["n"],
     )
 
 
-def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
-    """Whether a line with words fails a rule of punctuation, navigation or boilerplate."""
-    count = lambda p: F.regexp_count(line, F.lit(p))
-    n = count(WORD)
-    chars = _chars(line)
-    word = f"(?:^|[{SPACE}])"
-    symbols = _symbols(line) > rules.symbol_share * chars
-    shouts = (count(f"!!(?=[{SPACE}]|$)") > rules.shout_share * n) & (n >= 2)
-    bars = count(f"{word}\\|(?=[{SPACE}]|$)")
-    navigation = (bars >= rules.bars) & (bars > rules.bar_share * n) | (bars >= 1) & (n <= 5)
-    stutter = (count(f"{word}([^{SPACE}]+)(?=[{SPACE}]+\\1(?:[{SPACE}]|$))") > rules.same_next_share * n) & (n >= 4)
-    boilerplate = line.rlike(f"(?i){BOILERPLATE}") & (n <= 20)
-    return symbols | shouts | navigation | stutter | boilerplate
+def line_fails(line: Column, words: Column, chars: Column, symbols: Column, rules: LineRules = LineRules()) -> Column:
+    """Whether a line fails a rule of punctuation, navigation or boilerplate; symbols: of the whole text."""
+    n = F.size(words)
+    marked = (symbols > 0) & (_symbols(line) > rules.symbol_share * chars)
+    shouts = line.contains("!!") & (n >= 2) & (F.size(F.filter(words, lambda w: w.endswith("!!"))) > rules.shout_share * n)
+    bars = lambda k: (k >= rules.bars) & (k > rules.bar_share * n) | (k >= 1) & (n <= 5)
+    navigation = (symbols > 0) & line.contains("|") & _let(F.size(F.filter(words, lambda w: w == "|")), bars)
+    stutter = (n >= 4) & (F.size(F.array_distinct(words)) < rules.distinct_share * n)
+    phrase = lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE])
+    return marked | shouts | navigation | stutter | (n <= 20) & _let(F.lower(line), phrase)
 
 
 def line_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """Per row: counts, base verdict, kept, the cleaned text and the share of word characters that removed lines held."""
-    has_word = lambda x: x.rlike(f"[^{SPACE}]")
+    """Per row: counts, base verdict, kept, the cleaned text and the word characters that removed lines held."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    line = lambda x: _let(split_words(x), lambda w: F.struct(x.alias("line"), w.alias("words"), F.length(F.array_join(w, "")).alias("chars")))
+    df = df.select("doc_id", F.transform(F.split("text", "\n", -1), line).alias("lines"), _symbols(F.col("text")).cast("long").alias("n_symbols"))
+    fails = lambda x: (x["chars"] > 0) & line_fails(x["line"], x["words"], x["chars"], F.col("n_symbols"), rules)
     df = df.select(
         "doc_id",
-        words_of(F.col("text")).alias("words"),
-        F.split("text", "\n", -1).alias("lines"),
-        _chars(F.col("text")).cast("long").alias("word_chars"),
-        _symbols(F.col("text")).cast("long").alias("n_symbols"),
+        F.flatten(F.col("lines.words")).alias("words"),
+        "n_symbols",
+        F.transform(F.filter("lines", lambda x: x["chars"] > 0), lambda x: x["line"]).alias("worded"),
+        F.aggregate(F.col("lines.chars"), F.lit(0).cast("long"), lambda a, x: a + x).alias("word_chars"),
+        F.filter("lines", lambda x: ~fails(x)).alias("good"),
     )
-    good = F.filter("lines", lambda x: ~has_word(x) | ~line_fails(x, rules))
     df = df.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
-        F.transform(F.array(F.filter("lines", has_word)), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
+        (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.array_join(good, "\n").alias("clean_text"),
+        F.array_join(F.col("good.line"), "\n").alias("clean_text"),
+        (F.col("word_chars") - F.aggregate(F.col("good.chars"), F.lit(0).cast("long"), lambda a, x: a + x)).alias("lost_chars"),
     )
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = df.withColumns({"base_failed": base, "lost_chars": F.col("word_chars") - _chars(F.col("clean_text"))})
+    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= rules.lost_share * F.col("word_chars")))
 
 
