@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quillweave.llm import line_rules
+from quillweave.llm import line_rules, mixing, url_cascade
 
 QUERIES = {
+    "op6_url_cascade": url_cascade.op6_url_cascade,
     "op8_line_rules": line_rules.op8_line_rules,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_cascade": url_cascade.ORACLE,
+}
