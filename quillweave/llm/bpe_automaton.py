@@ -148,7 +148,7 @@ class Codec:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Regex, pre_tokenizers
+        from tokenizers import Regex, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -160,7 +160,8 @@ class Codec:
         self.labels |= {i: t for t, i in self.special.items()}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split).findall
-        # beyond Latin letters, the tokenizer's own tables say what a letter is
+        # beyond Latin letters, the library's own tables say what a letter is
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         self.other_words = pre_tokenizers.Split(Regex(split), "removed", invert=True).pre_tokenize_str
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -181,11 +182,14 @@ class Codec:
         return text.split()
 
     def _part(self, part: str) -> list[int]:
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part)
-        part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()  # letter by letter, so no final sigma
+        if part.isascii():
+            words = self.words(part.lower())
+        elif max(part) < "\u0250":
+            words = self.words(unicodedata.normalize("NFC", part).lower())
+        else:
+            words = [w for w, _ in self.other_words(self.normal(part))]
         out = []
-        for w in self.words(part) if part.isascii() or max(part) < "\u0250" else [w for w, _ in self.other_words(part)]:
+        for w in words:
             if (ids := self.known.get(w)) is None:
                 self.known[w] = ids = self.automaton.encode(w.encode().decode("latin-1").translate(self.letters))
             out += ids
