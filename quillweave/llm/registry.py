@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillweave.llm import bpe_automaton, line_rules, mixing, token_files, url_cascade
+from quillweave.llm import bpe_automaton, line_crf, line_rules, mixing, token_files, url_cascade
 
 QUERIES = {
+    "op3_line_crf": line_crf.op3_line_crf,
     "op4_token_files": token_files.op4_token_files,
     "op5_bpe_automaton": bpe_automaton.op5_bpe_automaton,
     "op6_url_cascade": url_cascade.op6_url_cascade,
