@@ -57,7 +57,7 @@ def put_bytes(uri: str, parts, attempt: str) -> int:
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     n = 0
-    with fs.open_output_stream(f"{path}.{attempt}.part") as out:
+    with fs.open_output_stream(f"{path}.{attempt}.part", compression=None) as out:
         for x in parts:
             out.write(x)
             n += len(x)
@@ -69,5 +69,5 @@ def put_bytes(uri: str, parts, attempt: str) -> int:
 
 def get_bytes(uri: str) -> bytes:
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()

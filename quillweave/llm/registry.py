@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillweave.llm import bpe_automaton, line_crf, line_rules, mixing, token_files, url_cascade
+from quillweave.llm import bpe_automaton, line_crf, line_rules, mixing, token_files, url_cascade, warc
 
 QUERIES = {
     "op3_line_crf": line_crf.op3_line_crf,
     "op4_token_files": token_files.op4_token_files,
     "op5_bpe_automaton": bpe_automaton.op5_bpe_automaton,
     "op6_url_cascade": url_cascade.op6_url_cascade,
+    "op7_warc": warc.op7_warc,
     "op8_line_rules": line_rules.op8_line_rules,
     "op10_mixing": mixing.op10_mixing,
 }
