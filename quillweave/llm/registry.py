@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillweave.llm import bpe_automaton, line_crf, line_rules, mixing, token_files, url_cascade, warc
+from quillweave.llm import bpe_automaton, line_crf, line_rules, mixing, sentence_spans, token_files, url_cascade, warc
 
 QUERIES = {
+    "op2_sentence_spans": sentence_spans.op2_sentence_spans,
     "op3_line_crf": line_crf.op3_line_crf,
     "op4_token_files": token_files.op4_token_files,
     "op5_bpe_automaton": bpe_automaton.op5_bpe_automaton,
