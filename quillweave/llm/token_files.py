@@ -34,8 +34,21 @@ END_ID = 2
 #: Special tokens and white space as the tokenizer's pattern knows it (unlike Python's \\s, without U+001C to U+001F).
 BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+#: Latin letters up to U+024F. Where all characters of a text lie below U+0250, units end at the last letter as well,
+#: and an apostrophe between letters stays inside, as the pattern may tie it to what follows.
+LATIN = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+FINE = re.compile(f"[{BLANK}]*[{LATIN}]+(?:'[{LATIN}]+)*|[{BLANK}]*[^{BLANK}{LATIN}]+|[{BLANK}]+")
+LOOSE = re.compile(f"(?<![{LATIN}])'[{LATIN}]")
 #: Units that a worker keeps with their ids before it starts anew.
-STORE_UNITS = 600_000
+STORE_UNITS = 1_000_000
+
+
+def units(text: str) -> list[str]:
+    """Pieces that the tokenizer treats by themselves; an apostrophe that may start a piece calls for the coarser ones."""
+    low = len(text.encode("latin-1", "ignore")) == len(text) or max(text) < "\u0250"
+    if low and not ("'" in text and LOOSE.search(text)):
+        return FINE.findall(text)
+    return UNIT.findall(text)
 
 
 class EliasFano:
@@ -110,7 +123,7 @@ class UnitEncoder:
         return cls._all[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [UNIT.findall(t) for t in texts]
+        cut = [units(t) for t in texts]
         ids = self.ids
         new = list(set().union(*cut).difference(ids))
         if len(ids) + len(new) > STORE_UNITS:
