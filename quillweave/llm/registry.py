@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillweave.llm import bpe_automaton, line_crf, line_rules, mixing, sentence_spans, token_files, url_cascade, warc
+from quillweave.llm import bpe_automaton, chosen_path, line_crf, line_rules, mixing, sentence_spans, token_files, url_cascade, warc
 
 QUERIES = {
     "op2_sentence_spans": sentence_spans.op2_sentence_spans,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_url_cascade": url_cascade.op6_url_cascade,
     "op7_warc": warc.op7_warc,
     "op8_line_rules": line_rules.op8_line_rules,
+    "op9_chosen_path": chosen_path.op9_chosen_path,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_url_cascade": url_cascade.ORACLE,
+    "op9_chosen_path": chosen_path.ORACLE,
 }
