@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillweave.llm import bpe_automaton, chosen_path, line_crf, line_rules, mixing, sentence_spans, token_files, url_cascade, warc
+from quillweave.llm import bpe_automaton, chosen_path, line_crf, line_rules, mixing, multi_index, sentence_spans, token_files, url_cascade, warc
 
 QUERIES = {
+    "op1_multi_index": multi_index.op1_multi_index,
     "op2_sentence_spans": sentence_spans.op2_sentence_spans,
     "op3_line_crf": line_crf.op3_line_crf,
     "op4_token_files": token_files.op4_token_files,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_multi_index": multi_index.ORACLE,
     "op6_url_cascade": url_cascade.ORACLE,
     "op9_chosen_path": chosen_path.ORACLE,
 }
