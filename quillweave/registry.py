@@ -1,6 +1,230 @@
-"""Queries of the sequence operators, and SQL for those that SQL can express."""
+"""Queries of the sequence operators, and SQL for those that SQL can express.
+
+Sequences are derived from whole tables: the distinct part names where all pairs are scored against SQL, whole
+benchmark texts where the batched kernel is to show its speed, and all documents where one pass is enough.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillweave.functions.matrices import AMINO, BLOSUM_NAMES, NUCLEOTIDE, NUCLEOTIDE_NAMES, PAM_NAMES, STRIDE, get_matrix, list_matrices, matrix_rows
+from quillweave.operators.matrix import dense_matrix, long_matrix
+from quillweave.operators.pairs import all_pairs
+from quillweave.operators.score import score_all, score_pairs
+from quillweave.operators.sequences import derive, encoded, from_dataframe, letters, report, renumber, stats, strip_blanks, upper_ascii
+from quillweave.operators.similarity_filter import edges, greedy_filter, positional_identity
+from quillweave.plans.config import ScoringConfig
+from quillweave.plans.store import saved, shared_folder
+from quillweave.sources.readers import read_sequences
+
+ALPHABETS = {"protein": AMINO, "dna": NUCLEOTIDE}
+CONFIGS = {
+    ("nw", "protein"): ScoringConfig("nw", "blosum62", gap=4),
+    ("nw", "dna"): ScoringConfig("nw", "dnafull", gap=5),
+    ("ga", "protein"): ScoringConfig("ga", "pam250", gap_open=12, gap_extend=2),
+    ("ga", "dna"): ScoringConfig("ga", "nuc44", gap_open=10, gap_extend=1),
+    ("sw", "protein"): ScoringConfig("sw", "blosum62", gap_open=10, gap_extend=1),
+    ("sw", "dna"): ScoringConfig("sw", "dnafull", gap_open=10, gap_extend=1),
+}
+EQUAL_GAPS = ScoringConfig("ga", "blosum62", gap_open=4, gap_extend=4)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def part_seqs(spark: SparkSession, sf_dir: str, kind: str = "protein") -> DataFrame:
+    """The distinct part names as sequences, in order of their letters."""
+    seqs = _table(spark, sf_dir, "part").select(derive(F.col("p_name"), ALPHABETS[kind]).alias("seq")).where("seq <> ''").distinct()
+    return saved(renumber(seqs.withColumn("of", F.col("seq")), "of"), "part-seqs")
+
+
+def benchmark_seqs(spark: SparkSession, sf_dir: str, kind: str = "protein") -> DataFrame:
+    texts = _table(spark, sf_dir, "benchmark").select("item_id", derive(F.col("text"), ALPHABETS[kind]).alias("seq")).where("seq <> ''")
+    return from_dataframe(texts, "seq", "item_id", ALPHABETS[kind])
+
+
+def _derive(kind: str):
+    return lambda spark, d: _table(spark, d, "documents").select("doc_id", derive(F.col("text"), ALPHABETS[kind]).alias("seq"))
+
+
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats(_derive("protein")(spark, d).where("seq <> ''"))
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    seqs = _table(spark, d, "documents").select("doc_id", strip_blanks(upper_ascii(F.col("text"))).alias("seq"))
+    return report(seqs, AMINO).select("doc_id", "fault")
+
+
+def _scored(method: str, kind: str, table=part_seqs):
+    return lambda spark, d: score_all(table(spark, d, kind), CONFIGS[method, kind])
+
+
+def _sql_backend(method: str):
+    return lambda spark, d: score_pairs(all_pairs(part_seqs(spark, d)).repartition(spark.sparkContext.defaultParallelism), CONFIGS[method, "protein"], "sql").select("i", "j", "score")
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    seqs = part_seqs(spark, d)
+    return long_matrix(score_all(seqs, CONFIGS["nw", "protein"]), seqs)
+
+
+def _dense(spark: SparkSession, d: str) -> DataFrame:
+    seqs = part_seqs(spark, d)
+    return dense_matrix(score_all(seqs, CONFIGS["nw", "protein"]), seqs).select("ord", F.array_join("scores", " ").alias("scores"))
+
+
+def _filtered(spark: SparkSession, d: str) -> DataFrame:
+    return score_all(saved(greedy_filter(part_seqs(spark, d), 0.5), "filtered"), CONFIGS["nw", "protein"])
+
+
+def _fasta(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.fasta"
+    seqs = part_seqs(spark, d)
+    lines = F.concat(F.lit(">part "), F.col("ord"), F.lit("\n"), F.regexp_replace("seq", "(.{5})", "$1\n"))
+    seqs.coalesce(1).sortWithinPartitions("ord").select(lines).write.text(path)
+    return read_sequences(spark, path, AMINO)
+
+
+def _dsv(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.psv"
+    seqs = part_seqs(spark, d)
+    head = spark.createDataFrame([(-1, "name|Protein|note")], "ord int, line string")
+    lines = seqs.select("ord", F.concat(F.lit('"part|'), F.col("ord"), F.lit('"|"'), F.lower("seq"), F.lit('"|x')).alias("line"))
+    head.union(lines).coalesce(1).sortWithinPartitions("ord").select("line").write.text(path)
+    return read_sequences(spark, path, AMINO)
+
+
+QUERIES = {
+    "q_list_matrices": lambda spark, d: list_matrices(spark),
+    "q_matrix_scores": lambda spark, d: matrix_rows(spark, "blosum62"),
+    "q_derive_protein": _derive("protein"),
+    "q_derive_dna": _derive("dna"),
+    "q_encode": lambda spark, d: encoded(part_seqs(spark, d), AMINO),
+    "q_length_stats": _stats,
+    "q_validate_report": _report,
+    "q_pairs": lambda spark, d: all_pairs(part_seqs(spark, d)).select("i", "j"),
+    "q_pair_index": lambda spark, d: all_pairs(part_seqs(spark, d)).select("pair_id", "i", "j"),
+    "q_identity": lambda spark, d: all_pairs(part_seqs(spark, d)).select("i", "j", positional_identity(F.col("seq_i"), F.col("seq_j")).alias("identity")),
+    "q_filter_edges_05": lambda spark, d: edges(part_seqs(spark, d), 0.5),
+    "q_filter_greedy_09": lambda spark, d: greedy_filter(part_seqs(spark, d), 0.9),
+    "q_filter_greedy_05": lambda spark, d: greedy_filter(part_seqs(spark, d), 0.5),
+    "q_filter_benchmark": lambda spark, d: greedy_filter(benchmark_seqs(spark, d), 0.1),
+    **{f"q_{m}_{k}": _scored(m, k) for m, k in CONFIGS},
+    **{f"q_{m}_benchmark": _scored(m, "protein", benchmark_seqs) for m in ("nw", "ga", "sw")},
+    "q_ga_equal_gap_rewrite": lambda spark, d: score_all(part_seqs(spark, d), EQUAL_GAPS),
+    **{f"q_{m}_sql_backend": _sql_backend(m) for m in ("nw", "ga", "sw")},
+    "q_matrix_long": _long,
+    "q_matrix_dense": _dense,
+    "q_filtered_nw": _filtered,
+    "q_fasta_roundtrip": _fasta,
+    "q_dsv_roundtrip": _dsv,
+}
+
+
+# SQL for DuckDB
+
+
+def _derived(column: str, kind: str) -> str:
+    return f"upper(regexp_replace({column}, '[^{letters(ALPHABETS[kind])}]', '', 'g'))"
+
+
+def _seqs(kind: str = "protein") -> str:
+    return f"""d as (select distinct {_derived("p_name", kind)} as seq from part),
+s as (select cast(row_number() over (order by seq) - 1 as integer) as ord, seq from d where seq <> '')"""
+
+
+_IDENTITY = "cast(len(list_filter(range(1, least(length(a.seq), length(b.seq)) + 1), lambda k: a.seq[k] = b.seq[k])) / cast(least(length(a.seq), length(b.seq)) as double) as float)"
+_PAIRS = "from s a join s b on a.ord < b.ord"
+
+
+def _codes(kind: str) -> str:
+    return f"c as (select ord, list_transform(string_split(seq, ''), lambda x: strpos('{ALPHABETS[kind]}', x) - 1) as v from s)"
+
+
+def _flat(matrix: str) -> str:
+    return f"f as (select [{', '.join(str(int(x)) for x in get_matrix(matrix).scores.ravel())}] as f)"
+
+
+def _linear(matrix: str, gap: int, kind: str, seqs: str | None = None) -> str:
+    """Common tables up to w (i, j, score)."""
+    cell = f"greatest(up[x[1]] + f[r[y[1]] * {STRIDE} + k[x[1]] + 1], up[x[1] + 1] - {gap}, w[x[1]] - {gap})"
+    row = f"list_reduce(list_transform(range(1, len(k) + 1), lambda x: [x]), lambda w, x: list_append(w, {cell}), [-{gap} * y[1]])"
+    table = f"list_reduce(list_transform(range(1, len(r) + 1), lambda y: [y]), lambda up, y: {row}, list_transform(range(0, len(k) + 1), lambda x: -{gap} * x))"
+    return f"""{seqs or _seqs(kind)}, {_codes(kind)}, {_flat(matrix)},
+p as (select a.ord as i, b.ord as j, a.v as r, b.v as k from c a join c b on a.ord < b.ord),
+w as (select i, j, cast(({table})[-1] as integer) as score from p, f)"""
+
+
+def _affine(matrix: str, o: int, e: int, kind: str, local: bool) -> str:
+    e = min(o, e)  # as penalties: opening again may be cheaper than extending
+    low = -(2**30)
+    diagonal = f"q.h[x.x] + f[q.r[q.y] * {STRIDE} + q.k[x.x] + 1]"
+    gx, g = f"greatest(w.h[-1] - {o}, w.gx - {e})", f"greatest(q.h[x.x + 1] - {o}, q.g[x.x + 1] - {e})"
+    h = f"greatest({'0, ' if local else ''}{diagonal}, {gx}, {g})"
+    edge = "0" if local else f"-{o} - (q.y - 1) * {e}"
+    top = "0" if local else f"case when x = 0 then 0 else -{o} - (x - 1) * {e} end"
+    kind_ = "struct(x bigint, h bigint[], g bigint[], gx bigint)"
+    step = f"""list_reduce(list_transform(range(1, len(q.k) + 1), lambda x: cast({{'x': x, 'h': [0], 'g': [0], 'gx': 0}} as {kind_})),
+    lambda w, x: cast({{'x': x.x, 'h': list_append(w.h, {h}), 'g': list_append(w.g, {g}), 'gx': {gx}}} as {kind_}),
+    cast({{'x': 0, 'h': [{edge}], 'g': [{low}], 'gx': {low}}} as {kind_}))"""
+    done = "max(best)" if local else "max(h[-1]) filter (y > len(r))"
+    return f"""{_seqs(kind)}, {_codes(kind)}, {_flat(matrix)},
+t(i, j, r, k, y, h, g, best) as (
+  select a.ord, b.ord, a.v, b.v, 1, list_transform(range(0, len(b.v) + 1), lambda x: cast({top} as bigint)),
+    list_transform(range(0, len(b.v) + 1), lambda x: cast({low} as bigint)), cast(0 as bigint) from c a join c b on a.ord < b.ord
+  union all
+  select i, j, r, k, y + 1, n.h, n.g, greatest(best, list_max(n.h)) from (select q.*, {step} as n from t q, f where q.y <= len(q.r))),
+w as (select i, j, cast({done} as integer) as score from t group by i, j)"""
+
+
+def _scores_sql(method: str, kind: str) -> str:
+    cfg = CONFIGS[method, kind]
+    if method == "nw":
+        return f"with {_linear(cfg.matrix, cfg.gap, kind)} select i, j, score from w"
+    return f"with recursive {_affine(cfg.matrix, cfg.gap_open, cfg.gap_extend, kind, method == 'sw')} select i, j, score from w"
+
+
+def _greedy(threshold: float) -> str:
+    """Common tables up to z (ord, seq): the sequences that stay, numbered anew."""
+    return f"""{_seqs()},
+e as (select a.ord as i, b.ord as j {_PAIRS} where {_IDENTITY} >= cast({threshold} as float)),
+n as (select s.ord as j, list(e.i) filter (e.i is not null) as n from s left join e on e.j = s.ord group by s.ord),
+l as (select list({{'j': [j], 'n': coalesce(n, cast([] as integer[]))}} order by j) as l from n),
+k as (select unnest(list_reduce(l, lambda acc, x: case when list_has_any(acc.j, x.n) then acc else {{'j': list_append(acc.j, x.j[1]), 'n': x.n}} end, {{'j': cast([] as integer[]), 'n': cast([] as integer[])}}).j) as j from l),
+z as (select cast(row_number() over (order by s.ord) - 1 as integer) as ord, s.seq from s join k on k.j = s.ord)"""
+
+
+_NORMAL = "regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[\\r\\n ]', '', 'g')"
+_W = _linear("blosum62", 4, "protein")
+_LONG = "select i, j, score from w union all select j, i, score from w union all select ord, ord, 0 from s"
+
+ORACLE_SQL: dict[str, str] = {
+    "q_list_matrices": "select * from (values "
+    + ", ".join([f"('{n}', 'amino')" for n in [*BLOSUM_NAMES, *PAM_NAMES]] + [f"('{n}', 'nucleotide')" for n in NUCLEOTIDE_NAMES])
+    + ") t(name, kind)",
+    "q_derive_protein": f"select doc_id, {_derived('text', 'protein')} as seq from documents",
+    "q_derive_dna": f"select doc_id, {_derived('text', 'dna')} as seq from documents",
+    "q_encode": f"with {_seqs()}, u as (select ord, seq, unnest(range(1, length(seq) + 1)) as k from s) select ord, cast(k as integer) as pos, cast(strpos('{AMINO}', seq[k]) - 1 as integer) as code from u",
+    "q_length_stats": f"with q as (select length({_derived('text', 'protein')}) as n from documents) select count(*) as num, cast(max(n) as integer) as max_len, cast(sum(n + 1) as bigint) as total, cast(avg(n) as float) as mean_len from q where n > 0",
+    "q_validate_report": f"with q as (select doc_id, {_NORMAL} as seq from documents) select doc_id, case when seq is null or seq = '' then 'empty' when regexp_matches(seq, '[^\\x01-\\x7f]') then 'corrupted' when regexp_matches(seq, '[^{AMINO}]') then 'invalid' end as fault from q",
+    "q_pairs": f"with {_seqs()} select a.ord as i, b.ord as j {_PAIRS}",
+    "q_pair_index": f"with {_seqs()} select cast(b.ord as bigint) * (b.ord - 1) // 2 + a.ord as pair_id, a.ord as i, b.ord as j {_PAIRS}",
+    "q_identity": f"with {_seqs()} select a.ord as i, b.ord as j, {_IDENTITY} as identity {_PAIRS}",
+    "q_filter_edges_05": f"with {_seqs()} select a.ord as i, b.ord as j {_PAIRS} where {_IDENTITY} >= cast(0.5 as float)",
+    "q_filter_greedy_09": f"with {_greedy(0.9)} select ord, seq from z",
+    "q_filter_greedy_05": f"with {_greedy(0.5)} select ord, seq from z",
+    **{f"q_{m}_{k}": _scores_sql(m, k) for m, k in CONFIGS},
+    "q_ga_equal_gap_rewrite": f"with {_W} select i, j, score from w",
+    **{f"q_{m}_sql_backend": _scores_sql(m, "protein") for m in ("nw", "ga", "sw")},
+    "q_matrix_long": f"with {_W} {_LONG}",
+    "q_matrix_dense": f"with {_W}, m as ({_LONG}) select i as ord, array_to_string(list(score order by j), ' ') as scores from m group by i",
+    "q_filtered_nw": f"with {_linear('blosum62', 4, 'protein', _greedy(0.5).replace('z as (', 'kept as (')).replace('from s)', 'from kept)')} select i, j, score from w",
+    "q_fasta_roundtrip": f"with {_seqs()} select ord, seq from s",
+    "q_dsv_roundtrip": f"with {_seqs()} select ord, seq from s",
+}
