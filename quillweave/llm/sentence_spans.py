@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import table
+from quillweave.llm.common import saved, table
 
 
 @dataclass(frozen=True)
@@ -37,36 +37,42 @@ class SpanRules:
 
 
 #: A sentence ends after closing marks (and quotes) before white space, or at a line end.
-SENTENCE = re.compile(r"[^\n]*?[.!?。！？]+[\"')\]”’]*(?=[ \t\r\f\v]|$)|[^\n]+", re.M)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+END = re.compile(r"\n|[.!?\u3002\uff01\uff1f]+[\"')\]\u201d\u2019]*(?=\s|$)")
 
 
 def sentences(text: str, piece_words: int = SpanRules.piece_words) -> list[tuple[int, int, int]]:
     """Start, end and word count of each sentence or piece of one, from its first word to its last."""
-    out = []
-    for m in SENTENCE.finditer(text):
-        lo, hi = m.span()
-        n = len(text[lo:hi].split())
-        if not n:
-            continue
-        if n <= piece_words:
-            part = text[lo:hi]
-            out.append((lo + len(part) - len(part.lstrip()), lo + len(part.rstrip()), n))
-            continue
-        begin, n = -1, 0
-        for w in WORD.finditer(text, lo, hi):
-            if n == 0:
-                begin = w.start()
-            n += 1
-            word = w[0]
-            if n == piece_words or (len(word) + 7 * ord(word[0]) + 31 * ord(word[-1])) % 6 == 0:
-                out.append((begin, w.end(), n))
-                n = 0
+    out, lo = [], 0
+    for hi in [m.end() for m in END.finditer(text)] + [len(text)]:
+        part = text[lo:hi]
+        words = part.split()
+        n = len(words)
         if n:
-            out.append((begin, w.end(), n))
+            start = lo + part.find(words[0])
+            if n <= piece_words:
+                out.append((start, lo + len(part.rstrip()), n))
+            else:
+                _cut(out, text, start, words, piece_words)
+        lo = hi
     return out
 
 
+def _cut(out: list, text: str, at: int, words: list[str], piece_words: int) -> None:
+    begin, n = at, 0
+    for w in words:
+        if not text.startswith(w, at):  # more than one character between words
+            at = text.find(w, at)
+        if not n:
+            begin = at
+        n += 1
+        at += len(w) + 1
+        if n == piece_words or (len(w) + 7 * ord(w[0]) + 31 * ord(w[-1])) % 6 == 0:
+            out.append((begin, at - 1, n))
+            n = 0
+    if n:
+        out.append((begin, at - 1, n))
+
+
 def runs_of(parts: list[tuple[int, int, int]], rules: SpanRules) -> np.ndarray:
     """For each sentence that a run starts at, the sentence after the run's end."""
     words = np.concatenate([[0], np.cumsum([w for _, _, w in parts])])
@@ -125,7 +131,9 @@ def repeated_runs(docs: DataFrame, rules: SpanRules = SpanRules(), id_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     runs = texts.mapInArrow(hashed, "doc_id long, at int, h long, g int")  # twice, as hashing costs less than keeping them
     first = runs.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = runs.join(first.select("h", "g", F.col("first.doc_id").alias("d"), F.col("first.at").alias("a")), ["h", "g"]).where("doc_id <> d or at <> a")
+    # a table of its own, as Spark splits the tasks of a skewed join only where both sides come straight from a shuffle
+    first = saved(first.select("h", "g", F.col("first.doc_id").alias("d"), F.col("first.at").alias("a")), "first-spans")
+    again = runs.join(first, ["h", "g"]).where("doc_id <> d or at <> a")
     return again.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))  # bounded by the sentences of a document
 
 
