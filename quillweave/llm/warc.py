@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import filesystem, put_bytes, scratch, table
+from quillweave.llm.common import filesystem, put_bytes, saved, scratch, table
 
 #: Fixed values of the format: magic of the skippable frame that holds a dictionary, and of a dictionary.
 SKIPPABLE, DICTIONARY = 0x184D2A5D, 0xEC30A437
@@ -147,7 +147,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     dictionary = train_dictionary(df, "page_id", "html")
     # one row per digest meets the pages again; a digest with many pages is split by the join
     first = df.where(F.col("n_bytes") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = first.where("copies > 1").select(F.col("sha").alias("of"), "first")
+    # a table of its own, as Spark splits the tasks of a skewed join only where both sides come straight from a shuffle
+    first = saved(first.where("copies > 1").select(F.col("sha").alias("of"), "first"), "first-pages")
     df = df.join(first, F.col("sha") == F.col("of"), "left").withColumn("revisit", F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     df = df.select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).otherwise("").alias("html"), "sha", "n_bytes", "first", "revisit")
     sent = spark.sparkContext.broadcast(dictionary)  # DICT_BYTES at most
