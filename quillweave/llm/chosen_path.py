@@ -36,7 +36,7 @@ from quillweave.llm.components import connected_components
 class JoinPlan:
     words: int = 5
     similarity: float = 0.8
-    recall: float = 0.99
+    recall: float = 0.999
     positions: int = 64  # min-hashes of a signature
     bucket: int = 128  # sets of a bucket that is compared as a whole
     depth: int = 5  # levels of splitting
@@ -147,7 +147,8 @@ def buckets(sets: DataFrame, plan: JoinPlan) -> DataFrame:
     rest, done = paths(sets, plan), []
     for level in range(plan.depth):
         key = f"k{level}"
-        n = rest.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # a table of its own, as Spark splits the tasks of a skewed join only where both sides come straight from a shuffle
+        n = saved(rest.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
         joined = rest.join(n, key)
         last = level == plan.depth - 1
         joined = saved(joined, f"bucket-{level}")

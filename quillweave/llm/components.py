@@ -21,10 +21,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = saved(links.distinct(), "links")
     for _ in range(MAX_ROUNDS):
         both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).union(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # tables of their own, as Spark splits the tasks of a skewed join only where both sides come straight from a shuffle
+        least = saved(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         links = links.join(least, links["v"] == least["x"]).select("u", F.col("m").alias("v")).distinct()
         links = saved(links, "large-star")
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = saved(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         down = links.join(least.withColumnRenamed("u", "x"), links["u"] == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = saved(least.select("u", F.col("m").alias("v")).union(down).distinct(), "small-star")
         hanging = links.select(F.col("u").alias("w")).distinct()
