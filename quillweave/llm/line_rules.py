@@ -31,7 +31,7 @@ class LineRules:
     shout_share: float = 0.6  # punctuation: words that end in !! beyond this
     bars: int = 2  # navigation: separate bars in a line
     bar_share: float = 0.15  # navigation: bars among the words
-    distinct_share: float = 0.5  # boilerplate: fewer distinct words than this
+    stutter_share: float = 0.5  # boilerplate: words equal to the word before, beyond this
     lost_share: float = 0.5  # document: word characters in removed lines beyond this
 
 
@@ -85,7 +85,9 @@ def line_fails(line: Column, words: Column, chars: Column, symbols: Column, rule
     shouts = line.contains("!!") & (n >= 2) & (F.size(F.filter(words, lambda w: w.endswith("!!"))) > rules.shout_share * n)
     bars = lambda k: (k >= rules.bars) & (k > rules.bar_share * n) | (k >= 1) & (n <= 5)
     navigation = (symbols > 0) & line.contains("|") & _let(F.size(F.filter(words, lambda w: w == "|")), bars)
-    stutter = (n >= 4) & (F.size(F.array_distinct(words)) < rules.distinct_share * n)
+    # so many repeats leave few distinct words, which is quicker to see
+    again = lambda: F.size(F.filter(words, lambda w, i: F.get(words, i - 1) == w))
+    stutter = (n >= 4) & (F.size(F.array_distinct(words)) <= (1 - rules.stutter_share) * n) & (again() > rules.stutter_share * n)
     phrase = lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE])
     return marked | shouts | navigation | stutter | (n <= 20) & _let(F.lower(line), phrase)
 
