@@ -85,7 +85,7 @@ def apportion(df: DataFrame, keys: list[str], claim: str, seats: Column, name: s
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, size, source_size, target and taken, and the columns to carry."""
-    more = [F.col(c).alias(f"c_{c}") for c in carry]
+    more = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(carry)]
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), *more)
     slim = saved(sized.select("doc_id", "source", "size"), "mix-sizes")  # texts are read once for these
     sized = sized if carry else slim
@@ -108,11 +108,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     of_shard = apportion(of_shard, ["source"], "claim", F.col("source_blocks"), "quota", [F.col("shard")])
     of_shard = of_shard.select(F.col("source").alias("of"), F.col("shard").alias("of_shard"), "shard_words", "quota")
-    rows = sharded(sized, "doc_id", *[f"c_{c}" for c in carry])
+    rows = sharded(sized, "doc_id", *[f"c_{i}" for i in range(len(carry))])
     inside = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(plan.seed + 1), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("stop", F.sum("size").over(inside))
     rows = rows.join(of_shard, rows["source"].eqNullSafe(of_shard["of"]) & (rows["shard"] == of_shard["of_shard"]))
-    return rows.select("doc_id", "size", "source_size", "target", _taken(plan).alias("taken"), *[F.col(f"c_{c}").alias(c) for c in carry])
+    return rows.select("doc_id", "size", "source_size", "target", _taken(plan).alias("taken"), *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def _taken(plan: MixPlan) -> Column:
@@ -130,11 +130,11 @@ def _taken(plan: MixPlan) -> Column:
 
 def take(docs: DataFrame, plan: MixPlan = MixPlan(), source_col: str = "source") -> DataFrame:
     """The mix itself: rows of docs, each as often as it was taken, a part of half a text or more as the whole text."""
-    names = tuple(docs.columns)
-    out = mix(docs, source_col=source_col, plan=plan, carry=names)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    renamed = [F.col(c) for c in names]
-    return out.toDF("_d", "size", "_s", "_t", "taken", *names).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*renamed)
+    names = docs.columns
+    inner = [f"_c{i}" for i in range(len(names))]  # so that no column of docs clashes with those of the mix
+    out = mix(docs, source_col=source_col, plan=plan, carry=tuple(names)).toDF("_id", "_size", "_source_size", "_target", "_taken", *inner)
+    copies = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(F.lit(0)).cast("int")
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*inner).toDF(*names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
