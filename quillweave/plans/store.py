@@ -30,3 +30,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/quillweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables and files that were kept between steps; DataFrames that still read them become unusable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quillweave")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
