@@ -33,6 +33,8 @@ from quillweave.llm.common import table
 from quillweave.llm.token_files import BLANK
 
 STORE_RUNS = 400_000
+#: Cells of the transition table that are kept before it is filled anew.
+STORE_ARCS = 3_000_000
 END = float("inf")
 
 
@@ -79,6 +81,7 @@ class Automaton:
             self.before[x] = starts
         self.behind.insert(0, ())  # state 0: nothing read, all arcs
         self.rows: list[dict[int, int]] = [{} for _ in self.behind]
+        self.filled = 0
         # a trie of the tokens over base symbols
         spelled: dict[int, tuple[int, ...]] = {}
 
@@ -105,7 +108,12 @@ class Automaton:
                 rank = self.gadget.get((a, b))
                 if rank is not None and rank < until and rank <= grew:
                     to = -1
+        if self.filled == STORE_ARCS:
+            for row in self.rows:
+                row.clear()
+            self.filled = 0
         self.rows[state][y] = to
+        self.filled += 1
         return to
 
     def symbols(self, word: str) -> list[int]:

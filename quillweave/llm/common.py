@@ -2,49 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from quillweave.plans.store import saved, shared_folder
+
+__all__ = ["SPACE", "WORD", "filesystem", "get_bytes", "put_bytes", "saved", "scratch", "shared_folder", "table"]
+
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
-_own: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (one machine only) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="quillweave-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    return f"file://{_own[0]}"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark)}/quillweave/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A fresh folder name below the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/quillweave/{name}-{uuid.uuid4().hex}"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
