@@ -11,9 +11,11 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from quillweave.functions.matrices import STRIDE
+
 FLOOR = -(2**30)
 #: Table cells of one step for all pairs of a batch, at most.
-CELLS = 1 << 18
+CELLS = 1 << 16
 
 
 def encode(seqs: Sequence[str], lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,35 +29,43 @@ def encode(seqs: Sequence[str], lookup: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, size
 
 
-def _batch(cols: np.ndarray, nc: np.ndarray, rows: np.ndarray, nr: np.ndarray, s: np.ndarray, o: int, e: int, method: str) -> np.ndarray:
-    """Scores of pairs of encoded sequences; cols: along the row, rows: down the table."""
-    n, width = cols.shape
-    k = np.arange(width + 1, dtype=np.int64)
-    local = method == "sw"
-    h = np.zeros((n, width + 1), np.int64)
+def _batch(profile: np.ndarray, which: np.ndarray, nc: np.ndarray, rows: np.ndarray, nr: np.ndarray, o: int, e: int, local: bool) -> np.ndarray:
+    """Scores of pairs. profile: per sequence along the row and letter, the scores of its places with that letter; which:
+    the sequence of each pair; rows: codes of the sequences down the table."""
+    n, width, kind = len(which), profile.shape[2], profile.dtype.type
+    flat = profile.reshape(-1, width)
+    k = np.arange(width + 1, dtype=kind)
+    slope, shift = k * kind(e), kind(o) + k[:-1] * kind(e)
+    edge = lambda i: 0 if local else o + (i - 1) * e
+    h = np.zeros((n, width + 1), kind)
     if not local:
         h[:, 1:] = o + (k[1:] - 1) * e
-    y = np.full((n, width + 1), FLOOR, np.int64)
-    best = np.zeros(n, np.int64)
-    inside = k[1:] <= nc[:, None]
-    out = h[np.arange(n), nc].copy()
+    y = np.full((n, width + 1), FLOOR, kind)
+    row, gap = np.empty_like(h), np.empty_like(h)
+    best = np.zeros(n, kind)
+    outside = k[1:] > nc[:, None]
+    pairs = np.arange(n)
+    out = h[pairs, nc].copy()
     for i in range(1, rows.shape[1] + 1):
-        diagonal = h[:, :-1] + s[rows[:, i - 1 : i], cols]
-        y = np.maximum(h + o, y + e)
-        row = np.empty_like(h)
-        row[:, 0] = 0 if local else o + (i - 1) * e
-        row[:, 1:] = np.maximum(diagonal, y[:, 1:])
+        y += kind(e)
+        np.add(h, kind(o), out=gap)
+        np.maximum(y, gap, out=y)
+        row[:, 0] = edge(i)
+        np.add(flat[which * STRIDE + rows[:, i - 1]], h[:, :-1], out=row[:, 1:])
+        np.maximum(row[:, 1:], y[:, 1:], out=row[:, 1:])
         if local:
             np.maximum(row, 0, out=row)
-        gap = np.maximum.accumulate(row - k * e, axis=1)[:, :-1] + o + k[:-1] * e
-        np.maximum(row[:, 1:], gap, out=row[:, 1:])
-        h = row
-        done = i <= nr
+        np.subtract(row, slope, out=gap)
+        np.maximum.accumulate(gap, axis=1, out=gap)
+        gap[:, :-1] += shift
+        np.maximum(row[:, 1:], gap[:, :-1], out=row[:, 1:])
+        h, row = row, h
         if local:
-            best = np.maximum(best, np.where(inside & done[:, None], row[:, 1:], 0).max(axis=1, initial=0))
+            inside = np.where(outside, 0, h[:, 1:]).max(axis=1, initial=0)
+            best = np.where(i <= nr, np.maximum(best, inside), best)
         else:
-            last = i == nr
-            out[last] = row[last, nc[last]]
+            last = np.flatnonzero(i == nr)
+            out[last] = h[last, nc[last]]
     return best if local else out
 
 
@@ -75,12 +85,16 @@ def align_scores(cols: Sequence[str], rows: Sequence[str], lookup: np.ndarray, s
     codes, size = encode(list(names), lookup)
     a, b = at[:n], at[n:]
     order = np.lexsort((size[b], size[a]))
-    s = scores.astype(np.int64)
+    reach = (2 * int(size.max()) + 2) * max(int(np.abs(scores).max()), -gap_open, -e)
+    kind = np.int32 if reach < -FLOOR // 2 else np.int64
+    s = scores.astype(kind)
     step = max(1, CELLS // (codes.shape[1] + 1))
     for lo in range(0, n, step):
         p = order[lo : lo + step]
-        x, z = a[p], b[p]
-        out[p] = _batch(codes[x][:, : size[x].max()], size[x], codes[z][:, : size[z].max()], size[z], s, gap_open, e, method)
+        along, which = np.unique(a[p], return_inverse=True)
+        z = b[p]
+        profile = s[:, codes[along][:, : size[along].max()]].transpose(1, 0, 2).copy()
+        out[p] = _batch(profile, which, size[a[p]], codes[z][:, : size[z].max()], size[z], gap_open, e, method == "sw")
     if (np.abs(out) > 2**31 - 1).any():
         raise OverflowError("a score is beyond 32 bits")
     return out.astype(np.int32)
