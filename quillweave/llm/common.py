@@ -15,6 +15,7 @@ __all__ = ["SPACE", "WORD", "filesystem", "get_bytes", "put_bytes", "saved", "sc
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
