@@ -30,7 +30,7 @@ class MixPlan:
     weights: tuple[int, ...] = WEIGHTS
     max_repeats: int = 3
     block_words: int = 64
-    shard_words: int = 1_000_000  # words of a shard, about
+    shard_words: int = 200_000  # words of a shard, about
     seed: int = 17
 
 
