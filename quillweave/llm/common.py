@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillweave.plans.store import saved, shared_folder
 
-__all__ = ["SPACE", "WORD", "filesystem", "get_bytes", "put_bytes", "saved", "scratch", "shared_folder", "table"]
+__all__ = ["SPACE", "WORD", "filesystem", "get_bytes", "put_bytes", "saved", "scratch", "shared_folder", "table", "thinned"]
 
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
@@ -25,6 +26,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/quillweave/{name}-{uuid.uuid4().hex}"
 
 
+def thinned(df: DataFrame, key: Column, n: int, sample: int) -> DataFrame:
+    """About a tenth more than sample of n rows, by a hash of key: a fixed choice, and few rows from each task.
+
+    (A sorted limit would send so many rows from every task.)
+    """
+    share = min(1.0, (1.1 * sample + 100) / max(n, 1))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store of a URI or local path, and the path in it; works on executors as on the driver."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import filesystem, put_bytes, saved, scratch, table
+from quillweave.llm.common import filesystem, put_bytes, saved, scratch, table, thinned
 
 #: Fixed values of the format: magic of the skippable frame that holds a dictionary, and of a dictionary.
 SKIPPABLE, DICTIONARY = 0x184D2A5D, 0xEC30A437
@@ -132,7 +132,8 @@ def records(stream) -> Iterator[bytes]:
 
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str, sample: int = DICT_SAMPLE) -> bytes:
     """A dictionary from at most sample pages (chosen by hash of id), each by its first 16 kB; empty if they are too few."""
-    rows = pages.select(F.substring(html_col, 1, 16_384).alias("html"), F.xxhash64(id_col).alias("h")).where("html <> ''").orderBy("h").limit(sample).collect()
+    full = pages.where(F.col(html_col) != "")
+    rows = thinned(full, F.col(id_col), full.count(), sample).select(F.substring(html_col, 1, 16_384).alias("html")).limit(sample).collect()
     try:
         return zstandard.train_dictionary(DICT_BYTES, [r["html"].encode() for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):  # the trainer refuses samples that are few or small
