@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import saved, table
+from quillweave.llm.common import saved, table, thinned
 from quillweave.llm.chosen_path import grouped, spanning
 from quillweave.llm.components import connected_components
 
@@ -139,7 +139,7 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
     sets = saved(rows.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id")).withColumn("id", F.sha2("h", 256)), "distinct-vectors")
     n = sets.count()
     if n:
-        sample = sets.orderBy("id").limit(plan.sample).select("h").collect()
+        sample = sorted(thinned(sets, F.col("id"), n, plan.sample).select("id", "h").collect())[: plan.sample]
         books = fit(np.frombuffer(b"".join(r["h"] for r in sample), np.float64).reshape(len(sample), dims), n, plan)
     else:
         books = Codebooks(np.zeros((1, 1)), np.zeros((1, 1)), 1)
