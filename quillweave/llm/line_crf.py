@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import table
+from quillweave.llm.common import table, thinned
 
 SAMPLE = 1500
 CHUNK_BYTES = 1 << 20
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most sample documents with a label; labels: rows of id and label that may be learned from."""
     df = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     df = df.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
-    chosen = df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = thinned(df, F.col("doc_id"), df.count(), sample).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # at most sample rows are sent
 
