@@ -7,9 +7,10 @@ in double precision. How many cells that takes is measured: vectors of the sampl
 exactly the least cosine, the hardest case, and the place of the turned vector's cell in the visiting order is noted;
 a pair is found if either of the two visits the other's cell.
 
-Copies with equal bytes are one vector with a count, so they never meet each other. Cells of one first code are handled
-together; their rows are dealt in blocks of queries times blocks of indexed vectors, so a code with a third of all rows
-is spread over many tasks, and blocks return counts and spanning links, not pairs.
+Copies with equal bytes are one vector with a count, so they never meet each other. Neighbouring cells
+form bins of about a block of vectors, to which queries are sent once; a cell that is larger, with a third of all rows
+perhaps, is dealt in blocks of queries times blocks of indexed vectors over many tasks. Blocks return counts and spanning
+links, not pairs.
 
 Cases: null vectors and those that are empty, of another length than most, zero, or with null or non-finite components
 link with nothing and are their own component; repeated rows are vectors that link with each other; ties in distance go
@@ -115,6 +116,19 @@ def fit(sample: np.ndarray, n: int, plan: IndexPlan) -> Codebooks:
     return Codebooks(books.first, books.second, min(k * k, max(1, visits)))
 
 
+def binned(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of each cell, with about block vectors in a bin and a larger cell alone in its own; and the blocks of each bin."""
+    bins, parts, held = np.zeros(len(sizes), np.int32), [0], 0
+    for cell, n in enumerate(sizes):
+        if held and held + n > block:
+            parts.append(0)
+            held = 0
+        bins[cell] = len(parts) - 1
+        held += n
+        parts[-1] = max(1, -(-held // block))
+    return bins, np.maximum(parts, 1)
+
+
 def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept."""
     spark = vectors.sparkSession
@@ -151,30 +165,38 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(batch.num_rows, dims)
-            home, seen = b.home(x), b.order(x, b.visits)
-            u = seen // b.k
-            codes, cells = [], []
-            for k in range(len(x)):
-                codes.append(np.unique(u[k]).astype(np.int32).tolist())
-                cells.append(np.sort(seen[k]).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int64()), pa.array(codes, pa.list_(pa.int32())), pa.array(cells, pa.binary())], ["id", "h", "copies", "home", "codes", "cells"])
-
-    at = saved(sets.select("id", "h", "copies").mapInArrow(placed, "id string, h binary, copies long, home long, codes array<int>, cells binary"), "cells")
+            cells = [c.tobytes() for c in np.sort(b.order(x, b.visits), axis=1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b.home(x), pa.int64()), pa.array(cells, pa.binary())], ["id", "h", "copies", "home", "cells"])
+
+    at = saved(sets.select("id", "h", "copies").mapInArrow(placed, "id string, h binary, copies long, home long, cells binary"), "cells")
+    sizes = np.zeros(books.k**2, np.int64)
+    for r in at.groupBy("home").count().collect():  # one row per cell, the square of plan.codes at most
+        sizes[r["home"]] = r["count"]
+    bins, parts = binned(sizes, plan.block)
+    sent_bins = spark.sparkContext.broadcast(bins)
+
+    def spread(batches):
+        for batch in batches:
+            seen = [np.unique(sent_bins.value[np.frombuffer(c, np.int32)]).tolist() for c in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent_bins.value[batch.column(3).to_numpy()]), pa.array(seen, pa.list_(pa.int32()))], [*batch.schema.names, "bin", "bins"])
+
     base = ["id", "h", "copies", "home", "cells"]
-    indexed = at.select(*base, F.floor(F.col("home") / books.k).cast("int").alias("u"), F.lit(0).alias("side"))
-    queries = at.select(*base, F.explode("codes").alias("u"), F.lit(1).alias("side"))
-    both = indexed.union(queries)
-    counts = both.groupBy("u").agg(*[F.greatest(F.lit(1), F.ceil(F.sum((F.col("side") == s).cast("int")) / plan.block)).cast("int").alias(f"b{s}") for s in (0, 1)])
-    both = both.join(F.broadcast(counts), "u")  # one row per code, plan.codes at most
+    at = at.mapInArrow(spread, "id string, h binary, copies long, home long, cells binary, bin int, bins array<int>")
+    queries = at.select(*base, F.explode("bins").alias("bin"), F.lit(1).alias("side"))
+    both = at.select(*base, "bin", F.lit(0).alias("side")).union(queries)
+    # blocks of each bin: of its indexed vectors (only a large cell has more than one) and of the queries to it
+    asked = queries.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / (16 * plan.block)).cast("int").alias("b1"))
+    blocks = spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "bin int, b0 int").join(asked, "bin")
+    both = both.join(F.broadcast(blocks), "bin")  # a row per bin, fewer than cells
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1")))
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0")) - 1))
     tiles = both.withColumn("_mine", mine).withColumn("_other", others)
     tile = F.when(F.col("side") == 0, F.col("_mine") * F.col("b1") + F.col("_other")).otherwise(F.col("_other") * F.col("b1") + F.col("_mine"))
-    tiles = tiles.select("u", tile.cast("long").alias("tile"), "side", *base).repartition("u", "tile").sortWithinPartitions("u", "tile")
+    tiles = tiles.select("bin", tile.cast("long").alias("tile"), "side", *base).repartition("bin", "tile").sortWithinPartitions("bin", "tile")
 
     def verify(batches):
-        b = sent.value
-        for u, _, side, ids, h, copies, home, cells in grouped(batches, 2):
+        of_cell = sent_bins.value
+        for own, _, side, ids, h, copies, home, cells in grouped(batches, 2):
             side, home, copies = np.array(side), np.array(home), np.array(copies, np.float64)
             x = np.frombuffer(b"".join(h), np.float64).reshape(len(ids), dims)
             visited = [np.frombuffer(c, np.int32) for c in cells]
@@ -184,7 +206,7 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
             d = d[home[d].argsort(kind="stable")]
             spots = np.concatenate([visited[k] for k in q])
             who = np.repeat(q, [len(visited[k]) for k in q])
-            hit = spots // b.k == u[0]
+            hit = of_cell[spots] == own[0]
             spots, who = spots[hit], who[hit]
             links: list[tuple[np.ndarray, np.ndarray]] = []
             for cell in np.unique(home[d]):
