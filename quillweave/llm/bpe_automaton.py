@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillweave.llm.common import table
 from quillweave.llm.token_files import BLANK
 
-STORE_RUNS = 400_000
+STORE_RUNS = 250_000
 #: Cells of the transition table that are kept before it is filled anew.
 STORE_ARCS = 3_000_000
 END = float("inf")
