@@ -4,8 +4,9 @@ Texts with equal shingle sets are one set with a count. Every set has a signatur
 tokens shared in proportion to similarity. In each of several runs, all sets start in one bucket and a bucket is split
 by the value at one position, which its path picks; buckets of few sets stop, larger ones are split again up to depth
 levels. Within a bucket all pairs of signatures are compared, and pairs that agree in enough positions make the bucket's
-members candidates of each other. A pair of the least similarity meets in a run with that similarity per level, so the
-number of runs follows from the target recall.
+members candidates of each other. A pair that agrees in a share of the positions meets in a run with that share per
+level, down to the deepest, as buckets of a hot group are split so often. All runs draw on the same positions, so the
+number of runs follows from the target recall over the shares that a pair of the least similarity may have.
 
 Candidates form groups (the components of the candidate pairs). Within a group every pair is verified by exact Jaccard
 similarity of the full shingle sets, so links do not depend on which runs found them. Groups and buckets beyond a block's
@@ -19,6 +20,8 @@ empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -45,8 +48,8 @@ class JoinPlan:
 
     @property
     def runs(self) -> int:
-        """Runs after which a pair of the least similarity has met with the target recall, if it is split three times."""
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.similarity**3)) + 2
+        """Runs after which a pair of the least similarity has met with the target recall, if it is split at all levels."""
+        return _runs(self)
 
     @property
     def agree(self) -> float:
@@ -54,6 +57,23 @@ class JoinPlan:
         return self.similarity - 4 * math.sqrt(self.similarity * (1 - self.similarity) / self.positions)
 
 
+def recall_of(plan: JoinPlan, runs: int) -> float:
+    """Chance that a pair of the least similarity agrees in enough positions and meets in one of the runs.
+
+    The runs are independent only given the positions in which the pair agrees, which all of them share.
+    """
+    m = np.arange(math.ceil(plan.agree * plan.positions), plan.positions + 1)
+    chance = np.array([math.comb(plan.positions, k) * plan.similarity**k * (1 - plan.similarity) ** (plan.positions - k) for k in m.tolist()])
+    return float((chance * (1 - (1 - (m / plan.positions) ** plan.depth) ** runs)).sum())
+
+
+@functools.cache
+def _runs(plan: JoinPlan) -> int:
+    if recall_of(plan, 1 << 40) < plan.recall:
+        raise ValueError(f"{plan.positions} positions are too few for a recall of {plan.recall}")
+    return next(n for n in itertools.count(1) if recall_of(plan, n) >= plan.recall)
+
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _table: dict[int, np.ndarray] = {}

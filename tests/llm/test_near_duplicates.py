@@ -67,6 +67,48 @@ def test_chosen_path_equals_brute_force(spark, plan):
     assert {i: (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in got} == {i: (n[i], root[i], root[i] == i) for i in range(len(s))}
 
 
+def test_chosen_path_runs_follow_from_the_deepest_split():
+    rng, plan = np.random.default_rng(6), chosen_path.JoinPlan()
+    share = rng.binomial(plan.positions, plan.similarity, 400_000) / plan.positions
+    met = (share >= plan.agree) & (rng.random(len(share)) < 1 - (1 - share**plan.depth) ** plan.runs)
+    assert met.mean() >= plan.recall - 2e-4
+    with pytest.raises(ValueError):
+        chosen_path.JoinPlan(positions=8, recall=0.9999999).runs
+
+
+def test_chosen_path_hot_group(spark):
+    """Texts at Jaccard 0.80 to 0.82 of one base, among so many near copies of it that buckets are split at all levels."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(304)]  # 300 shingles
+    copies = []
+    for k in range(1500):
+        w = list(base)
+        for x in rng.choice(304, 3, replace=False):
+            w[x] = f"c{k}x{x}"
+        copies.append(w)
+    edge = [base + [f"e{k}x{x}" for x in range(75 - k % 10)] for k in range(1000)]
+    texts = [base, *copies, *edge]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(8)
+    s = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    count = {}
+    for x in s:
+        for sh in x:
+            count[sh] = count.get(sh, 0) + 1
+    at = {sh: k for k, sh in enumerate(sh for sh in count if count[sh] > 1)}
+    m = np.zeros((len(s), len(at)), np.float32)
+    for i, x in enumerate(s):
+        m[i, [at[sh] for sh in x if sh in at]] = 1
+    n, shared = np.array([len(x) for x in s]), m @ m.T
+    links = 5 * shared >= 4 * (n[:, None] + n - shared)
+    np.fill_diagonal(links, False)
+    assert links[1501:].sum() == 1000 and links[1501:, 0].all() and links[0].all(where=np.arange(len(s)) > 0)
+    got = {r["doc_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in chosen_path.jaccard_join(df).collect()}
+    assert len(got) == len(s)
+    lost = [i for i in range(1501, len(s)) if got[i] != (1, 0, False)]
+    assert len(lost) <= 1000 * (1 - chosen_path.JoinPlan().recall) + 1e-6
+    assert all(got[i] == (links[i].sum() - (len(lost) if i == 0 else 0), 0, i == 0) for i in range(1501))
+
+
 def test_chosen_path_odd_rows(spark):
     text = "a b c d e f g h i j"
     df = spark.createDataFrame([(3, text), (3, text), (None, text), (None, None), (7, "other words of a text of its own")], "doc_id long, text string")
