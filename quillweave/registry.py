@@ -1,7 +1,8 @@
 """Queries of the sequence operators, and SQL for those that SQL can express.
 
-Sequences are derived from whole tables: the distinct part names where all pairs are scored against SQL, whole
-benchmark texts where the batched kernel is to show its speed, and all documents where one pass is enough.
+The queries with SQL take the distinct part names, which are 62 to 64 short strings at any size, as SQL is too slow for
+more. Each has a twin, named with _whole and without SQL, over a whole table with its copies: all rows of part where
+pairs are made, all documents where one pass is enough. Whole benchmark texts show the speed of the batched kernel.
 """
 
 from __future__ import annotations
@@ -48,6 +49,17 @@ def benchmark_seqs(spark: SparkSession, sf_dir: str, kind: str = "protein") -> D
     return from_dataframe(texts, "seq", "item_id", ALPHABETS[kind])
 
 
+def part_rows(spark: SparkSession, sf_dir: str, kind: str = "protein") -> DataFrame:
+    """The names of all parts as sequences, copies included, in order of p_partkey."""
+    names = _table(spark, sf_dir, "part").select("p_partkey", derive(F.col("p_name"), ALPHABETS[kind]).alias("seq")).where("seq <> ''")
+    return from_dataframe(names, "seq", "p_partkey", ALPHABETS[kind])
+
+
+def document_seqs(spark: SparkSession, sf_dir: str, kind: str = "protein") -> DataFrame:
+    """The texts of all documents as sequences, copies included, in order of doc_id."""
+    return from_dataframe(_derive(kind)(spark, sf_dir).where("seq <> ''"), "seq", "doc_id", ALPHABETS[kind])
+
+
 def _derive(kind: str):
     return lambda spark, d: _table(spark, d, "documents").select("doc_id", derive(F.col("text"), ALPHABETS[kind]).alias("seq"))
 
@@ -65,65 +77,74 @@ def _scored(method: str, kind: str, table=part_seqs):
     return lambda spark, d: score_all(table(spark, d, kind), CONFIGS[method, kind])
 
 
-def _sql_backend(method: str):
-    return lambda spark, d: score_pairs(all_pairs(part_seqs(spark, d)).repartition(spark.sparkContext.defaultParallelism), CONFIGS[method, "protein"], "sql").select("i", "j", "score")
+def _sql_backend(method: str, table=part_seqs):
+    return lambda spark, d: score_pairs(all_pairs(table(spark, d)).repartition(spark.sparkContext.defaultParallelism), CONFIGS[method, "protein"], "sql").select("i", "j", "score")
 
 
-def _long(spark: SparkSession, d: str) -> DataFrame:
-    seqs = part_seqs(spark, d)
+def _long(spark: SparkSession, d: str, table=part_seqs) -> DataFrame:
+    seqs = table(spark, d)
     return long_matrix(score_all(seqs, CONFIGS["nw", "protein"]), seqs)
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    seqs = part_seqs(spark, d)
+def _dense(spark: SparkSession, d: str, table=part_seqs) -> DataFrame:
+    seqs = table(spark, d)
     return dense_matrix(score_all(seqs, CONFIGS["nw", "protein"]), seqs).select("ord", F.array_join("scores", " ").alias("scores"))
 
 
-def _filtered(spark: SparkSession, d: str) -> DataFrame:
-    return score_all(saved(greedy_filter(part_seqs(spark, d), 0.5), "filtered"), CONFIGS["nw", "protein"])
+def _filtered(spark: SparkSession, d: str, table=part_seqs) -> DataFrame:
+    return score_all(saved(greedy_filter(table(spark, d), 0.5), "filtered"), CONFIGS["nw", "protein"])
 
 
-def _fasta(spark: SparkSession, d: str) -> DataFrame:
+def _fasta(spark: SparkSession, d: str, table=part_seqs) -> DataFrame:
     path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.fasta"
-    seqs = part_seqs(spark, d)
+    seqs = table(spark, d)
     lines = F.concat(F.lit(">part "), F.col("ord"), F.lit("\n"), F.regexp_replace("seq", "(.{5})", "$1\n"))
     seqs.coalesce(1).sortWithinPartitions("ord").select(lines).write.text(path)
     return read_sequences(spark, path, AMINO)
 
 
-def _dsv(spark: SparkSession, d: str) -> DataFrame:
+def _dsv(spark: SparkSession, d: str, table=part_seqs) -> DataFrame:
     path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.psv"
-    seqs = part_seqs(spark, d)
+    seqs = table(spark, d)
     head = spark.createDataFrame([(-1, "name|Protein|note")], "ord int, line string")
     lines = seqs.select("ord", F.concat(F.lit('"part|'), F.col("ord"), F.lit('"|"'), F.lower("seq"), F.lit('"|x')).alias("line"))
     head.union(lines).coalesce(1).sortWithinPartitions("ord").select("line").write.text(path)
     return read_sequences(spark, path, AMINO)
 
 
+def _operators(linear, pairs, end: str = "") -> dict:
+    """The queries of the operators: those of one pass over one table, those of pairs over the other."""
+    of = {
+        "q_encode": lambda spark, d: encoded(linear(spark, d), AMINO),
+        "q_pairs": lambda spark, d: all_pairs(pairs(spark, d)).select("i", "j"),
+        "q_pair_index": lambda spark, d: all_pairs(pairs(spark, d)).select("pair_id", "i", "j"),
+        "q_identity": lambda spark, d: all_pairs(pairs(spark, d)).select("i", "j", positional_identity(F.col("seq_i"), F.col("seq_j")).alias("identity")),
+        "q_filter_edges_05": lambda spark, d: edges(pairs(spark, d), 0.5),
+        "q_filter_greedy_09": lambda spark, d: greedy_filter(pairs(spark, d), 0.9),
+        "q_filter_greedy_05": lambda spark, d: greedy_filter(pairs(spark, d), 0.5),
+        **{f"q_{m}_{k}": _scored(m, k, pairs) for m, k in CONFIGS},
+        "q_ga_equal_gap_rewrite": lambda spark, d: score_all(pairs(spark, d), EQUAL_GAPS),
+        **{f"q_{m}_sql_backend": _sql_backend(m, pairs) for m in ("nw", "ga", "sw")},
+        "q_matrix_long": lambda spark, d: _long(spark, d, pairs),
+        "q_matrix_dense": lambda spark, d: _dense(spark, d, pairs),
+        "q_filtered_nw": lambda spark, d: _filtered(spark, d, pairs),
+        "q_fasta_roundtrip": lambda spark, d: _fasta(spark, d, linear),
+        "q_dsv_roundtrip": lambda spark, d: _dsv(spark, d, linear),
+    }
+    return {name + end: query for name, query in of.items()}
+
+
 QUERIES = {
     "q_list_matrices": lambda spark, d: list_matrices(spark),
     "q_matrix_scores": lambda spark, d: matrix_rows(spark, "blosum62"),
     "q_derive_protein": _derive("protein"),
     "q_derive_dna": _derive("dna"),
-    "q_encode": lambda spark, d: encoded(part_seqs(spark, d), AMINO),
     "q_length_stats": _stats,
     "q_validate_report": _report,
-    "q_pairs": lambda spark, d: all_pairs(part_seqs(spark, d)).select("i", "j"),
-    "q_pair_index": lambda spark, d: all_pairs(part_seqs(spark, d)).select("pair_id", "i", "j"),
-    "q_identity": lambda spark, d: all_pairs(part_seqs(spark, d)).select("i", "j", positional_identity(F.col("seq_i"), F.col("seq_j")).alias("identity")),
-    "q_filter_edges_05": lambda spark, d: edges(part_seqs(spark, d), 0.5),
-    "q_filter_greedy_09": lambda spark, d: greedy_filter(part_seqs(spark, d), 0.9),
-    "q_filter_greedy_05": lambda spark, d: greedy_filter(part_seqs(spark, d), 0.5),
     "q_filter_benchmark": lambda spark, d: greedy_filter(benchmark_seqs(spark, d), 0.1),
-    **{f"q_{m}_{k}": _scored(m, k) for m, k in CONFIGS},
     **{f"q_{m}_benchmark": _scored(m, "protein", benchmark_seqs) for m in ("nw", "ga", "sw")},
-    "q_ga_equal_gap_rewrite": lambda spark, d: score_all(part_seqs(spark, d), EQUAL_GAPS),
-    **{f"q_{m}_sql_backend": _sql_backend(m) for m in ("nw", "ga", "sw")},
-    "q_matrix_long": _long,
-    "q_matrix_dense": _dense,
-    "q_filtered_nw": _filtered,
-    "q_fasta_roundtrip": _fasta,
-    "q_dsv_roundtrip": _dsv,
+    **_operators(part_seqs, part_seqs),
+    **_operators(document_seqs, part_rows, "_whole"),
 }
 
 
