@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillweave.llm import bpe_automaton, chosen_path, line_crf, mixing, sentence_spans
-from quillweave.llm.common import scratch, table
+from quillweave.llm.common import WORD, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,18 +21,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the least doc_id; of repeated rows one."""
-    stay = chosen_path.jaccard_join(docs).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
+    """One document of each group, that with the least doc_id; of rows with equal doc_id and equal text one.
+
+    Rows are told apart by doc_id and text, so that rows which share a doc_id (or have none) are judged each by its own
+    text. Rows with neither doc_id nor words all stay, as they link with nothing.
+    """
+    stay = chosen_path.jaccard_join(docs, hashed=True).where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_hash").alias("_hash")).distinct()
     names = docs.columns
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_stay"]) & (rows["_text"] == stay["_hash"]), "left_semi")
     first = F.row_number().over(_by_row(names))
-    return kept.withColumn("_n", first).where("_n = 1 or doc_id is null").select(*names)
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return kept.withColumn("_n", first).where((F.col("_n") == 1) | bare).select(*names)
 
 
 def _by_row(names: list[str]):
     from pyspark.sql import Window
 
-    return Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in names]))
+    return Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*[F.col(c) for c in names]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

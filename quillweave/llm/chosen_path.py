@@ -125,7 +125,7 @@ def set_name(s: np.ndarray) -> bytes:
 
 
 def features(docs: DataFrame, plan: JoinPlan, id_col: str, text_col: str) -> DataFrame:
-    """Per row: doc_id, name of its shingle set (null if it has none) and signature."""
+    """Per row: doc_id, name of its shingle set (null if it has none), signature and hash of its text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -137,9 +137,10 @@ def features(docs: DataFrame, plan: JoinPlan, id_col: str, text_col: str) -> Dat
                     s = shingles(t, plan.words)
                     names.append(set_name(s) if len(s) else None)
                     signs.append(signature(s, plan).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "h", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.binary()), pa.array(signs, pa.binary()), part.column(2)], ["doc_id", "h", "sig", "text_hash"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, h binary, sig binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, h binary, sig binary, text_hash long")
 
 
 def paths(sets: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -310,8 +311,11 @@ def verified(texts: DataFrame, plan: JoinPlan) -> DataFrame:
     return rows.mapInArrow(run, "h binary, root binary, links long")
 
 
-def jaccard_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_links (other rows linked directly), component_id (least doc_id of its component) and kept."""
+def jaccard_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """Per row: doc_id, n_links (other rows linked directly), component_id (least doc_id of its component) and kept.
+
+    With hashed also text_hash (xxhash64), which tells rows of one doc_id but different texts apart.
+    """
     rows = saved(features(docs, plan, id_col, text_col), "signatures")
     sets = rows.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig"))
     sets = saved(sets, "sets")
@@ -329,9 +333,9 @@ def jaccard_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "do
         .join(final.join(least, "root").select("h", "component_id"), "h", "left")
         .select("h", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
     )
-    out = rows.select("doc_id", "h").join(info, "h", "left")
+    out = rows.select("doc_id", "h", "text_hash").join(info, "h", "left")
     component = F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["text_hash"] if hashed else []))
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,17 @@ def test_chosen_path_odd_rows(spark):
     assert chosen_path.jaccard_join(df.limit(0)).count() == 0
 
 
+def test_pipeline_judges_rows_that_share_a_doc_id(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(rng.choice(WORDS, 60)) for _ in range(4))
+    rows = [(2, a), (5, b), (5, a + " end"), (5, b), (None, a), (None, c), (None, c), (None, None), (None, None), (7, d), (7, c + " end")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=repr)
+    assert got == sorted([(2, a), (5, b), (None, None), (None, None), (7, d), (7, c + " end")], key=repr)
+
+
 def vectors(rng, n=400, d=16):
     x = rng.normal(size=(n, d))
     for k in range(0, n, 4):
