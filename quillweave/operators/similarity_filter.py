@@ -14,8 +14,6 @@ from quillweave.operators.pairs import block_pairs
 from quillweave.operators.sequences import at_least_two, renumber
 from quillweave.plans.store import saved
 
-MAX_ROUNDS = 1000
-
 
 def positional_identity(a: Column, b: Column) -> Column:
     """The share as a Column, for pairs that are at hand: equal letters over the shorter length, single precision."""
@@ -54,7 +52,8 @@ def greedy_filter(seqs: DataFrame, threshold: float) -> DataFrame:
     """The sequences that stay, numbered anew; a threshold of 0 or less keeps all.
 
     Equal to going through the sequences in order: in each round the undecided ones without an undecided earlier
-    neighbour stay, and their later neighbours go. Each round is written out, so none depends on the ones before.
+    neighbour stay, and their later neighbours go. Each round is written out, so none depends on the ones before. Each decides at least the
+    first undecided sequence, so the rounds end.
     """
     if threshold > 1:
         raise ValueError("the threshold is a share, from 0 to 1")
@@ -62,9 +61,7 @@ def greedy_filter(seqs: DataFrame, threshold: float) -> DataFrame:
         return seqs
     links = saved(edges(seqs, threshold), "edges")
     lost = None
-    for _ in range(MAX_ROUNDS):
-        if links.isEmpty():
-            break
+    while not links.isEmpty():
         waiting = links.select(F.col("j").alias("n")).distinct()
         stay = links.select(F.col("i").alias("n")).distinct().join(waiting, "n", "left_anti")
         gone = saved(links.join(stay, links["i"] == stay["n"], "left_semi").select(F.col("j").alias("n")).distinct(), "lost")
@@ -72,8 +69,6 @@ def greedy_filter(seqs: DataFrame, threshold: float) -> DataFrame:
         decided = gone.union(stay)
         rest = links.join(decided, links["i"] == decided["n"], "left_anti").join(gone, links["j"] == gone["n"], "left_anti")
         links = saved(rest, "edges")
-    else:
-        raise RuntimeError(f"the filter did not settle in {MAX_ROUNDS} rounds")
     kept = seqs if lost is None else seqs.join(lost, seqs["ord"] == lost["n"], "left_anti")
     return at_least_two(renumber(kept))
 

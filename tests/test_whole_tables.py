@@ -108,3 +108,13 @@ def test_one_pass_over_all_documents(spark, small):
 def test_entry_takes_all_rows(spark):
     n = len(sequences(entry.ENTRY_DIR, "part", "p_partkey", "p_name"))
     assert entry.entry(spark).count() == n * (n - 1) // 2 == 19_900
+
+
+def test_filter_takes_as_many_rounds_as_a_chain_needs(spark, monkeypatch):
+    from quillweave.operators import similarity_filter
+
+    monkeypatch.setattr(similarity_filter, "MAX_ROUNDS", 3, raising=False)
+    chain = [AMINO[(i + 1) // 2] + AMINO[i // 2] for i in range(12)]  # each shares one of two letters with its neighbours
+    seqs = spark.createDataFrame(list(enumerate(chain)), "ord int, seq string")
+    got = sorted(tuple(r) for r in similarity_filter.greedy_filter(seqs, 0.5).collect())
+    assert got == list(enumerate(survivors(chain, 0.5))) == list(enumerate(chain[::2]))
