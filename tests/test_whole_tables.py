@@ -118,3 +118,15 @@ def test_filter_takes_as_many_rounds_as_a_chain_needs(spark, monkeypatch):
     seqs = spark.createDataFrame(list(enumerate(chain)), "ord int, seq string")
     got = sorted(tuple(r) for r in similarity_filter.greedy_filter(seqs, 0.5).collect())
     assert got == list(enumerate(survivors(chain, 0.5))) == list(enumerate(chain[::2]))
+
+
+def test_benchmark_queries_equal_plain_loops(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list(AMINO[:20]), n)) for n in (1, 2, 7, 19, 30, 31, 64, 65, 90)]
+    texts += [texts[5], texts[8][:40] + texts[6], texts[7].lower() + " 1 é", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seqs = [s for t in texts if (s := letters_of(t, AMINO))]
+    for method in ("nw", "ga", "sw"):
+        assert pair_scores(QUERIES[f"q_{method}_benchmark"](spark, str(tmp_path))) == wanted(seqs, CONFIGS[method, "protein"])
+    kept = survivors(seqs, 0.1)
+    assert sorted(tuple(r) for r in QUERIES["q_filter_benchmark"](spark, str(tmp_path)).collect()) == list(enumerate(kept)) and len(kept) < len(seqs)
