@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Where saved tables lie, by the identity of their DataFrames.
+_paths: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,14 +28,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table, written out and read again."""
+def saved(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """The table, written out and read again. done: tables saved before that only this one needed; they are deleted."""
     path = f"{shared_folder(df.sparkSession)}/quillweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    drop(*done)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete saved tables; what still reads them becomes unusable."""
+    for df in tables:
+        if (path := _paths.get(id(df))) is not None:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables and files that were kept between steps; DataFrames that still read them become unusable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quillweave")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/quillweave")
