@@ -6,13 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-#: Where saved tables lie, by the identity of their DataFrames.
-_paths: dict[int, str] = {}
+#: Where saved tables lie, oldest first.
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,16 +33,30 @@ def saved(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     df.write.parquet(path)
     drop(*done)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
-    weakref.finalize(out, _paths.pop, id(out), None)
+    out._saved_at = path
+    _made.append(path)
     return out
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete saved tables; what still reads them becomes unusable."""
     for df in tables:
-        if (path := _paths.get(id(df))) is not None:
+        if (path := getattr(df, "_saved_at", None)) is not None:
             _delete(df.sparkSession, path)
+            if path in _made:
+                _made.remove(path)
+
+
+def made() -> int:
+    """How many saved tables there are; to be given to release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables saved since, once what was made from them is written."""
+    for path in _made[since:]:
+        _delete(spark, path)
+    del _made[since:]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -54,3 +67,4 @@ def _delete(spark: SparkSession, path: str) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete all tables and files that were kept between steps; DataFrames that still read them become unusable."""
     _delete(spark, f"{shared_folder(spark)}/quillweave")
+    _made.clear()
