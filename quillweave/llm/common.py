@@ -2,21 +2,63 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from typing import Generic, TypeVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.plans.store import saved, shared_folder
+from quillweave.plans.store import drop, saved, shared_folder
 
-__all__ = ["SPACE", "WORD", "filesystem", "get_bytes", "put_bytes", "saved", "scratch", "shared_folder", "table", "thinned"]
+__all__ = ["HOT", "Recent", "SPACE", "WORD", "chunks", "drop", "filesystem", "joined", "put_bytes", "rare_collections", "saved", "scratch", "shared_folder", "table", "thinned"]
 
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
 
+V = TypeVar("V")
+
+
+def rare_collections() -> None:
+    """Let a worker look for cycles rarely, where loops make very many small objects and no cycles."""
+    gc.freeze()
+    gc.set_threshold(300_000, 50, 100)
+
+
+
+class Recent(Generic[V]):
+    """What was used last, by text, in two halves of bounded bytes; when the new half is full, the old one goes."""
+
+    def __init__(self, limit: int):
+        self.half = limit // 2
+        self.new: dict[str, V] = {}
+        self.old: dict[str, V] = {}
+        self.used = 0
+
+    def room(self) -> dict[str, V]:
+        """The new half, to be asked for before each batch; a batch may fill it beyond its bytes by its own."""
+        if self.used > self.half:
+            self.old, self.new, self.used = self.new, {}, 0
+        return self.new
+
+
+def chunks(texts, limit: int = 1 << 20):
+    """Slices of a text column of about so many characters as lists, nulls as empty texts; a long text ends its slice."""
+    out, size = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        out.append(t)
+        size += len(t)
+        if size >= limit:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,27 +77,34 @@ def thinned(df: DataFrame, key: Column, n: int, sample: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+#: Keys that hold more than one row in so many are fewer than that, which bounds what is sent to all tasks.
+HOT = 1000
+
+
+def joined(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how: str = "left") -> DataFrame:
+    """rows with the facts of their key. facts: one row per key, with the number n of rows that have it, of total rows.
+
+    Facts of keys with over total / HOT rows, HOT at most, are sent to all tasks, so that such rows stay where they are;
+    the others are joined by shuffle, no key having more than its share. rows and facts should be stored tables.
+    """
+    limit = total // HOT
+    many = F.broadcast(facts.where(F.col(n) > limit).drop(n))  # fewer than HOT rows
+    few = rows.join(many.select(key), key, "left_anti").join(facts.where(F.col(n) <= limit).drop(n), key, how)
+    return few.unionByName(rows.join(many, key).select(few.columns))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store of a URI or local path, and the path in it; works on executors as on the driver."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def put_bytes(uri: str, parts, attempt: str) -> int:
-    """Write a file under a name of this attempt, then move it into place, so that a repeated task leaves one whole file."""
+def put_bytes(uri: str, parts) -> int:
+    """Write a file; its name must be that of one attempt, so that no other attempt or reader meets it half written."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     n = 0
-    with fs.open_output_stream(f"{path}.{attempt}.part", compression=None) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         for x in parts:
             out.write(x)
             n += len(x)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_file(path)
-    fs.move(f"{path}.{attempt}.part", path)
     return n
-
-
-def get_bytes(uri: str) -> bytes:
-    fs, path = filesystem(uri)
-    with fs.open_input_stream(path, compression=None) as f:
-        return f.read()
