@@ -7,14 +7,16 @@ the target of v. A state is therefore known by the token read last, as the gadge
 came to be, of its right part; equal ones share a state. Rows of the transition table are filled from the gadgets when
 first asked for.
 
-A word is encoded by reading it through the table: from each position, all tokens spelled next are tried as arcs, and
-one path leads to each position. The labels of its arcs are the ids; decoding emits the labels' texts.
+A word is encoded by reading it through the table. One path leads to each position at most, so arcs are tried longest
+first, and a position from which the end cannot be reached is never tried again. The arcs of the path are the ids;
+each arc emits its label, and decoding reads ids as arcs and emits their labels.
 
 Texts are cut into runs without white space, as no token spans white space; each different run is normalised, split and
-read once per worker while its store has room.
+read once per worker while the worker's store, bounded in bytes, has room. A full store keeps what was used last.
 
 Cases: null and empty texts have no ids and decode to an empty text; repeated rows and null ids are handled alike; an
-empty table gives an empty result; only the id and text columns are read.
+empty table gives an empty result; very long texts and very long runs are read as they are and not kept; only the id and
+text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -23,18 +25,23 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import table
+from quillweave.llm.common import Recent, rare_collections, table
 from quillweave.llm.token_files import BLANK
 
-STORE_RUNS = 250_000
+#: Bytes of runs, and of words, that a worker keeps with their ids and labels.
+STORE_BYTES = 160 << 20
+WORD_BYTES = 48 << 20
+#: Longer runs and words are not kept, as they hardly come again.
+LONGEST = 200
 #: Cells of the transition table that are kept before it is filled anew.
-STORE_ARCS = 3_000_000
+STORE_ARCS = 400_000
 END = float("inf")
 
 
@@ -47,8 +54,9 @@ def byte_letters() -> list[str]:
 
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        self.suffix = suffix
-        self.vocab = vocab
+        letters = byte_letters()
+        self.symbol = [vocab.get(x) for x in letters]
+        self.last_symbol = [vocab.get(x + suffix) for x in letters]
         born, left, right = {}, {}, {}
         gadget: dict[tuple[int, int], int] = {}  # (u, v): rank of the gadget that cuts v after u
         first_cut: dict[int, int] = {}
@@ -61,7 +69,7 @@ class Automaton:
         # behind: the tokens whose gadgets shape the state after a token, each with the rank up to which they do
         # before: the tokens that a token starts with, each with the rank at which it grew
         states: dict[tuple, int] = {}
-        self.state, self.behind, self.before = {}, [], {}
+        self.state, self.behind, self.before = {}, [()], {}  # state 0: nothing read, all arcs
         inner = [*born, *(i for i in vocab.values() if i not in born)]
         for x in inner:
             chain, y, end = [], x, END
@@ -79,10 +87,9 @@ class Automaton:
                 starts.append((y, end))
                 y, end = left.get(y), born.get(y)
             self.before[x] = starts
-        self.behind.insert(0, ())  # state 0: nothing read, all arcs
         self.rows: list[dict[int, int]] = [{} for _ in self.behind]
         self.filled = 0
-        # a trie of the tokens over base symbols
+        # a trie of the tokens over base symbols: arcs to nodes, and the token that ends at each node
         spelled: dict[int, tuple[int, ...]] = {}
 
         def spell(x: int) -> tuple[int, ...]:
@@ -90,25 +97,28 @@ class Automaton:
                 spelled[x] = spell(left[x]) + spell(right[x]) if x in left else (x,)
             return spelled[x]
 
-        self.trie: list[tuple[dict[int, int], int]] = [({}, -1)]
+        self.next: list[dict[int, int]] = [{}]
+        self.token: list[int] = [-1]
         for x in sorted(inner, key=lambda i: born.get(i, -1)):
             node = 0
             for s in spell(x):
-                if (to := self.trie[node][0].get(s)) is None:
-                    self.trie[node][0][s] = to = len(self.trie)
-                    self.trie.append(({}, -1))
+                if (to := self.next[node].get(s)) is None:
+                    self.next[node][s] = to = len(self.next)
+                    self.next.append({})
+                    self.token.append(-1)
                 node = to
-            self.trie[node] = (self.trie[node][0], x)
+            self.token[node] = x
+        self.size = {x: len(spell(x)) for x in inner}
 
     def arc(self, state: int, y: int) -> int:
         """The state after reading token y in a state, or -1 if a gadget has cut that arc; kept in the table."""
-        to = self.state[y]
+        to, gadget = self.state[y], self.gadget
         for a, until in self.behind[state]:
             for b, grew in self.before[y]:
-                rank = self.gadget.get((a, b))
+                rank = gadget.get((a, b))
                 if rank is not None and rank < until and rank <= grew:
                     to = -1
-        if self.filled == STORE_ARCS:
+        if self.filled >= STORE_ARCS:
             for row in self.rows:
                 row.clear()
             self.filled = 0
@@ -117,36 +127,58 @@ class Automaton:
         return to
 
     def symbols(self, word: str) -> list[int]:
-        """Base symbols of a word in byte letters; the last one carries the word's end. Unknown ones are left out."""
-        names = [*word[:-1], word[-1] + self.suffix] if word else []
-        return [self.vocab[s] for s in names if s in self.vocab]
+        """Base symbols of a word's bytes; the last one carries the word's end. Unknown ones are left out."""
+        raw, one = word.encode(), self.symbol
+        if not raw:
+            return []
+        out = [one[b] for b in raw]
+        out[-1] = self.last_symbol[raw[-1]]
+        return [x for x in out if x is not None] if None in out else out
 
     def encode(self, word: str) -> list[int]:
+        """The arcs of the one path that spells the word."""
         s = self.symbols(word)
-        n, trie, rows = len(s), self.trie, self.rows
-        at, via = [-1] * (n + 1), [None] * (n + 1)
-        at[0] = 0
-        for i in range(n):
-            state = at[i]
-            if state < 0:
-                continue
-            row, node = rows[state], 0
-            for j in range(i, n):
-                node = trie[node][0].get(s[j])
+        n, follow, token, rows, size = len(s), self.next, self.token, self.rows, self.size
+        path, left, at, state = [], [], 0, 0  # left: per arc of the path, the arcs that can still be tried in its place
+        dead: set[int] = set()
+        while at < n:
+            node, tries = 0, []
+            for k in range(at, n):
+                node = follow[node].get(s[k])
                 if node is None:
                     break
-                y = trie[node][1]
-                if y >= 0:
-                    to = row.get(y)
+                if (y := token[node]) >= 0:
+                    tries.append(y)
+            before = state
+            while True:
+                while tries:
+                    y = tries.pop()
+                    to = rows[before].get(y)
                     if to is None:
-                        to = self.arc(state, y)
-                    if to >= 0:
-                        at[j + 1], via[j + 1] = to, (i, y)
-        out = []
-        while n:
-            n, y = via[n]
-            out.append(y)
-        return out[::-1]
+                        to = self.arc(before, y)
+                    if to >= 0 and at + size[y] not in dead:
+                        break
+                else:  # no arc leads on from here: back to the arc before
+                    dead.add(at)
+                    at -= size[path.pop()]
+                    tries, before = left.pop()
+                    continue
+                break
+            path.append(y)
+            left.append((tries, before))
+            at += size[y]
+            state = to
+        return path
+
+    def accepts(self, ids: list[int]) -> bool:
+        """Whether these arcs can be read one after the other."""
+        state = 0
+        for y in ids:
+            to = self.rows[state].get(y)
+            state = self.arc(state, y) if to is None else to
+            if state < 0:
+                return False
+        return True
 
 
 class Codec:
@@ -163,24 +195,24 @@ class Codec:
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
-        self.labels = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels |= {i: t for t, i in self.special.items()}
+        #: What each arc emits; the arcs of special tokens lead from every state back to the start.
+        self.emits = {i: t.encode() for t, i in (model["vocab"] | self.special).items()}
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split).findall
         # beyond Latin letters, the library's own tables say what a letter is
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         self.other_words = pre_tokenizers.Split(Regex(split), "removed", invert=True).pre_tokenize_str
-        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.run = re.compile(f"[^{BLANK}]+").findall
-        self.store: dict[str, tuple[bytes, bytes]] = {}
-        self.known: dict[str, list[int]] = {}
+        self.store: Recent[tuple[bytes, bytes]] = Recent(STORE_BYTES)
+        self.known: Recent[list[int]] = Recent(WORD_BYTES)
 
     @classmethod
     def at(cls, path: str) -> Codec:
         if path not in cls._all:
             cls._all[path] = cls(path)
+            rare_collections()
         return cls._all[path]
 
     def runs(self, text: str) -> list[str]:
@@ -191,41 +223,55 @@ class Codec:
 
     def _part(self, part: str) -> list[int]:
         if part.isascii():
-            words = self.words(part.lower())
-        elif max(part) < "\u0250":
-            words = self.words(unicodedata.normalize("NFC", part).lower())
+            low = part.lower()
+        elif max(part) < "ɐ":
+            low = unicodedata.normalize("NFC", part).lower()
         else:
+            low = None
+        if low is None:
             words = [w for w, _ in self.other_words(self.normal(part))]
-        out = []
+        else:
+            words = (low,) if low.isalpha() else self.words(low)
+        out, known = [], self.known
         for w in words:
-            if (ids := self.known.get(w)) is None:
-                self.known[w] = ids = self.automaton.encode(w.encode().decode("latin-1").translate(self.letters))
+            if (ids := known.new.get(w)) is None:
+                if (ids := known.old.get(w)) is None:
+                    ids = self.automaton.encode(w)
+                if len(w) <= LONGEST:
+                    known.room()[w] = ids
+                    known.used += 200 + len(w) + 8 * len(ids)
             out += ids
         return out
 
     def _run(self, run: str) -> tuple[bytes, bytes]:
-        if self.cut and any(s in run for s in self.special):
+        if self.cut and self.cut.search(run):
             ids = [i for p in self.cut.split(run) if p for i in ([self.special[p]] if p in self.special else self._part(p))]
         else:
             ids = self._part(run)
-        return np.array(ids, "<u4").tobytes(), self.decode(ids).encode()
+        return array("I", ids).tobytes(), self.decode(ids)
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.labels[i] for i in ids])
+    def decode(self, ids: list[int]) -> bytes:
+        """What the arcs emit, one after the other, in UTF-8."""
+        emits = self.emits
+        return b" ".join([emits[y] for y in ids])
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """The ids of a text as little-endian 32-bit integers, and their decoded text in UTF-8."""
         runs, store = self.runs(text or ""), self.store
+        have = store.room()
         try:
-            parts = [store[r] for r in runs]
+            parts = [have[r] for r in runs]
         except KeyError:
-            if len(store) > STORE_RUNS:
-                store.clear()
-                self.known.clear()
-            for r in runs:
-                if r not in store:
-                    store[r] = self._run(r)
-            parts = [store[r] for r in runs]
+            long = {}
+            for r in set(runs).difference(have):
+                if (got := store.old.get(r)) is None:
+                    got = self._run(r)
+                if len(r) <= LONGEST:
+                    have[r] = got
+                    store.used += 270 + len(r) + len(got[0]) + len(got[1])
+                else:
+                    long[r] = got
+            parts = [long[r] if r in long else have[r] for r in runs] if long else [have[r] for r in runs]
         return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]])
 
 
@@ -237,18 +283,20 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         codec = Codec.at(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                both = [codec.encode(t) for t in part.column(1).to_pylist()]
-                cols = [
-                    part.column(0),
-                    pa.array([len(a) // 4 for a, _ in both], pa.int64()),
-                    pa.array([hashlib.sha256(a).hexdigest() for a, _ in both], pa.string()),
-                    pa.array([hashlib.sha256(b).hexdigest() for _, b in both], pa.string()),
-                ]
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found, n, one, two = [], [], [], []
+                for t in part.column(1):
+                    a, b = codec.encode(t.as_py())
+                    n.append(len(a) // 4)
+                    one.append(hashlib.sha256(a).hexdigest())
+                    two.append(hashlib.sha256(b).hexdigest())
+                    if ids:
+                        found.append(a)
+                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
                 if ids:
-                    flat = np.frombuffer(b"".join([a for a, _ in both]), "<i4")
-                    ends = np.cumsum([0, *[len(a) // 4 for a, _ in both]]).astype(np.int32)
+                    flat = np.frombuffer(b"".join(found), "<i4")
+                    ends = np.cumsum([0, *n]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, fields)
 
