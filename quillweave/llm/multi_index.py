@@ -7,15 +7,19 @@ in double precision. How many cells that takes is measured: vectors of the sampl
 exactly the least cosine, the hardest case, and the place of the turned vector's cell in the visiting order is noted;
 a pair is found if either of the two visits the other's cell.
 
+The number of codes follows the number of vectors, so that a cell holds about the same at any size, up to a grid of
+codes * codes cells (16 million, a billion vectors); beyond that cells grow. Vectors of each length have a grid of their
+own, as only vectors of equal length can link. Codebooks are fitted on a sample of at most sample vectors of a length.
+
 Copies with equal bytes are one vector with a count, so they never meet each other. Neighbouring cells
 form bins of about a block of vectors, to which queries are sent once; a cell that is larger, with a third of all rows
 perhaps, is dealt in blocks of queries times blocks of indexed vectors over many tasks. Blocks return counts and spanning
-links, not pairs.
+links, not pairs, and hold fewer vectors the longer these are.
 
-Cases: null vectors and those that are empty, of another length than most, zero, or with null or non-finite components
-link with nothing and are their own component; repeated rows are vectors that link with each other; ties in distance go
-to the lower cell; a null id takes part but names no component unless no member has one; an empty table gives an empty
-result; only the id and vector columns are read.
+Cases: null vectors and those that are empty, zero, or with null or non-finite components link with nothing and are their
+own component; repeated rows are vectors that link with each other; ties in distance go to the lower cell; a null id takes
+part but names no component unless no member has one; very long vectors make smaller blocks; an empty table gives an empty
+result; only the id and vector columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import saved, table, thinned
+from quillweave.llm.common import joined, saved, table, thinned
 from quillweave.llm.chosen_path import grouped, spanning
 from quillweave.llm.components import connected_components
 
@@ -37,10 +41,12 @@ from quillweave.llm.components import connected_components
 class IndexPlan:
     cosine: float = 0.9
     recall: float = 0.98  # one-sided, at the least cosine; both sides together reach more
-    sample: int = 8192  # vectors that codebooks and visits are fitted on, at most
+    sample: int = 65_536  # vectors of a length that codebooks and visits are fitted on, at most
+    least_sample: int = 8192  # and at least, if there are so many; else 16 for every code
     cell: int = 64  # vectors of a cell, about
-    codes: int = 256  # codes of a half, at most
+    codes: int = 4096  # codes of a half, at most
     block: int = 1024  # vectors of a block
+    doubles: int = 1 << 18  # components of a block, at most
     rounds: int = 12  # of k-means
     seed: int = 5
 
@@ -54,10 +60,15 @@ def distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * x @ codes.T + (codes * codes).sum(axis=1)
 
 
+def nearest(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    step = max(1, (1 << 24) // max(1, len(codes)))
+    return np.concatenate([distances(x[lo : lo + step], codes).argmin(axis=1) for lo in range(0, len(x), step)])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     codes = x[rng.choice(len(x), k, replace=False)].copy()
-    for _ in range(rounds):
-        near = distances(x, codes).argmin(axis=1)
+    for _ in range(rounds if k > 1 else 1):
+        near = nearest(x, codes)
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(codes)
         np.add.at(total, near, x)
@@ -80,8 +91,8 @@ class Codebooks:
         return distances(x[:, :h], self.first), distances(x[:, h:], self.second)
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        a, b = self.split(x)
-        return a.argmin(axis=1) * self.k + b.argmin(axis=1)
+        h = x.shape[1] // 2
+        return nearest(x[:, :h], self.first) * self.k + nearest(x[:, h:], self.second)
 
     def order(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The first cells of each vector in multi-sequence order.
@@ -89,6 +100,9 @@ class Codebooks:
         The cell of ranks (i, j) comes after all (i + 1)(j + 1) - 1 cells of no greater ranks, so only pairs of ranks with
         (i + 1)(j + 1) <= visits can be among the first visits; these are sorted by their sums.
         """
+        step = max(1, (1 << 21) // self.k)
+        if len(x) > step:
+            return np.concatenate([self.order(x[lo : lo + step], visits) for lo in range(0, len(x), step)])
         a, b = self.split(x)
         ra, rb = a.argsort(axis=1, kind="stable"), b.argsort(axis=1, kind="stable")
         i, j = np.array([(i, j) for i in range(min(self.k, visits)) for j in range(min(self.k, visits // (i + 1)))]).T
@@ -98,11 +112,17 @@ class Codebooks:
         return ra[row, i[best]] * self.k + rb[row, j[best]]
 
 
+def codes_for(n: int, plan: IndexPlan) -> int:
+    return int(min(plan.codes, max(1, round(math.sqrt(n / plan.cell)))))
+
+
 def fit(sample: np.ndarray, n: int, plan: IndexPlan) -> Codebooks:
-    """Codebooks and the number of visits, from a sample of unit vectors; n: all vectors."""
+    """Codebooks and the number of visits, from a sample of unit vectors; n: all vectors of their length."""
     rng = np.random.default_rng(plan.seed)
-    k = int(min(plan.codes, len(sample), max(1, round(math.sqrt(n / plan.cell)))))
+    k = min(codes_for(n, plan), len(sample))
     h = sample.shape[1] // 2
+    if k == 1:
+        return Codebooks(sample[:1, :h], sample[:1, h:], 1)
     books = Codebooks(k_means(sample[:, :h], k, plan.rounds, rng), k_means(sample[:, h:], k, plan.rounds, rng), 1)
     probe = sample[rng.choice(len(sample), min(len(sample), 2000), replace=False)]
     turn = rng.normal(size=probe.shape)
@@ -119,7 +139,7 @@ def fit(sample: np.ndarray, n: int, plan: IndexPlan) -> Codebooks:
 def binned(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each cell, with about block vectors in a bin and a larger cell alone in its own; and the blocks of each bin."""
     bins, parts, held = np.zeros(len(sizes), np.int32), [0], 0
-    for cell, n in enumerate(sizes):
+    for cell, n in enumerate(sizes.tolist()):
         if held and held + n > block:
             parts.append(0)
             held = 0
@@ -129,19 +149,42 @@ def binned(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, np.maximum(parts, 1)
 
 
+@dataclass(frozen=True)
+class Grid:
+    """The codebooks of one length of vectors, and where its cells and bins begin among those of all lengths."""
+
+    books: Codebooks
+    cells: int
+    block: int
+
+
+def grids(sets: DataFrame, plan: IndexPlan) -> dict[int, Grid]:
+    """One grid per length of vectors; one row per length reaches the driver, and a sample of each that needs codes."""
+    out, cells = {}, 0
+    counts = sets.groupBy((F.octet_length("h") / 8).cast("int").alias("d")).count().collect()
+    for d, n in sorted((r["d"], r["count"]) for r in counts):
+        k = codes_for(n, plan)
+        sample = min(plan.sample, max(plan.least_sample, 16 * k)) if k > 1 else 1
+        of = sets.where(F.octet_length("h") == 8 * d)
+        some = thinned(of, F.col("id"), n, sample) if k > 1 else of.limit(1)
+        rows = sorted(some.select("id", "h").collect())[:sample]
+        books = fit(np.frombuffer(b"".join(r["h"] for r in rows), np.float64).reshape(len(rows), d), n, plan)
+        out[d] = Grid(books, cells, int(max(8, min(plan.block, plan.doubles // d))))
+        cells += books.k**2
+    return out
+
+
 def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept."""
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    size = rows.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = size["d"] if size else 0
 
     def packed(batches):
         for batch in batches:
             out = []
             for v in batch.column(1).to_pylist():
-                x = np.array(v, np.float64) if v is not None and len(v) == dims and dims and None not in v else None
+                x = np.array(v, np.float64) if v and None not in v else None
                 ok = x is not None and np.isfinite(x).all() and x.any()
                 if ok:
                     x = x / np.abs(x).max()  # no overflow in the norm
@@ -151,29 +194,32 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
 
     rows = saved(rows.mapInArrow(packed, f"vec_id {kind}, h binary"), "vectors")
     sets = saved(rows.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id")).withColumn("id", F.sha2("h", 256)), "distinct-vectors")
-    n = sets.count()
-    if n:
-        sample = sorted(thinned(sets, F.col("id"), n, plan.sample).select("id", "h").collect())[: plan.sample]
-        books = fit(np.frombuffer(b"".join(r["h"] for r in sample), np.float64).reshape(len(sample), dims), n, plan)
-    else:
-        books = Codebooks(np.zeros((1, 1)), np.zeros((1, 1)), 1)
-    sent = spark.sparkContext.broadcast(books)  # at most codes * dims doubles
+    grid = grids(sets, plan)
+    sent = spark.sparkContext.broadcast(grid)  # 2 * codes * dims doubles of each length, at most
 
     def placed(batches):
-        b = sent.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(batch.num_rows, dims)
-            cells = [c.tobytes() for c in np.sort(b.order(x, b.visits), axis=1).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b.home(x), pa.int64()), pa.array(cells, pa.binary())], ["id", "h", "copies", "home", "cells"])
+            h = batch.column(1).to_pylist()
+            size = np.array([len(x) // 8 for x in h], np.int64)
+            home, cells = np.zeros(len(h), np.int64), [b""] * len(h)
+            for d in np.unique(size):
+                at, g = np.flatnonzero(size == d), sent.value[int(d)]
+                x = np.frombuffer(b"".join([h[k] for k in at]), np.float64).reshape(len(at), d)
+                home[at] = g.books.home(x) + g.cells
+                for k, c in zip(at, np.sort(g.books.order(x, g.books.visits) + g.cells, axis=1).astype(np.int32)):
+                    cells[k] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(cells, pa.binary())], ["id", "h", "copies", "home", "cells"])
 
     at = saved(sets.select("id", "h", "copies").mapInArrow(placed, "id string, h binary, copies long, home long, cells binary"), "cells")
-    sizes = np.zeros(books.k**2, np.int64)
-    for r in at.groupBy("home").count().collect():  # one row per cell, the square of plan.codes at most
-        sizes[r["home"]] = r["count"]
-    bins, parts = binned(sizes, plan.block)
-    sent_bins = spark.sparkContext.broadcast(bins)
+    found = at.groupBy("home").count().toArrow()  # a number per cell, the squares of codes at most
+    sizes = np.zeros(sum(g.books.k**2 for g in grid.values()), np.int64)
+    sizes[found["home"].to_numpy()] = found["count"].to_numpy()
+    bins, facts = np.zeros(len(sizes), np.int32), []
+    for g in grid.values():
+        own, parts = binned(sizes[g.cells : g.cells + g.books.k**2], g.block)
+        bins[g.cells : g.cells + len(own)] = own + len(facts)
+        facts += [(len(facts) + i, int(n), 16 * g.block) for i, n in enumerate(parts)]
+    sent_bins = spark.sparkContext.broadcast(bins)  # 4 bytes per cell
 
     def spread(batches):
         for batch in batches:
@@ -185,8 +231,8 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
     queries = at.select(*base, F.explode("bins").alias("bin"), F.lit(1).alias("side"))
     both = at.select(*base, "bin", F.lit(0).alias("side")).union(queries)
     # blocks of each bin: of its indexed vectors (only a large cell has more than one) and of the queries to it
-    asked = queries.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / (16 * plan.block)).cast("int").alias("b1"))
-    blocks = spark.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "bin int, b0 int").join(asked, "bin")
+    asked = queries.groupBy("bin").agg(F.count(F.lit(1)).alias("asked"))
+    blocks = spark.createDataFrame(facts, "bin int, b0 int, q int").join(asked, "bin").select("bin", "b0", F.ceil(F.col("asked") / F.col("q")).cast("int").alias("b1"))
     both = both.join(F.broadcast(blocks), "bin")  # a row per bin, fewer than cells
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1")))
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0")) - 1))
@@ -197,56 +243,63 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
     def verify(batches):
         of_cell = sent_bins.value
         for own, _, side, ids, h, copies, home, cells in grouped(batches, 2):
-            side, home, copies = np.array(side), np.array(home), np.array(copies, np.float64)
-            x = np.frombuffer(b"".join(h), np.float64).reshape(len(ids), dims)
-            visited = [np.frombuffer(c, np.int32) for c in cells]
+            side, home, copies, n = np.array(side), np.array(home), np.array(copies, np.float64), len(ids)
             q, d = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
             if not len(q) or not len(d):
                 continue
-            d = d[home[d].argsort(kind="stable")]
-            spots = np.concatenate([visited[k] for k in q])
-            who = np.repeat(q, [len(visited[k]) for k in q])
-            hit = of_cell[spots] == own[0]
+            x = np.frombuffer(b"".join(h), np.float64).reshape(n, -1)
+            visits = [len(c) // 4 for c in cells]
+            spots, who = np.frombuffer(b"".join(cells), np.int32).astype(np.int64), np.repeat(np.arange(n), visits)
+            seen = np.sort(who * len(of_cell) + spots)  # every vector with every cell that it visits
+            hit = (side[who] == 1) & (of_cell[spots] == own[0])
             spots, who = spots[hit], who[hit]
-            links: list[tuple[np.ndarray, np.ndarray]] = []
+            order = spots.argsort(kind="stable")
+            spots, who = spots[order], who[order]
+            d = d[home[d].argsort(kind="stable")]
+            name = np.array(ids, object)
+            _, same = np.unique(name, return_inverse=True)  # one vector can be on both sides
+            root, total, linked = _firsts(same)[same], np.zeros(n), np.zeros(n, bool)
             for cell in np.unique(home[d]):
                 lo, hi = np.searchsorted(home[d], [cell, cell + 1])
-                ask = who[spots == cell]
-                if len(ask):
+                begin, end = np.searchsorted(spots, [cell, cell + 1])
+                for at in range(begin, end, 1024):
+                    ask = who[at : min(at + 1024, end)]
                     i, j = np.nonzero(x[ask] @ x[d[lo:hi]].T >= plan.cosine)
-                    links.append((ask[i], d[lo:hi][j]))
-            if not links:
-                continue
-            a, c = (np.concatenate(z) for z in zip(*links))
-            name = np.array(ids, object)
-            other = name[a] != name[c]
-            a, c = a[other], c[other]
-            if not len(a):
-                continue
-            # the link of a to c is found from c as well if c visits the home of a; else it counts for both here
-            alone = np.array([home[i] not in visited_set for i, visited_set in zip(a, (visited[k] for k in c))], bool)
-            total = np.bincount(a, copies[c], len(ids)) + np.bincount(c[alone], copies[a[alone]], len(ids))
-            _, same = np.unique(name, return_inverse=True)  # one vector can be on both sides
-            first = np.full(same.max() + 1, len(ids))
-            np.minimum.at(first, same, np.arange(len(ids)))
-            root = first[same]
-            top = spanning(root[a], root[c], len(ids))[root]
-            use = np.unique(np.concatenate([a, c]))
-            yield pa.RecordBatch.from_arrays([pa.array(name[use], pa.string()), pa.array(name[top[use]], pa.string()), pa.array(total[use].astype(np.int64))], ["id", "root", "links"])
-
-    found = saved(tiles.mapInArrow(verify, "id string, root string, links long"), "vector-links")
-    final = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "root")
-    least = final.join(sets.select("id", "vec_id"), "id").groupBy("root").agg(F.min("vec_id").alias("component_id"))
+                    a, c = ask[i], d[lo:hi][j]
+                    other = same[a] != same[c]
+                    a, c = a[other], c[other]
+                    if not len(a):
+                        continue
+                    # the link of a to c is found from c as well if c visits the home of a; else it counts for both here
+                    key = c * len(of_cell) + home[a]
+                    alone = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
+                    total += np.bincount(a, copies[c], n) + np.bincount(c[alone], copies[a[alone]], n)
+                    linked[a] = linked[c] = True
+                    root = spanning(root[a], root[c], n)[root]
+            use = np.flatnonzero(linked)
+            if len(use):
+                yield pa.RecordBatch.from_arrays([pa.array(name[use], pa.string()), pa.array(name[root[use]], pa.string()), pa.array(total[use].astype(np.int64))], ["id", "root", "links"])
+
+    links = saved(tiles.mapInArrow(verify, "id string, root string, links long"), "vector-links")
+    final = saved(connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "root"), "components")
+    least = saved(final.join(sets.select("id", "vec_id"), "id").groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "component-names")
     info = (
-        sets.join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
-        .join(final.join(least, "root").select("id", "component_id"), "id", "left")
-        .select("h", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        sets.join(links.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
+        .join(joined(final, least, "root", "n", final.count()).select("id", "component_id"), "id", "left")
+        .select("h", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     )
-    out = rows.join(info, "h", "left")
+    out = joined(rows, saved(info, "vector-facts"), "h", "copies", rows.count())
     component = F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+def _firsts(same: np.ndarray) -> np.ndarray:
+    """The first place of each value of 0 to the largest."""
+    first = np.full(int(same.max()) + 1, len(same))
+    np.minimum.at(first, same, np.arange(len(same)))
+    return first
+
+
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
