@@ -3,24 +3,28 @@
 Every line of a text is judged by itself; lines that fail are removed, and a document that loses too much of its
 text is rejected. Words are runs of characters other than ASCII white space.
 
-Cases: a null text has no words and fails the base rules; an empty text likewise. Rows are judged one by one, so
-repeated rows, ties and null ids change nothing; an empty table gives an empty result. Only the id and text columns
-are read, so further columns may have any name.
+Boilerplate is found in the data, in any language: a line that stands after very many different lines. Copies of a
+document repeat their lines after the same ones, so that they do not make boilerplate of each other. A line counts if it
+makes up more than one in boiler_share of all different pairs of a line and the one before; there are fewer than
+boiler_share such lines, whatever the corpus, which bounds what the driver gets and sends.
+
+Cases: a null text has no words and fails the base rules; an empty text likewise. Apart from the boilerplate, to which
+each row adds its lines, rows are judged one by one, so repeated rows, ties and null ids change nothing; a share exactly
+at its limit passes; a very long text or line is judged whole; an empty table gives an empty result. Only the id and text
+columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import SPACE, table
+from quillweave.llm.common import SPACE, WORD, drop, saved, table
 
-#: Phrases of page furniture, looked for in the lower-cased line.
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "skip to content", "click here to", "lorem ipsum", "page not found")
+#: How a line of prose closes: marks of several scripts, with quotes or brackets after them.
+CLOSING = r"[.!?:;,\u2026\u3002\uff01\uff1f][\"')\]\u201d\u2019\u00bb]*[\x20\x09-\x0D]*$"
 
 
 @dataclass(frozen=True)
@@ -32,6 +36,10 @@ class LineRules:
     bars: int = 2  # navigation: separate bars in a line
     bar_share: float = 0.15  # navigation: bars among the words
     stutter_share: float = 0.5  # boilerplate: words equal to the word before, beyond this
+    open_words: int = 4  # punctuation: a line of so many words or fewer must close with a mark
+    boiler_letters: int = 160  # boilerplate: lines of so many characters at most
+    boiler_contexts: int = 10  # boilerplate: different lines before it, at least
+    boiler_share: int = 10_000  # boilerplate: more than one in so many of all pairs of lines
     lost_share: float = 0.5  # document: word characters in removed lines beyond this
 
 
@@ -78,8 +86,21 @@ def _spread(starts: Column) -> Column:
     )
 
 
-def line_fails(line: Column, words: Column, chars: Column, symbols: Column, rules: LineRules = LineRules()) -> Column:
-    """Whether a line fails a rule of punctuation, navigation or boilerplate; symbols: of the whole text."""
+def common_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> list[int]:
+    """Hashes of the lines that are boilerplate in these documents, fewer than rules.boiler_share."""
+    hashed = F.transform(F.split(text_col, "\n", -1), lambda x: F.struct(F.when((F.length(x) <= rules.boiler_letters) & x.rlike(WORD), F.xxhash64(x)).alias("h"), F.xxhash64(x).alias("own")))
+    pairs = docs.select(hashed.alias("lines")).select(F.explode(F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), F.when(i > 0, F.get("lines", i - 1)["own"]).alias("before")))).alias("p"))
+    contexts = pairs.select("p.h", "p.before").where("h is not null").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    contexts = saved(contexts, "line-contexts")
+    total = contexts.agg(F.sum("n")).first()[0] or 0
+    limit = max(rules.boiler_contexts - 1, total // rules.boiler_share)
+    found = sorted(r["h"] for r in contexts.where(F.col("n") > limit).select("h").collect())
+    drop(contexts)
+    return found
+
+
+def line_fails(line: Column, words: Column, chars: Column, symbols: Column, common: list[int], rules: LineRules = LineRules()) -> Column:
+    """Whether a line fails a rule of punctuation, navigation or boilerplate; symbols: of the whole text; common: hashes."""
     n = F.size(words)
     marked = (symbols > 0) & (_symbols(line) > rules.symbol_share * chars)
     shouts = line.contains("!!") & (n >= 2) & (F.size(F.filter(words, lambda w: w.endswith("!!"))) > rules.shout_share * n)
@@ -88,16 +109,18 @@ def line_fails(line: Column, words: Column, chars: Column, symbols: Column, rule
     # so many repeats leave few distinct words, which is quicker to see
     again = lambda: F.size(F.filter(words, lambda w, i: F.get(words, i - 1) == w))
     stutter = (n >= 4) & (F.size(F.array_distinct(words)) <= (1 - rules.stutter_share) * n) & (again() > rules.stutter_share * n)
-    phrase = lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE])
-    return marked | shouts | navigation | stutter | (n <= 20) & _let(F.lower(line), phrase)
+    open_ = (n <= rules.open_words) & ~line.rlike(CLOSING)
+    out = marked | shouts | navigation | stutter | open_
+    return out | (F.length(line) <= rules.boiler_letters) & F.xxhash64(line).isin(common) if common else out
 
 
 def line_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Per row: counts, base verdict, kept, the cleaned text and the word characters that removed lines held."""
+    common = common_lines(docs, text_col, rules)
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     line = lambda x: _let(split_words(x), lambda w: F.struct(x.alias("line"), w.alias("words"), F.length(F.array_join(w, "")).alias("chars")))
     df = df.select("doc_id", F.transform(F.split("text", "\n", -1), line).alias("lines"), _symbols(F.col("text")).cast("long").alias("n_symbols"))
-    fails = lambda x: (x["chars"] > 0) & line_fails(x["line"], x["words"], x["chars"], F.col("n_symbols"), rules)
+    fails = lambda x: (x["chars"] > 0) & line_fails(x["line"], x["words"], x["chars"], F.col("n_symbols"), common, rules)
     df = df.select(
         "doc_id",
         F.flatten(F.col("lines.words")).alias("words"),
@@ -123,3 +146,35 @@ def line_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_clean(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_R = LineRules()
+#: The same rules over lines and words as rows.
+ORACLE = rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+w as (select k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols from d),
+l as (select k, n_symbols, x.line as line, x.i as i, regexp_extract_all(x.line, '[^\x20\x09-\x0D]+') as lw
+  from (select k, n_symbols, unnest(list_transform(string_split(text, chr(10)), lambda line, i: {{'line': line, 'i': i}})) as x from w)),
+p as (select distinct line, lag(line) over (partition by k order by i) as before from l qualify length(line) <= {_R.boiler_letters} and len(lw) > 0),
+c as (select line, count(*) as n from p group by line),
+common as (select line from c where n > greatest({_R.boiler_contexts - 1}, (select sum(n) from c) // {_R.boiler_share})),
+f as (select k, line, len(lw) as n, list_sum(list_transform(lw, lambda x: length(x))) as chars,
+  length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as marks, len(list_filter(lw, lambda x: ends_with(x, '!!'))) as shouts,
+  len(list_filter(lw, lambda x: x = '|')) as bars, len(list_distinct(lw)) as kinds, len(list_filter(lw, lambda x, i: i > 1 and lw[i - 1] = x)) as again
+  from l where len(lw) > 0),
+g as (select k, line, chars, marks > {_R.symbol_share}::double * chars
+  or n >= 2 and shouts > {_R.shout_share}::double * n
+  or bars >= {_R.bars} and bars > {_R.bar_share}::double * n or bars >= 1 and n <= 5
+  or n >= 4 and kinds <= (1 - {_R.stutter_share}::double) * n and again > {_R.stutter_share}::double * n
+  or n <= {_R.open_words} and not regexp_matches(line, '[.!?:;,…。！？]["'')\]”’»]*[\x20\x09-\x0D]*$')
+  or line in (select line from common) as bad from f),
+lines as (select k, sum(chars) as word_chars, count(*) - count(distinct line) as n_dup_lines, coalesce(sum(chars) filter (bad), 0) as lost from g group by k),
+t as (select k, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] as three from (select k, words, unnest(range(1, len(words) - 1)) as i from w where len(words) > 3)),
+r as (select k, i from t qualify count(*) over (partition by k, three) > 1),
+covered as (select k, count(distinct i) as n from (select k, i + unnest([0, 1, 2]) as i from r) group by k),
+o as (select doc_id, len(words)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars, n_symbols::bigint as n_symbols,
+  coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words, coalesce(lost, 0) as lost
+  from w left join lines using (k) left join covered using (k))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost <= {_R.lost_share}::double * word_chars as kept from o
+"""

@@ -20,5 +20,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_multi_index": multi_index.ORACLE,
     "op6_url_cascade": url_cascade.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op8_line_rules": line_rules.ORACLE,
     "op9_chosen_path": chosen_path.ORACLE,
 }
