@@ -2,14 +2,16 @@
 
 Sources weigh 5, 2, 1 and so on by code point order (null last) and share all words; a target stops at max_repeats
 times its source's words and the excess goes to the others by weight. Words are then dealt in blocks of equal size:
-sources get whole blocks by the highest quotients target / (2k + 1), the shards of a source get its blocks in the same
-way by their words, and each shard takes its documents in a seeded order, whole passes first and then one run of
-blocks that starts at a seeded block. A shard is a bounded part of a source, so a source with a third of all rows is
-spread over many tasks.
-
-Cases: null and empty texts have size 0 and are never taken; a null source is a source of its own and comes last;
-repeated rows are separate documents of equal size; an empty table gives an empty result; only the id, text and source
-columns are read. Reruns agree, whatever the partitions, as order and starts come from hashes of ids and a seed.
+sources get whole blocks by the highest quotients target / (2k + 1), the sections of a source get its blocks in the same
+way by their words, and so do the shards of a section, so that no task ranks more than a section's shards or a source's
+sections. Each shard takes its documents in a seeded order, whole passes first and then one run of blocks that starts at a
+seeded block. A shard is a bounded part of a source, so a source with a third of all rows is spread over many tasks.
+
+Cases: null and empty texts have size 0 and are never taken; a null source is a source of its own and comes last; null
+doc_ids are dealt by the hash of the text; repeated rows are separate documents of equal size; quotients that tie go to
+the lower source, section or shard; a very long text is cut by blocks like others; an empty table gives an empty result;
+only the id, text and source columns are read, so others may have any name. Reruns agree, whatever the partitions, as
+order and starts come from hashes of ids, texts and a seed.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ class MixPlan:
     max_repeats: int = 3
     block_words: int = 64
     shard_words: int = 200_000  # words of a shard, about
+    section_shards: int = 1000  # shards of a section
     seed: int = 17
 
 
@@ -86,8 +89,8 @@ def apportion(df: DataFrame, keys: list[str], claim: str, seats: Column, name: s
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", plan: MixPlan = MixPlan(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, size, source_size, target and taken, and the columns to carry."""
     more = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(carry)]
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), *more)
-    slim = saved(sized.select("doc_id", "source", "size"), "mix-sizes")  # texts are read once for these
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("t"), *more)
+    slim = saved(sized.select("doc_id", "source", "size", "t"), "mix-sizes")  # texts are read once for these
     sized = sized if carry else slim
     per = targets(slim, plan)
     blocks = lambda words: F.ceil(words / plan.block_words)
@@ -97,19 +100,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = per.select(F.col("source").alias("of"), "source_size", "target", "source_blocks", "shards")
 
     def sharded(df: DataFrame, *extra) -> DataFrame:
-        shard = F.pmod(F.xxhash64(F.lit(plan.seed), F.col("doc_id")), F.col("shards"))
-        return df.join(per, df["source"].eqNullSafe(per["of"])).select("source", "source_size", "target", "source_blocks", shard.alias("shard"), "size", *extra)
-
-    of_shard = (
-        sharded(slim)
-        .groupBy("source", "source_blocks", "shard")
-        .agg(F.sum("size").cast("long").alias("shard_words"))
-        .withColumn("claim", F.col("shard_words").cast("double"))
-    )
-    of_shard = apportion(of_shard, ["source"], "claim", F.col("source_blocks"), "quota", [F.col("shard")])
+        shard = F.pmod(F.xxhash64(F.lit(plan.seed), F.col("doc_id"), F.col("t")), F.col("shards"))
+        return df.join(per, df["source"].eqNullSafe(per["of"])).select("source", "source_size", "target", "source_blocks", shard.alias("shard"), "size", "t", *extra)
+
+    of_shard = sharded(slim).groupBy("source", "source_blocks", "shard").agg(F.sum("size").cast("long").alias("shard_words"))
+    of_shard = saved(of_shard.withColumn("section", F.floor(F.col("shard") / plan.section_shards).cast("int")), "mix-shards")
+    of_section = of_shard.groupBy("source", "source_blocks", "section").agg(F.sum("shard_words").cast("double").alias("claim"))
+    of_section = apportion(of_section, ["source"], "claim", F.col("source_blocks"), "section_blocks", [F.col("section")])
+    of_section = of_section.select(F.col("source").alias("of"), F.col("section").alias("of_section"), "section_blocks")
+    of_shard = of_shard.join(of_section, of_shard["source"].eqNullSafe(of_section["of"]) & (of_shard["section"] == of_section["of_section"]))
+    of_shard = of_shard.select("source", "section", "section_blocks", "shard", "shard_words", F.col("shard_words").cast("double").alias("claim"))
+    of_shard = apportion(of_shard, ["source", "section"], "claim", F.col("section_blocks"), "quota", [F.col("shard")])
     of_shard = of_shard.select(F.col("source").alias("of"), F.col("shard").alias("of_shard"), "shard_words", "quota")
     rows = sharded(sized, "doc_id", *[f"c_{i}" for i in range(len(carry))])
-    inside = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(plan.seed + 1), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(plan.seed + 1), F.col("doc_id"), F.col("t")), "doc_id", "t", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("stop", F.sum("size").over(inside))
     rows = rows.join(of_shard, rows["source"].eqNullSafe(of_shard["of"]) & (rows["shard"] == of_shard["of_shard"]))
     return rows.select("doc_id", "size", "source_size", "target", _taken(plan).alias("taken"), *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)])
