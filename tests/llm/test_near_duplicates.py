@@ -67,15 +67,34 @@ def test_chosen_path_equals_brute_force(spark, plan):
     assert {i: (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in got} == {i: (n[i], root[i], root[i] == i) for i in range(len(s))}
 
 
-def test_chosen_path_runs_follow_from_the_deepest_split():
-    rng, plan = np.random.default_rng(6), chosen_path.JoinPlan()
-    share = rng.binomial(plan.positions, plan.similarity, 400_000) / plan.positions
-    met = (share >= plan.agree) & (rng.random(len(share)) < 1 - (1 - share**plan.depth) ** plan.runs)
-    assert met.mean() >= plan.recall - 2e-4
+def test_chosen_path_runs_follow_from_the_branching():
+    """Pairs at the least similarity, whose buckets are split to ten levels: the share that meets in one of the runs."""
+    rng, plan, n = np.random.default_rng(6), chosen_path.JoinPlan(), 6000
+    a = rng.integers(0, 2**32, (n, plan.positions), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < plan.similarity, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+    met = np.zeros(n, bool)
+    for run in range(plan.runs):
+        of, key = np.arange(n), np.full(n, 1000 + run, np.uint64)
+        for _ in range(10):
+            x, y = chosen_path.split_keys(key, a[of], plan), chosen_path.split_keys(key, b[of], plan)
+            row, branch = np.nonzero(x == y)
+            of, key = of[row], x[row, branch]
+        met[of] = True
+    met &= (a == b).mean(axis=1) >= plan.agree
+    assert met.mean() >= plan.recall - 0.001
+    assert chosen_path.meeting(np.array([0.8]), 2) == pytest.approx(0.9375)
     with pytest.raises(ValueError):
         chosen_path.JoinPlan(positions=8, recall=0.9999999).runs
 
 
+def test_chosen_path_samples_different_positions():
+    plan = chosen_path.JoinPlan(positions=3, branches=3)
+    sig = np.tile(np.array([[1, 2, 3]], np.uint32), (500, 1))
+    keys = chosen_path.split_keys(np.arange(500, dtype=np.uint64), sig, plan)
+    other = chosen_path.split_keys(np.arange(500, dtype=np.uint64), sig * np.array([[1, 9, 1]], np.uint32), plan)
+    assert ((keys != other).sum(axis=1) == 1).all()
+
+
 def test_chosen_path_hot_group(spark):
     """Texts at Jaccard 0.80 to 0.82 of one base, among so many near copies of it that buckets are split at all levels."""
     rng = np.random.default_rng(5)
@@ -161,6 +180,39 @@ def test_multi_index_odd_rows(spark):
     assert multi_index.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_multi_index_links_each_length_by_itself(spark):
+    """Few and many vectors of several lengths, very long ones too, ties and hot copies, against all cosines."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for d, n in ((1, 6), (2, 30), (3, 500), (16, 300), (5000, 40)):
+        x = rng.normal(size=(n, d))
+        for k in range(0, n - 1, 3):
+            x[k + 1] = x[k] + rng.normal(size=d) * 0.1 * rng.random()
+        x[: n // 3] = x[0]
+        rows += [(v / 3).tolist() if k % 2 else v.tolist() for k, v in enumerate(x)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(6)
+    links = []
+    for i, a in enumerate(rows):
+        for j in range(i):
+            if len(a) == len(rows[j]):
+                u, v = np.array(a), np.array(rows[j])
+                if u @ v / np.sqrt((u @ u) * (v @ v)) >= 0.9:
+                    links.append((i, j))
+    n = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    for plan in (multi_index.IndexPlan(), multi_index.IndexPlan(cell=8, block=32, doubles=1000)):
+        got = {r["vec_id"]: r for r in multi_index.near_duplicates(df, plan).collect()}
+        found = np.array([got[i]["n_links"] for i in range(len(rows))])
+        assert (found <= n).all() and found.sum() >= 0.98 * n.sum()
+        if found.sum() == n.sum():
+            assert [got[i]["component_id"] for i in range(len(rows))] == least_of(len(rows), links)
+
+
+def test_codes_follow_the_vectors():
+    plan = multi_index.IndexPlan()
+    for n in (10**4, 10**6, 10**8, 10**9):
+        assert 0.8 < multi_index.codes_for(n, plan) ** 2 * plan.cell / n < 1.25
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(0)
     books = multi_index.Codebooks(rng.normal(size=(7, 4)), rng.normal(size=(7, 4)), 1)
@@ -171,11 +223,52 @@ def test_multi_sequence_order():
         assert (np.sort(total, axis=1)[:, :visits] == np.take_along_axis(total, books.order(x, visits), axis=1)).all()
 
 
+def plain_sentences(text, rules):
+    """Sentences as (start, end), letter by letter and word by word."""
+    marks, quotes, out, lo, k = ".!?\u3002\uff01\uff1f", "\"')]\u201d\u2019", [], 0, 0
+    ends = []
+    while k < len(text):
+        if text[k] == "\n":
+            ends.append(k + 1)
+        elif text[k] in marks:
+            e = k + 1
+            while e < len(text) and text[e] in marks:
+                e += 1
+            while e < len(text) and text[e] in quotes:
+                e += 1
+            if e == len(text) or text[e].isspace():
+                ends.append(e)
+            k = e - 1
+        k += 1
+    for hi in [*ends, len(text)]:
+        words, k = [], lo
+        while k < hi:
+            if text[k].isspace():
+                k += 1
+                continue
+            e = k
+            while e < hi and not text[e].isspace():
+                e += 1
+            words.append((k, e))
+            k = e
+        if len(words) <= rules.long_words:
+            groups = [words]
+        else:
+            groups = [[]]
+            for a, b in words:
+                groups[-1].append((a, b))
+                if len(groups[-1]) == rules.piece_words or (b - a + 7 * ord(text[a]) + 31 * ord(text[b - 1])) % 6 == 0:
+                    groups.append([])
+        out += [(g[0][0], g[-1][1], len(g)) for g in groups if g]
+        lo = hi
+    return out
+
+
 def cleaned(rows, rules=sentence_spans.SpanRules()):
-    """Row by row in order of doc_id, with a plain set of seen runs."""
+    """Row by row in order of doc_id, with a plain set of seen runs, by a splitter and a remover of its own."""
     seen, out = {}, {}
     for i, t in sorted(r for r in rows if r[0] is not None and r[1] is not None):
-        p, gone = sentence_spans.sentences(t), set()
+        p, gone = plain_sentences(t, rules), set()
         for k in range(len(p)):
             e = k + rules.span
             while e < len(p) and sum(x[2] for x in p[k:e]) < rules.min_words:
@@ -185,7 +278,11 @@ def cleaned(rows, rules=sentence_spans.SpanRules()):
             key = tuple(t[a:b] for a, b, _ in p[k:e])
             if seen.setdefault(key, (i, k)) != (i, k):
                 gone |= set(range(k, e))
-        out[i] = sentence_spans.without(t, sorted(gone), p) if gone else t
+        starts = [a for a, _, _ in p] + [len(t)]
+        keep = [True] * len(t)
+        for k in gone:
+            keep[starts[k] : starts[k + 1]] = [False] * (starts[k + 1] - starts[k])
+        out[i] = "".join(c for c, yes in zip(t, keep) if yes).rstrip(" \n") if gone else t
     return out
 
 
@@ -201,6 +298,40 @@ def test_sentence_spans_equal_brute_force(spark, small):
     assert not [v for v in windows.values() if len(v) > 1]
 
 
+def test_sentence_spans_tell_texts_of_one_doc_id_apart(spark):
+    passage = " ".join(f"Sentence {k} of the passage has some words of its own." for k in range(5))
+    own = " ".join(f"Line {k} of this text is said nowhere else at all." for k in range(30))
+    for other in ("short one", " ".join(f"A much longer text goes on with clause {k} here." for k in range(60))):
+        rows = [(3, passage), (7, own + " " + passage), (7, other), (7, own + " " + passage)]
+        got = sorted(map(tuple, sentence_spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()))
+        assert got == sorted([(3, passage), (7, own), (7, other), (7, own)])
+
+
+def test_sentence_spans_inside_other_sentences(spark):
+    """Passages of over 50 words, put into other texts at any word, are found; the texts around them stay."""
+    rng = np.random.default_rng(3)
+
+    def prose(n):
+        out = []
+        while sum(len(x.split()) for x in out) < n:
+            w = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(rng.integers(2, 34))]
+            out.append(" ".join(w).capitalize() + ".")
+        return " ".join(out)
+
+    passages, rows = [prose(55) for _ in range(60)], []
+    for k in range(300):
+        w = prose(200).split()
+        at = int(rng.integers(0, len(w)))
+        rows.append((k, " ".join([*w[:at], passages[k % 60], *w[at:]]), " ".join(w)))
+    rows += [(1000 + k, t, t) for k, t in enumerate(prose(200) for _ in range(100))]
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.dedup(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    left = {k: len(t.split()) for k, t in got.items()}
+    size = {k: len(t.split()) for k, _, t in rows}
+    assert all(got[k] == t for k, t, _ in rows if k < 60 or k >= 1000)
+    assert sum(left[k] < len(rows[k][1].split()) - 15 for k in range(60, 300)) >= 0.99 * 240
+    assert all(left[k] >= size[k] - 1 for k in range(60, 300))
+
+
 def test_sentence_spans_odd_rows(spark):
     passage = "This passage is here. It has some sentences in it! Does it have enough words? Yes, it has more than twelve words."
     own = "Nothing else says this at all."
