@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks of a stage over blocks, at most; beyond it a task takes several tiles, one after the other.
+MAX_TASKS = 20_000
+
+
 def all_pairs(seqs: DataFrame) -> DataFrame:
     """i < j with both sequences, by numbering the pairs: even tasks, and two joins on equal keys."""
     n = seqs.count()
@@ -18,7 +24,7 @@ def all_pairs(seqs: DataFrame) -> DataFrame:
 
 def by_number(ids: DataFrame, seqs: DataFrame) -> DataFrame:
     j = larger(F.col("pair_id"))
-    ids = ids.withColumn("j", j).withColumn("i", (F.col("pair_id") - F.col("j") * (F.col("j") - 1) / 2).cast("long"))
+    ids = ids.withColumn("j", j).withColumn("i", F.col("pair_id") - _first(F.col("j")))
     left = seqs.select(F.col("ord").cast("long").alias("i"), F.col("seq").alias("seq_i"))
     right = seqs.select(F.col("ord").cast("long").alias("j"), F.col("seq").alias("seq_j"))
     out = ids.join(left, "i").join(right, "j")
@@ -28,32 +34,46 @@ def by_number(ids: DataFrame, seqs: DataFrame) -> DataFrame:
 def pair_number(i: Column, j: Column) -> Column:
     """The place of (i, j), i < j, in the packed lower triangle."""
     j = j.cast("long")
-    return (j * (j - 1) / 2).cast("long") + i
+    return _first(j) + i
 
 
 def larger(pair_id: Column) -> Column:
     """j of a pair number; the root is corrected by one either way, so that rounding cannot matter."""
     guess = F.floor((1 + F.sqrt(1 + 8 * pair_id.cast("double"))) / 2).cast("long")
-    first = lambda j: j * (j - 1) / 2
-    return F.when(first(guess) > pair_id, guess - 1).when(first(guess + 1) <= pair_id, guess + 1).otherwise(guess)
+    return F.when(_first(guess) > pair_id, guess - 1).when(_first(guess + 1) <= pair_id, guess + 1).otherwise(guess)
+
+
+def _first(j: Column) -> Column:
+    """The number of the pair (0, j), in whole numbers."""
+    return F.shiftright(j * (j - 1), 1)
 
 
 def pair_count(n: Column) -> Column:
-    n = n.cast("long")
-    return (n * (n - 1) / 2).cast("long")
+    return _first(n.cast("long"))
+
 
+def block_of(n: int, cores: int, most: int = 512) -> int:
+    """Sequences of a block: so few that every core has some four tiles, so many that each is sent to few of them."""
+    blocks = math.ceil(math.sqrt(8 * cores))
+    return max(1, min(most, math.ceil(n / blocks)))
 
-def block_pairs(seqs: DataFrame, of_blocks: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = 256) -> DataFrame:
+
+def block_pairs(seqs: DataFrame, of_blocks: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int | None = None) -> DataFrame:
     """What of_blocks makes of every two blocks (and of each with itself) of so many consecutive sequences.
 
     Each sequence is sent once for every block that its own meets; a task holds two blocks, whatever the number of
-    sequences. of_blocks gets ord and seq of both and must itself drop pairs that are not i < j.
+    sequences. of_blocks gets ord and seq of both and must itself drop pairs that are not i < j. The number of tasks is
+    set here, as adaptive execution joins small tasks by their bytes, which say little about the work of pairs.
     """
+    spark = seqs.sparkSession
     n = seqs.agg(F.max("ord")).first()[0]
-    blocks = 0 if n is None else n // block + 1
+    n = 0 if n is None else n + 1
+    block = block or block_of(n, spark.sparkContext.defaultParallelism)
+    blocks = -(-n // block)
     mine = F.floor(F.col("ord") / block).cast("int")
     sent = seqs.select("ord", "seq", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))).alias("other"))
     sent = sent.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    tasks = max(1, min(blocks * (blocks + 1), MAX_TASKS))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
@@ -61,4 +81,15 @@ def block_pairs(seqs: DataFrame, of_blocks: Callable[[pd.DataFrame, pd.DataFrame
         right = pdf[pdf["mine"] == hi].sort_values("ord")
         return of_blocks(left[["ord", "seq"]].drop_duplicates("ord"), right[["ord", "seq"]].drop_duplicates("ord"))
 
-    return sent.groupBy("lo", "hi").applyInPandas(tile, schema)
+    return sent.repartition(tasks, "lo", "hi").groupBy("lo", "hi").applyInPandas(tile, schema)
+
+
+def identified_pairs(seqs: DataFrame, share: Callable[[list[str], list[str]], np.ndarray]) -> DataFrame:
+    """i, j and identity of all pairs i < j, block by block; share gives all shares of two lists."""
+
+    def of_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        i, j = left["ord"].to_numpy(), right["ord"].to_numpy()
+        a, b = np.nonzero(i[:, None] < j)
+        return pd.DataFrame({"i": i[a], "j": j[b], "identity": share(left["seq"].tolist(), right["seq"].tolist())[a, b]})
+
+    return block_pairs(seqs, of_blocks, "i int, j int, identity float")

@@ -8,23 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillweave.functions import sql_kernels
-from quillweave.functions.kernels import align_scores
 from quillweave.operators.pairs import block_pairs
-from quillweave.operators.similarity_filter import identity_shares
+from quillweave.operators.similarity_filter import paired_identity
 from quillweave.plans.config import ScoringConfig
 
 
-def score_all(seqs: DataFrame, config: ScoringConfig, block: int = 64) -> DataFrame:
+def score_all(seqs: DataFrame, config: ScoringConfig, block: int | None = None) -> DataFrame:
     """i, j, score of all pairs i < j. Blocks make even tasks; each scores its pairs in order of length."""
     cfg = config.resolved()
-    m, (o, e) = cfg.load(), cfg.gaps
-    lookup, scores, method = m.lookup, m.scores, cfg.method
+    m, (o, e), kernel = cfg.load(), cfg.gaps, cfg.kernel
+    lookup, scores = m.lookup, m.scores
 
     def of_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         i, j = left["ord"].to_numpy(), right["ord"].to_numpy()
         a, b = np.nonzero(i[:, None] < j)
         x, y = left["seq"].to_numpy(object)[a], right["seq"].to_numpy(object)[b]
-        return pd.DataFrame({"i": i[a], "j": j[b], "score": align_scores(y, x, lookup, scores, method, o, e)})
+        return pd.DataFrame({"i": i[a], "j": j[b], "score": kernel(y, x, lookup, scores, o, e)})
 
     return block_pairs(seqs, of_blocks, "i int, j int, score int", block)
 
@@ -36,6 +35,8 @@ def score_pairs(pairs: DataFrame, config: ScoringConfig, backend: str = "arrow")
         return pairs.withColumn("score", _scorer(cfg)("seq_j", "seq_i"))
     if backend != "sql":
         raise ValueError(f"unknown backend {backend!r}")
+    if cfg.method not in ("nw", "ga", "sw"):
+        raise ValueError(f"{cfg.method} has no SQL backend")
     m, (o, e) = cfg.load(), cfg.gaps
     names = pairs.columns
     coded = pairs.withColumns({"_r": sql_kernels.codes(F.col("seq_i"), m.alphabet), "_c": sql_kernels.codes(F.col("seq_j"), m.alphabet), "_t": sql_kernels.table_of(m)})
@@ -45,12 +46,12 @@ def score_pairs(pairs: DataFrame, config: ScoringConfig, backend: str = "arrow")
 
 
 def _scorer(cfg: ScoringConfig):
-    m, (o, e) = cfg.load(), cfg.gaps
-    lookup, scores, method = m.lookup, m.scores, cfg.method
+    m, (o, e), kernel = cfg.load(), cfg.gaps, cfg.kernel
+    lookup, scores = m.lookup, m.scores
 
     @F.pandas_udf("int")
     def scorer(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(align_scores(a.to_numpy(object), b.to_numpy(object), lookup, scores, method, o, e))
+        return pd.Series(kernel(a.to_numpy(object), b.to_numpy(object), lookup, scores, o, e))
 
     return scorer
 
@@ -61,6 +62,6 @@ def register_functions(spark: SparkSession, config: ScoringConfig) -> None:
 
     @F.pandas_udf("float")
     def identity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([identity_shares([x], [y])[0, 0] for x, y in zip(a, b)], dtype=np.float32)
+        return pd.Series(paired_identity(a.tolist(), b.tolist()))
 
     spark.udf.register("positional_identity", identity)

@@ -71,11 +71,17 @@ def at_least_two(seqs: DataFrame) -> DataFrame:
 
 
 def renumber(seqs: DataFrame, order: str = "ord") -> DataFrame:
-    """ord dense from 0 in the given order, without one task for all rows: range partitions are numbered one by one."""
+    """ord dense from 0 in the given order, without one task for all rows: range partitions are numbered one by one.
+
+    Rows that tie in the order come in order of their sequences. More rows than ord can number are an error.
+    """
+    ties = [c for c in ("seq",) if c in seqs.columns and c != order]
     parts = saved(seqs.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "parts")
+    if parts.count() >= 2**31:
+        raise SequenceError("too many sequences to number")
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order, *ties)) - 1
     joined = parts.withColumn("_within", within).join(F.broadcast(before.drop("_n")), "_part")  # one row per partition
     kept = [c for c in seqs.columns if c not in ("ord", order)]
     return joined.select((F.col("_before") + F.col("_within")).cast("int").alias("ord"), *kept)

@@ -35,7 +35,19 @@ def identity_shares(a: list[str], b: list[str]) -> np.ndarray:
     return same.astype(np.float32) / np.minimum(na[:, None], nb).astype(np.float32)
 
 
-def edges(seqs: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+def paired_identity(a: list[str], b: list[str]) -> np.ndarray:
+    """The shares of the pairs (a[p], b[p]), all pairs of a length together."""
+    n = np.array([min(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+    out = np.zeros(len(a), np.float32)
+    for width in np.unique(n[n > 0]):
+        at = np.flatnonzero(n == width)
+        x, y = ("".join(s[k][:width] for k in at) for s in (a, b))
+        same = np.frombuffer(x.encode("utf-32-le"), np.uint32) == np.frombuffer(y.encode("utf-32-le"), np.uint32)
+        out[at] = same.reshape(len(at), width).sum(axis=1).astype(np.float32) / np.float32(width)
+    return out
+
+
+def edges(seqs: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
     """i < j of all pairs whose share is at least the threshold; pairs are made and dropped block by block."""
     limit = np.float32(threshold)
 

@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+
+from quillweave.functions.kernels import align_scores
 from quillweave.functions.matrices import Matrix, get_matrix
 
 MAX_LENGTH = 2**30 - 1
 
 
+#: Scores of the pairs (cols[p], rows[p]) from the letters' codes, the table, and open and extend as negative numbers.
+Kernel = Callable[[Sequence[str], Sequence[str], np.ndarray, np.ndarray, int, int], np.ndarray]
+
+
 @dataclass(frozen=True)
 class Method:
+    """A way to score pairs: its kernel, and what it asks of a configuration's gaps."""
+
     name: str
-    gap: str  # linear or affine
-    aliases: tuple[str, ...]
+    kernel: Kernel
+    validate: Callable[[ScoringConfig], None]
+    aliases: tuple[str, ...] = ()
 
 
 METHODS: dict[str, Method] = {}
 
 
 def register_method(method: Method) -> None:
+    if not callable(method.kernel) or not callable(method.validate):
+        raise ValueError(f"method {method.name!r} needs a kernel and a validator")
     for alias in (method.name, *method.aliases):
         METHODS[alias.lower()] = method
 
 
-register_method(Method("nw", "linear", ("needleman-wunsch",)))
-register_method(Method("ga", "affine", ("gotoh",)))
-register_method(Method("sw", "affine", ("smith-waterman",)))
+def linear_gap(config: ScoringConfig) -> None:
+    if config.gap is None or config.gap_open is not None or config.gap_extend is not None:
+        raise ValueError(f"{find_method(config.method).name} takes gap, and neither gap_open nor gap_extend")
+
+
+def affine_gaps(config: ScoringConfig) -> None:
+    if config.gap is not None or config.gap_open is None or config.gap_extend is None:
+        raise ValueError(f"{find_method(config.method).name} takes gap_open and gap_extend, and not gap")
+
+
+def _kernel(method: str) -> Kernel:
+    return lambda cols, rows, lookup, scores, o, e: align_scores(cols, rows, lookup, scores, method, o, e)
+
+
+register_method(Method("nw", _kernel("nw"), linear_gap, ("needleman-wunsch",)))
+register_method(Method("ga", _kernel("ga"), affine_gaps, ("gotoh",)))
+register_method(Method("sw", _kernel("sw"), affine_gaps, ("smith-waterman",)))
 
 
 def find_method(name: str) -> Method:
@@ -57,10 +84,7 @@ class ScoringConfig:
             value = getattr(self, name)
             if value is not None and (not isinstance(value, int) or not 0 <= value < 2**31):
                 raise ValueError(f"{name} must be an integer from 0 to 2147483647")
-        if kind.gap == "linear" and (self.gap is None or self.gap_open is not None or self.gap_extend is not None):
-            raise ValueError(f"{kind.name} takes gap, and neither gap_open nor gap_extend")
-        if kind.gap == "affine" and (self.gap is not None or self.gap_open is None or self.gap_extend is None):
-            raise ValueError(f"{kind.name} takes gap_open and gap_extend, and not gap")
+        kind.validate(self)
 
     def resolved(self) -> ScoringConfig:
         """Method by its short name, and ga with equal gaps as nw."""
@@ -69,10 +93,14 @@ class ScoringConfig:
             return replace(self, method="nw", gap=self.gap_open, gap_open=None, gap_extend=None)
         return replace(self, method=name)
 
+    @property
+    def kernel(self) -> Kernel:
+        return find_method(self.method).kernel
+
     @property
     def gaps(self) -> tuple[int, int]:
         """Open and extend as the kernels take them."""
-        return (-self.gap, -self.gap) if self.gap is not None else (-self.gap_open, -self.gap_extend)
+        return (-self.gap, -self.gap) if self.gap is not None else (-(self.gap_open or 0), -(self.gap_extend or 0))
 
     @property
     def max_length(self) -> int:

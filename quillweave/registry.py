@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from quillweave.functions.matrices import AMINO, BLOSUM_NAMES, NUCLEOTIDE, NUCLEOTIDE_NAMES, PAM_NAMES, STRIDE, get_matrix, list_matrices, matrix_rows
 from quillweave.operators.matrix import dense_matrix, long_matrix
-from quillweave.operators.pairs import all_pairs
+from quillweave.operators.pairs import all_pairs, identified_pairs
 from quillweave.operators.score import score_all, score_pairs
 from quillweave.operators.sequences import derive, encoded, from_dataframe, letters, report, renumber, stats, strip_blanks, upper_ascii
-from quillweave.operators.similarity_filter import edges, greedy_filter, positional_identity
+from quillweave.operators.similarity_filter import edges, greedy_filter, identity_shares
 from quillweave.plans.config import ScoringConfig
 from quillweave.plans.store import saved, shared_folder
 from quillweave.sources.readers import read_sequences
@@ -118,7 +118,7 @@ def _operators(linear, pairs, end: str = "") -> dict:
         "q_encode": lambda spark, d: encoded(linear(spark, d), AMINO),
         "q_pairs": lambda spark, d: all_pairs(pairs(spark, d)).select("i", "j"),
         "q_pair_index": lambda spark, d: all_pairs(pairs(spark, d)).select("pair_id", "i", "j"),
-        "q_identity": lambda spark, d: all_pairs(pairs(spark, d)).select("i", "j", positional_identity(F.col("seq_i"), F.col("seq_j")).alias("identity")),
+        "q_identity": lambda spark, d: identified_pairs(pairs(spark, d), identity_shares),
         "q_filter_edges_05": lambda spark, d: edges(pairs(spark, d), 0.5),
         "q_filter_greedy_09": lambda spark, d: greedy_filter(pairs(spark, d), 0.9),
         "q_filter_greedy_05": lambda spark, d: greedy_filter(pairs(spark, d), 0.5),
@@ -211,9 +211,9 @@ def _scores_sql(method: str, kind: str) -> str:
     return f"with recursive {_affine(cfg.matrix, cfg.gap_open, cfg.gap_extend, kind, method == 'sw')} select i, j, score from w"
 
 
-def _greedy(threshold: float) -> str:
+def _greedy(threshold: float, seqs: str | None = None) -> str:
     """Common tables up to z (ord, seq): the sequences that stay, numbered anew."""
-    return f"""{_seqs()},
+    return f"""{seqs or _seqs()},
 e as (select a.ord as i, b.ord as j {_PAIRS} where {_IDENTITY} >= cast({threshold} as float)),
 n as (select s.ord as j, list(e.i) filter (e.i is not null) as n from s left join e on e.j = s.ord group by s.ord),
 l as (select list({{'j': [j], 'n': coalesce(n, cast([] as integer[]))}} order by j) as l from n),
@@ -221,6 +221,13 @@ k as (select unnest(list_reduce(l, lambda acc, x: case when list_has_any(acc.j,
 z as (select cast(row_number() over (order by s.ord) - 1 as integer) as ord, s.seq from s join k on k.j = s.ord)"""
 
 
+def _rows(of: str) -> str:
+    """Common table s of whole tables: all rows of part, or all documents, copies included."""
+    table, key, column = {"part": ("part", "p_partkey", "p_name"), "documents": ("documents", "doc_id", "text"), "benchmark": ("benchmark", "item_id", "text")}[of]
+    return f"""d as (select {key} as k, {_derived(column, "protein")} as seq from {table}),
+s as (select cast(row_number() over (order by k) - 1 as integer) as ord, seq from d where seq <> '')"""
+
+
 _NORMAL = "regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[\\r\\n ]', '', 'g')"
 _W = _linear("blosum62", 4, "protein")
 _LONG = "select i, j, score from w union all select j, i, score from w union all select ord, ord, 0 from s"
@@ -229,6 +236,12 @@ ORACLE_SQL: dict[str, str] = {
     "q_list_matrices": "select * from (values "
     + ", ".join([f"('{n}', 'amino')" for n in [*BLOSUM_NAMES, *PAM_NAMES]] + [f"('{n}', 'nucleotide')" for n in NUCLEOTIDE_NAMES])
     + ") t(name, kind)",
+    "q_matrix_scores": f"with {_flat('blosum62')}, u as (select unnest(range(1, {len(AMINO)} + 1)) as x), p as (select i.x as i, j.x as j from u i, u j) select '{AMINO}'[i] as a, '{AMINO}'[j] as b, cast(f[(i - 1) * {STRIDE} + j] as integer) as score from p, f",
+    "q_filter_benchmark": f"with {_greedy(0.1, _rows('benchmark'))} select ord, seq from z",
+    "q_filter_greedy_09_whole": f"with {_greedy(0.9, _rows('part'))} select ord, seq from z",
+    "q_filter_greedy_05_whole": f"with {_greedy(0.5, _rows('part'))} select ord, seq from z",
+    "q_fasta_roundtrip_whole": f"with {_rows('documents')} select ord, seq from s",
+    "q_dsv_roundtrip_whole": f"with {_rows('documents')} select ord, seq from s",
     "q_derive_protein": f"select doc_id, {_derived('text', 'protein')} as seq from documents",
     "q_derive_dna": f"select doc_id, {_derived('text', 'dna')} as seq from documents",
     "q_encode": f"with {_seqs()}, u as (select ord, seq, unnest(range(1, length(seq) + 1)) as k from s) select ord, cast(k as integer) as pos, cast(strpos('{AMINO}', seq[k]) - 1 as integer) as code from u",

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillweave.operators.sequences import SequenceError, at_least_two, raise_first_fault, strip_blanks, upper_ascii
+from quillweave.plans.store import saved
 
 # Extensions, delimiters, and names of a sequence column.
 FASTA_EXTENSIONS = ("fasta", "fa", "fas", "fna", "ffn", "faa", "frn", "mpfa")
@@ -41,24 +43,45 @@ def read_sequences(spark: SparkSession, path: str, alphabet: str, max_length: in
     return READERS[ext](spark, path, alphabet, max_length, **options)
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """One row: the file's bytes, one character each, so that bytes beyond ASCII stay visible."""
-    df = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("value"))
-    head = df.select(F.length("value").alias("n")).first()
-    if head is None or not head["n"]:
-        raise SequenceError("the file is empty")
-    return df
+def _numbered(rows: DataFrame, order: list[str], count: Column) -> DataFrame:
+    """Rows with _before: the sum of count over all rows before, by file, piece of a file, and order within it.
+
+    Pieces are counted by themselves; their sums, one row per piece, are added up in order of files and places.
+    """
+    inside = Window.partitionBy("_file", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_count", count.cast("long"))
+    pieces = rows.groupBy("_file", "_piece").agg(F.sum("_count").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_file", "_piece").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select(F.col("_file").alias("_f"), F.col("_piece").alias("_p"), F.coalesce(earlier, F.lit(0)).alias("_base"))
+    rows = rows.withColumn("_within", F.coalesce(F.sum("_count").over(inside), F.lit(0)))
+    rows = rows.join(pieces, (rows["_file"] == pieces["_f"]) & (rows["_piece"] == pieces["_p"])).drop("_f", "_p")
+    return rows.withColumn("_before", F.col("_base") + F.col("_within")).drop("_base", "_within", "_count")
 
 
 def read_fasta(spark: SparkSession, path: str, alphabet: str, max_length: int | None = None) -> DataFrame:
-    """Records of a > header line and data up to the next >; a > inside a header is part of it."""
-    whole = _whole(spark, path)
-    if whole.select(F.substring("value", 1, 1)).first()[0] != ">":
+    """Records of a > header line and data up to the next >; a > inside a header is part of it.
+
+    A file, or the files of a folder in order of their names, are read in pieces at line ends, whatever their size; a
+    record's lines meet again by its number, so only one sequence has to fit a task. Numbers go on from file to file, and
+    each file must begin with a header.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_piece"), F.monotonically_increasing_id().alias("_at"))
+    lines = saved(lines, "fasta-lines")
+    if lines.isEmpty():
+        raise SequenceError("the file is empty")
+    firsts = lines.groupBy("_file").agg(F.min(F.struct("_piece", "_at", "value")).alias("first"))
+    if not firsts.where(~F.col("first.value").startswith(">")).isEmpty():
         raise SequenceError("Data before first header")
-    data = whole.select(F.regexp_extract_all("value", F.lit(r">[^\r\n]*[\r\n]*([^>]*)"), 1).alias("data"))
-    last = data.select(F.size("data").alias("n"), (F.element_at("data", -1) == "").alias("bare")).first()
-    seqs = data.select(F.posexplode("data").alias("ord", "raw")).select("ord", upper_ascii(strip_blanks(F.col("raw"))).alias("seq"))
-    raise_first_fault(seqs.where(F.col("ord") < last["n"] - 1) if last["bare"] else seqs, alphabet, max_length)
+    mark = F.instr("value", ">")
+    lines = _numbered(lines, ["_at"], F.when(mark > 0, 1).otherwise(0))
+    data = lines.select(F.col("_before").alias("rec"), "_file", "_piece", "_at", F.when(mark > 0, F.substring("value", F.lit(1), mark - 1)).otherwise(F.col("value")).alias("data"))
+    heads = lines.where(mark > 0).select((F.col("_before") + 1).alias("rec"), "_file", "_piece", "_at", F.lit("").alias("data"))
+    parts = F.sort_array(F.collect_list(F.struct("_file", "_piece", "_at", "data")))
+    records = data.where("data <> ''").union(heads).groupBy("rec").agg(F.array_join(F.transform(parts, lambda x: x["data"]), "").alias("raw"))
+    seqs = saved(records.where("rec > 0").select((F.col("rec") - 1).cast("int").alias("ord"), "raw"), "fasta-records", lines)
+    last = seqs.agg(F.max(F.struct("ord", (F.col("raw") == "").alias("bare"))).alias("m")).first()["m"]
+    seqs = seqs.select("ord", upper_ascii(strip_blanks(F.col("raw"))).alias("seq"))
+    raise_first_fault(seqs.where(F.col("ord") < last["ord"]) if last["bare"] else seqs, alphabet, max_length)
     if last["bare"]:
         raise SequenceError("Last header has no data")
     return at_least_two(seqs)
@@ -67,23 +90,24 @@ def read_fasta(spark: SparkSession, path: str, alphabet: str, max_length: int |
 def split_fields(text: str, delimiter: str):
     """Lines of raw fields. Any quote opens or closes quoting, a doubled one inside quotes is passed over as a pair,
     and delimiters and line ends inside quotes are data. A line's second part tells whether a delimiter ended it."""
-    fields, at, start, quoted, n = [], 0, 0, False, len(text)
-    while at < n:
-        c = text[at]
+    fields, start, quoted, skip, n = [], 0, False, -1, len(text)
+    for m in re.compile(f'"|{re.escape(delimiter)}|[\r\n]+').finditer(text):
+        at, c = m.start(), m.group()
         if c == '"':
-            if quoted and at + 1 < n and text[at + 1] == '"':
-                at += 1
+            if at == skip:
+                continue
+            if quoted and text.startswith('"', at + 1):
+                skip = at + 1
             else:
                 quoted = not quoted
-        elif not quoted and c == delimiter:
+        elif quoted:
+            continue
+        elif c == delimiter:
             fields.append(text[start:at])
             start = at + 1
-        elif not quoted and c in "\r\n":
+        else:
             yield fields, text[start:at]
-            while at + 1 < n and text[at + 1] in "\r\n":
-                at += 1
-            fields, start = [], at + 1
-        at += 1
+            fields, start = [], m.end()
     if start < n or fields:
         yield fields, text[start:]
 
@@ -131,24 +155,30 @@ def parse_dsv(text: str, delimiter: str, seq_col: str | int | None = None, heade
 
 
 def read_dsv(spark: SparkSession, path: str, alphabet: str, max_length: int | None = None, seq_col: str | int | None = None, header: bool = True) -> DataFrame:
-    """Delimited text by the rules of parse_dsv, on an executor; the file is one unit, as quotes may span lines."""
+    """Delimited text by the rules of parse_dsv, on executors. A file is one unit, as quotes may span lines, and has its
+    own header; the files of a folder are read side by side, and numbers go on from file to file in order of names."""
     delimiter = DELIMITERS[extension(path)]
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), F.decode("content", "ISO-8859-1").alias("value"))
 
     def parse(parts):
         for pdf in parts:
-            for text in pdf["value"]:
+            for file, text in zip(pdf["_file"], pdf["value"]):
                 try:
-                    raw, error = parse_dsv(text, delimiter, seq_col, header)
+                    raw, error = parse_dsv(text, delimiter, seq_col, header) if text else ([], None)
                 except SequenceError as e:
                     raw, error = [], str(e)
-                end = pd.DataFrame({"ord": [-1], "raw": [None], "error": [error]}) if error else None
-                rows = pd.DataFrame({"ord": range(len(raw)), "raw": raw}).assign(error=None)
-                yield rows if end is None else pd.concat([rows, end])
-
-    rows = _whole(spark, path).mapInPandas(parse, "ord int, raw string, error string")
-    seqs = rows.where("error is null").select("ord", upper_ascii(strip_blanks(F.col("raw"), quotes=True)).alias("seq"))
-    raise_first_fault(seqs, alphabet, max_length)
-    if (wrong := rows.where("error is not null").first()) is not None:
+                end = pd.DataFrame({"at": [len(raw)], "raw": [None], "error": [error]}) if error or not raw else None
+                rows = pd.DataFrame({"at": range(len(raw)), "raw": raw}).assign(error=None)
+                yield (rows if end is None else pd.concat([rows, end])).assign(_file=file)
+
+    rows = saved(files.mapInPandas(parse, "at int, raw string, error string, _file string"), "dsv-rows")
+    if rows.where("raw is not null or error is not null").isEmpty():
+        raise SequenceError("the file is empty")
+    rows = _numbered(rows.withColumn("_piece", F.lit(0)), ["at"], F.col("raw").isNotNull())
+    seqs = saved(rows.where("raw is not null").select(F.col("_before").cast("int").alias("ord"), upper_ascii(strip_blanks(F.col("raw"), quotes=True)).alias("seq")), "dsv-sequences")
+    wrong = rows.where("error is not null").agg(F.min(F.struct("_before", "error")).alias("m")).first()["m"]
+    raise_first_fault(seqs if wrong is None else seqs.where(F.col("ord") < wrong["_before"]), alphabet, max_length)
+    if wrong is not None:
         raise SequenceError(wrong["error"])
     return at_least_two(seqs)
 

@@ -180,3 +180,111 @@ def test_rest_stands_without_corpus_parts(tmp_path):
 
 def test_alphabets():
     assert len(AMINO) == 24 and len(NUCLEOTIDE) == 16
+
+
+def test_folders_of_files(spark, tmp_path):
+    """Several files in order of their names; numbers go on; records and header checks are per file."""
+    fasta = tmp_path / "many.fasta"
+    fasta.mkdir()
+    (fasta / "b.fasta").write_text(">h3 x > y\nAC\nGT>h4\n\nTT\n")
+    (fasta / "a.fasta").write_text(">h1\nAAA\n\nCC\n>h2\nGG")
+    assert sorted(map(tuple, read_sequences(spark, str(fasta), NUCLEOTIDE).collect())) == list(enumerate(["AAACC", "GG", "ACGT", "TT"]))
+    (fasta / "c.fasta").write_text("AC\n>h\nAC\n")
+    with pytest.raises(SequenceError, match="before first header"):
+        read_sequences(spark, str(fasta), NUCLEOTIDE)
+    dsv = tmp_path / "many.csv"
+    dsv.mkdir()
+    (dsv / "2.csv").write_text('name,seq\n"a\nb",TT\nc,"GG"\n')
+    (dsv / "1.csv").write_text("seq,name\nAC,x\nGT,y\n")
+    assert sorted(map(tuple, read_sequences(spark, str(dsv), NUCLEOTIDE).collect())) == list(enumerate(["AC", "GT", "TT", "GG"]))
+
+
+def test_large_fasta_is_read_in_pieces(spark, tmp_path):
+    import numpy as np
+
+    rng, want, out = np.random.default_rng(1), [], []
+    for k in range(3000):
+        s = "".join(rng.choice(list("ACGT"), int(rng.integers(1, 200))))
+        want.append(s)
+        out.append(f">s{k} > more\n" + "\n".join(s[i : i + 60] for i in range(0, len(s), 60)) + "\n")
+    want.append("ACGT" * 100_000)
+    (tmp_path / "big.fa").write_text("".join(out) + ">long\n" + "\n".join(["ACGT" * 25] * 4000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = sorted(map(tuple, read_sequences(spark, str(tmp_path / "big.fa"), NUCLEOTIDE).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(want))
+
+
+def test_ties_are_numbered_by_sequence(spark):
+    from quillweave.operators.sequences import from_dataframe
+
+    rows = [(1, "TT"), (1, "AC"), (0, "GG"), (1, "CA")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "k int, seq string").repartition(parts)
+        assert sorted(map(tuple, from_dataframe(df, "seq", "k", NUCLEOTIDE).collect())) == list(enumerate(["GG", "AC", "CA", "TT"]))
+
+
+def test_registered_methods_bring_their_kernel(spark):
+    import numpy as np
+
+    from quillweave.operators.score import score_all, score_pairs
+    from quillweave.plans.config import METHODS, Method, ScoringConfig, linear_gap, register_method
+
+    def shared_letters(cols, rows, lookup, scores, o, e):
+        return np.array([len(set(a) & set(b)) + o for a, b in zip(cols, rows)], np.int32)
+
+    with pytest.raises(ValueError, match="kernel"):
+        register_method(Method("none", None, linear_gap))
+    register_method(Method("letters", shared_letters, linear_gap, ("common",)))
+    try:
+        seqs = spark.createDataFrame([(0, "ACG"), (1, "CGT"), (2, "TTT")], "ord int, seq string")
+        config = ScoringConfig("common", "dnafull", gap=1)
+        assert sorted(map(tuple, score_all(seqs, config).collect())) == [(0, 1, 1), (0, 2, -1), (1, 2, 0)]
+        with pytest.raises(ValueError, match="SQL"):
+            score_pairs(seqs, config, "sql")
+        with pytest.raises(ValueError, match="letters takes gap"):
+            ScoringConfig("letters", "dnafull", gap_open=1, gap_extend=1)
+    finally:
+        METHODS.pop("letters"), METHODS.pop("common")
+
+
+def test_hdf5_sink(spark, tmp_path, monkeypatch):
+    """The writer against a stand-in for h5py, which this machine lacks: datasets, chunks, compression, rows."""
+    import sys
+    import types
+
+    import numpy as np
+
+    from quillweave.plans.run import write_hdf5
+
+    made = {}
+
+    class File:
+        def __init__(self, path, mode):
+            made["mode"] = mode
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def create_dataset(self, name, shape, dtype, **layout):
+            made[name] = np.zeros(shape, object if name == "sequences" else dtype)
+            made[name + " layout"] = layout
+            return made[name]
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=File, string_dtype=lambda _: object))
+    n = 300
+    seqs = spark.createDataFrame([(i, "AC" * (i + 1)) for i in range(n)], "ord int, seq string")
+    scores = spark.createDataFrame([(i, j, i * j) for j in range(n) for i in range(j)], "i int, j int, score int")
+    write_hdf5(seqs, scores, str(tmp_path / "x.h5"), 3, True)
+    table = made["similarity_matrix"]
+    assert made["mode"] == "w" and made["similarity_matrix layout"] == {"chunks": (256, 256), "compression": 3}
+    assert table.dtype == np.dtype("<i4") and (table == table.T).all() and table[7, 9] == 63 and not table.diagonal().any()
+    assert made["sequences"][4] == "AC" * 5
+    write_hdf5(seqs.where("ord < 2"), scores.where("j < 2"), str(tmp_path / "y.h5"), 0, False)
+    assert made["mode"] == "x" and made["similarity_matrix layout"] == {}
