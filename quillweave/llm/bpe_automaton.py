@@ -26,6 +26,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,13 @@ from pyspark.sql import functions as F
 from quillweave.llm.common import Recent, rare_collections, table
 from quillweave.llm.token_files import BLANK
 
-#: Bytes of runs, and of words, that a worker keeps with their ids and labels.
-STORE_BYTES = 160 << 20
-WORD_BYTES = 48 << 20
+#: Bytes of runs, and of words, that a worker keeps with their ids; between tasks half of it.
+STORE_BYTES = 112 << 20
+WORD_BYTES = 32 << 20
 #: Longer runs and words are not kept, as they hardly come again.
 LONGEST = 200
 #: Cells of the transition table that are kept before it is filled anew.
-STORE_ARCS = 400_000
+STORE_ARCS = 300_000
 END = float("inf")
 
 
@@ -205,7 +206,7 @@ class Codec:
         self.other_words = pre_tokenizers.Split(Regex(split), "removed", invert=True).pre_tokenize_str
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.run = re.compile(f"[^{BLANK}]+").findall
-        self.store: Recent[tuple[bytes, bytes]] = Recent(STORE_BYTES)
+        self.store: Recent[bytes] = Recent(STORE_BYTES)
         self.known: Recent[list[int]] = Recent(WORD_BYTES)
 
     @classmethod
@@ -243,20 +244,23 @@ class Codec:
             out += ids
         return out
 
-    def _run(self, run: str) -> tuple[bytes, bytes]:
+    def _run(self, run: str) -> bytes:
         if self.cut and self.cut.search(run):
             ids = [i for p in self.cut.split(run) if p for i in ([self.special[p]] if p in self.special else self._part(p))]
         else:
             ids = self._part(run)
-        return array("I", ids).tobytes(), self.decode(ids)
+        return array("I", ids).tobytes()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         """What the arcs emit, one after the other, in UTF-8."""
-        emits = self.emits
-        return b" ".join([emits[y] for y in ids])
+        return b" ".join(map(self.emits.__getitem__, ids))
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """The ids of a text as little-endian 32-bit integers, and their decoded text in UTF-8."""
+        ids = self.ids(text)
+        return ids, self.decode(array("I", ids))
+
+    def ids(self, text: str | None) -> bytes:
         runs, store = self.runs(text or ""), self.store
         have = store.room()
         try:
@@ -268,11 +272,15 @@ class Codec:
                     got = self._run(r)
                 if len(r) <= LONGEST:
                     have[r] = got
-                    store.used += 270 + len(r) + len(got[0]) + len(got[1])
+                    store.used += 190 + len(r) + len(got)
                 else:
                     long[r] = got
             parts = [long[r] if r in long else have[r] for r in runs] if long else [have[r] for r in runs]
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]])
+        return b"".join(parts)
+
+    def rest(self) -> None:
+        """Keep only the newer halves between tasks, as other work may need the worker's memory."""
+        self.store.old, self.known.old = {}, {}
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -299,6 +307,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     ends = np.cumsum([0, *n]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, fields)
+        codec.rest()
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from quillweave.llm.common import chunks, table, thinned
 
 SAMPLE = 1500
 MAX_LINES = 200_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LETTER, _UPPER, _DIGIT, _MARK, _STOP, _BAR, _BANG, _OTHER, _SPACE = range(9)
 
