@@ -12,7 +12,7 @@ first, and a position from which the end cannot be reached is never tried again.
 each arc emits its label, and decoding reads ids as arcs and emits their labels.
 
 Texts are cut into runs without white space, as no token spans white space; each different run is normalised, split and
-read once per worker while the worker's store, bounded in bytes, has room. A full store keeps what was used last.
+read once per task while the task's store, bounded in bytes, has room. A full store keeps what was used last.
 
 Cases: null and empty texts have no ids and decode to an empty text; repeated rows and null ids are handled alike; an
 empty table gives an empty result; very long texts and very long runs are read as they are and not kept; only the id and
@@ -33,16 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import Recent, rare_collections, table
+from quillweave.llm.common import Recent, rare_collections, table, tidy
 from quillweave.llm.token_files import BLANK
 
-#: Bytes of runs, and of words, that a worker keeps with their ids; between tasks half of it.
-STORE_BYTES = 112 << 20
-WORD_BYTES = 32 << 20
+#: Bytes of runs, and of words, that a task keeps with their ids.
+STORE_BYTES = 48 << 20
+WORD_BYTES = 16 << 20
 #: Longer runs and words are not kept, as they hardly come again.
 LONGEST = 200
 #: Cells of the transition table that are kept before it is filled anew.
-STORE_ARCS = 300_000
+STORE_ARCS = 150_000
 END = float("inf")
 
 
@@ -93,23 +93,19 @@ class Automaton:
         # a trie of the tokens over base symbols: arcs to nodes, and the token that ends at each node
         spelled: dict[int, tuple[int, ...]] = {}
 
-        def spell(x: int) -> tuple[int, ...]:
-            if x not in spelled:
-                spelled[x] = spell(left[x]) + spell(right[x]) if x in left else (x,)
-            return spelled[x]
-
         self.next: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for x in sorted(inner, key=lambda i: born.get(i, -1)):
+            spelled[x] = spelled[left[x]] + spelled[right[x]] if x in left else (x,)
             node = 0
-            for s in spell(x):
+            for s in spelled[x]:
                 if (to := self.next[node].get(s)) is None:
                     self.next[node][s] = to = len(self.next)
                     self.next.append({})
                     self.token.append(-1)
                 node = to
             self.token[node] = x
-        self.size = {x: len(spell(x)) for x in inner}
+        self.size = {x: len(s) for x, s in spelled.items()}
 
     def arc(self, state: int, y: int) -> int:
         """The state after reading token y in a state, or -1 if a gadget has cut that arc; kept in the table."""
@@ -183,7 +179,7 @@ class Automaton:
 
 
 class Codec:
-    """Encoder and decoder of one tokenizer file; one per worker and path."""
+    """Encoder and decoder of one tokenizer file; one per task and path."""
 
     _all: dict[str, Codec] = {}
 
@@ -278,9 +274,10 @@ class Codec:
             parts = [long[r] if r in long else have[r] for r in runs] if long else [have[r] for r in runs]
         return b"".join(parts)
 
-    def rest(self) -> None:
-        """Keep only the newer halves between tasks, as other work may need the worker's memory."""
-        self.store.old, self.known.old = {}, {}
+    @classmethod
+    def rest(cls) -> None:
+        """Keep nothing between tasks, as other work may need the worker's memory; an automaton takes a third of a second."""
+        cls._all.clear()
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -307,10 +304,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     ends = np.cumsum([0, *n]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, fields)
-        codec.rest()
+        del codec
+        Codec.rest()
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def word_tokenizer() -> str:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import chunks, joined, saved, table
+from quillweave.llm.common import chunks, joined, saved, table, tidy
 from quillweave.llm.components import connected_components
 
 
@@ -157,7 +157,7 @@ def features(docs: DataFrame, plan: JoinPlan, id_col: str, text_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays([of.column(0), pa.array(names, pa.binary()), pa.array(signs, pa.binary()), of.column(2)], ["doc_id", "h", "sig", "text_hash"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {kind}, h binary, sig binary, text_hash long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, h binary, sig binary, text_hash long")
 
 
 def split_keys(keys: np.ndarray, sig: np.ndarray, plan: JoinPlan) -> np.ndarray:
@@ -188,7 +188,7 @@ def children(nodes: DataFrame, plan: JoinPlan) -> DataFrame:
             for k in range(plan.branches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[:, k].view(np.int64)), batch.column(2), pa.array(np.full(len(keys), k, np.int32))], fields)
 
-    return nodes.select("h", "sig", "key").mapInArrow(run, "h binary, key long, parent long, branch int")
+    return nodes.select("h", "sig", "key").mapInArrow(tidy(run), "h binary, key long, parent long, branch int")
 
 
 def buckets(sets: DataFrame, plan: JoinPlan) -> DataFrame:
@@ -317,7 +317,7 @@ def candidates(leaves: DataFrame, keys: DataFrame, plan: JoinPlan) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64())], fields)
 
-    return rows.mapInArrow(run, "h binary, key long").distinct()
+    return rows.mapInArrow(tidy(run), "h binary, key long").distinct()
 
 
 def shingle_sets(docs: DataFrame, named: DataFrame, plan: JoinPlan, id_col: str, text_col: str) -> DataFrame:
@@ -335,7 +335,7 @@ def shingle_sets(docs: DataFrame, named: DataFrame, plan: JoinPlan, id_col: str,
                 same = [k for k, s in enumerate(sets) if set_name(s) == names[k]]  # else the hash of another text is equal
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in same], pa.binary()), pa.array([sets[k].tobytes() for k in same], pa.binary())], ["h", "shingles"])
 
-    return rows.mapInArrow(run, "h binary, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles")).withColumn("size", F.octet_length("shingles") / 8)
+    return rows.mapInArrow(tidy(run), "h binary, shingles binary").groupBy("h").agg(F.first("shingles").alias("shingles")).withColumn("size", F.octet_length("shingles") / 8)
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -392,7 +392,7 @@ def verified(members: DataFrame, sets: DataFrame, plan: JoinPlan) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], fields)
 
-    return rows.mapInArrow(run, "h binary, root binary, links long")
+    return rows.mapInArrow(tidy(run), "h binary, root binary, links long")
 
 
 def jaccard_join(docs: DataFrame, plan: JoinPlan = JoinPlan(), id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
@@ -433,7 +433,7 @@ def _packed(df: DataFrame) -> DataFrame:
             keys = [np.array(k, np.int64).tobytes() for k in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], [*names, "keys"])
 
-    return df.select(*names, "keys").mapInArrow(run, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names) + ", keys binary")
+    return df.select(*names, "keys").mapInArrow(tidy(run), ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names) + ", keys binary")
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

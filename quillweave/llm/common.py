@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from typing import Generic, TypeVar
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillweave.plans.store import drop, saved, shared_folder
 
-__all__ = ["HOT", "Recent", "SPACE", "WORD", "chunks", "drop", "filesystem", "joined", "put_bytes", "rare_collections", "saved", "scratch", "shared_folder", "table", "thinned"]
+__all__ = ["HOT", "Recent", "SPACE", "WORD", "chunks", "drop", "filesystem", "joined", "put_bytes", "rare_collections", "saved", "scratch", "shared_folder", "table", "thinned", "tidy"]
 
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
@@ -45,6 +48,28 @@ class Recent(Generic[V]):
         return self.new
 
 
+#: Rows of a batch that goes to a worker, where Spark's own number is unchanged: rows of texts are long.
+BATCH_ROWS = "2000"
+
+
+def tidy(run):
+    """A function over batches that gives freed memory back at the end of its task, as workers live on and share what an
+    executor leaves to them; asks for smaller batches, too."""
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library knows it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def chunks(texts, limit: int = 1 << 20):
     """Slices of a text column of about so many characters as lists, nulls as empty texts; a long text ends its slice."""
     out, size = [], 0

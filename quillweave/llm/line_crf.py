@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import chunks, table, thinned
+from quillweave.llm.common import chunks, table, thinned, tidy
 
 SAMPLE = 1500
 MAX_LINES = 200_000
@@ -277,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x, _, _ = line_features([t.as_py()])
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d.as_py()], batch.schema.types[0]), "y": pa.array([y.as_py()], pa.int32()), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
 
-    rows = texts.join(F.broadcast(some), ["doc_id", "t"]).select("doc_id", "y", "text").mapInArrow(features, f"doc_id {kind}, y int, x binary")
+    rows = texts.join(F.broadcast(some), ["doc_id", "t"]).select("doc_id", "y", "text").mapInArrow(tidy(features), f"doc_id {kind}, y int, x binary")
     rows = {r["doc_id"]: r for r in rows.dropDuplicates(["doc_id"]).collect()}  # of max_lines lines
     rows = [rows[d] for d, _, _ in sorted(use)]
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str
             q = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(q)], names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text")).mapInArrow(run, schema + ", _score double")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema + ", _score double")
 
 
 THRESHOLD = 0.3

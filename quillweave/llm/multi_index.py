@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import joined, saved, table, thinned
+from quillweave.llm.common import joined, saved, table, thinned, tidy
 from quillweave.llm.chosen_path import grouped, spanning
 from quillweave.llm.components import connected_components
 
@@ -192,7 +192,7 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
                 out.append((x + 0.0).tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "h"])
 
-    rows = saved(rows.mapInArrow(packed, f"vec_id {kind}, h binary"), "vectors")
+    rows = saved(rows.mapInArrow(tidy(packed), f"vec_id {kind}, h binary"), "vectors")
     sets = saved(rows.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id")).withColumn("id", F.sha2("h", 256)), "distinct-vectors")
     grid = grids(sets, plan)
     sent = spark.sparkContext.broadcast(grid)  # 2 * codes * dims doubles of each length, at most
@@ -210,7 +210,7 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
                     cells[k] = c.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(cells, pa.binary())], ["id", "h", "copies", "home", "cells"])
 
-    at = saved(sets.select("id", "h", "copies").mapInArrow(placed, "id string, h binary, copies long, home long, cells binary"), "cells")
+    at = saved(sets.select("id", "h", "copies").mapInArrow(tidy(placed), "id string, h binary, copies long, home long, cells binary"), "cells")
     found = at.groupBy("home").count().toArrow()  # a number per cell, the squares of codes at most
     sizes = np.zeros(sum(g.books.k**2 for g in grid.values()), np.int64)
     sizes[found["home"].to_numpy()] = found["count"].to_numpy()
@@ -227,7 +227,7 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent_bins.value[batch.column(3).to_numpy()]), pa.array(seen, pa.list_(pa.int32()))], [*batch.schema.names, "bin", "bins"])
 
     base = ["id", "h", "copies", "home", "cells"]
-    at = at.mapInArrow(spread, "id string, h binary, copies long, home long, cells binary, bin int, bins array<int>")
+    at = at.mapInArrow(tidy(spread), "id string, h binary, copies long, home long, cells binary, bin int, bins array<int>")
     queries = at.select(*base, F.explode("bins").alias("bin"), F.lit(1).alias("side"))
     both = at.select(*base, "bin", F.lit(0).alias("side")).union(queries)
     # blocks of each bin: of its indexed vectors (only a large cell has more than one) and of the queries to it
@@ -280,7 +280,7 @@ def near_duplicates(vectors: DataFrame, plan: IndexPlan = IndexPlan(), id_col: s
             if len(use):
                 yield pa.RecordBatch.from_arrays([pa.array(name[use], pa.string()), pa.array(name[root[use]], pa.string()), pa.array(total[use].astype(np.int64))], ["id", "root", "links"])
 
-    links = saved(tiles.mapInArrow(verify, "id string, root string, links long"), "vector-links")
+    links = saved(tiles.mapInArrow(tidy(verify), "id string, root string, links long"), "vector-links")
     final = saved(connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "root"), "components")
     least = saved(final.join(sets.select("id", "vec_id"), "id").groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "component-names")
     info = (

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import chunks, saved, table
+from quillweave.llm.common import chunks, saved, table, tidy
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def repeated_runs(docs: DataFrame, rules: SpanRules = SpanRules(), id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], fields)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    runs = saved(texts.mapInArrow(hashed, "doc_id long, t long, at int, h long, g int"), "span-hashes")
+    runs = saved(texts.mapInArrow(tidy(hashed), "doc_id long, t long, at int, h long, g int"), "span-hashes")
     first = runs.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # a table of its own, as Spark splits the tasks of a skewed join only where both sides come straight from a shuffle
     first = saved(first.select("h", "g", F.col("first.doc_id").alias("d"), F.col("first.t").alias("s"), F.col("first.at").alias("a")), "first-spans")
@@ -170,7 +170,7 @@ def dedup(docs: DataFrame, rules: SpanRules = SpanRules(), id_col: str = "doc_id
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, [*names, "_n_sentences", "_n_removed"])
 
-    return df.mapInArrow(clean, schema)
+    return df.mapInArrow(tidy(clean), schema)
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import Recent, chunks, filesystem, put_bytes, rare_collections, scratch, table
+from quillweave.llm.common import Recent, chunks, filesystem, put_bytes, rare_collections, scratch, table, tidy
 
 MAGIC = b"QWTOKEN2"
 END_ID = 2
@@ -278,7 +278,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             yield flush()
 
     schema = "shard long, part long, uri string, bytes long, docs long, ids long"
-    rows = sorted(df.mapInArrow(write, schema).collect())  # one row per file
+    rows = sorted(df.mapInArrow(tidy(write), schema).collect())  # one row per file
     out, start = [], 0
     for r in rows:
         out.append((*r, start))
@@ -307,7 +307,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, manifest.count())
-    return manifest.select("uri", "start").repartition(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("uri", "start").repartition(files).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
