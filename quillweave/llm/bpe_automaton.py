@@ -37,12 +37,12 @@ from quillweave.llm.common import Recent, rare_collections, table, tidy
 from quillweave.llm.token_files import BLANK
 
 #: Bytes of runs, and of words, that a task keeps with their ids.
-STORE_BYTES = 48 << 20
-WORD_BYTES = 16 << 20
+STORE_BYTES = 80 << 20
+WORD_BYTES = 24 << 20
 #: Longer runs and words are not kept, as they hardly come again.
 LONGEST = 200
 #: Cells of the transition table that are kept before it is filled anew.
-STORE_ARCS = 150_000
+STORE_ARCS = 300_000
 END = float("inf")
 
 
