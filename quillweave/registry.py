@@ -7,6 +7,7 @@ pairs are made, all documents where one pass is enough. Whole benchmark texts sh
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 from quillweave.functions.matrices import AMINO, BLOSUM_NAMES, NUCLEOTIDE, NUCLEOTIDE_NAMES, PAM_NAMES, STRIDE, get_matrix, list_matrices, matrix_rows
 from quillweave.operators.matrix import dense_matrix, long_matrix
 from quillweave.operators.pairs import all_pairs, identified_pairs
-from quillweave.operators.score import score_all, score_pairs
-from quillweave.operators.sequences import derive, encoded, from_dataframe, letters, report, renumber, stats, strip_blanks, upper_ascii
+from quillweave.operators.score import register_functions, score_all, score_pairs
+from quillweave.operators.sequences import SequenceError, check, derive, encoded, from_dataframe, letters, report, renumber, stats, strip_blanks, upper_ascii
 from quillweave.operators.similarity_filter import edges, greedy_filter, identity_shares
 from quillweave.plans.config import ScoringConfig
+from quillweave.plans.run import align
 from quillweave.plans.store import saved, shared_folder
 from quillweave.sources.readers import read_sequences
+from quillweave.streaming.incremental import score_stream
 
 ALPHABETS = {"protein": AMINO, "dna": NUCLEOTIDE}
 CONFIGS = {
@@ -112,6 +115,77 @@ def _dsv(spark: SparkSession, d: str, table=part_seqs) -> DataFrame:
     return read_sequences(spark, path, AMINO)
 
 
+def _fasta_folder(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences of a folder of FASTA files, numbered on from file to file."""
+    path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.fasta"
+    lines = F.concat(F.lit(">document "), F.col("ord"), F.lit("\n"), F.lower("seq"))
+    document_seqs(spark, d).repartitionByRange(4, "ord").sortWithinPartitions("ord").select(lines).write.text(path)
+    return read_sequences(spark, path, AMINO)
+
+
+def _sink(spark: SparkSession, d: str) -> DataFrame:
+    """What a whole run writes, read again: each sequence with its row of the matrix."""
+    path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}"
+    align(spark, part_seqs(spark, d), CONFIGS["nw", "protein"], path, compression=3)
+    seqs, rows = (spark.read.parquet(f"{path}/{x}") for x in ("sequences", "similarity"))
+    return seqs.join(rows, "ord").select("ord", "seq", F.array_join("scores", " ").alias("scores"))
+
+
+def _removed(spark: SparkSession, d: str) -> DataFrame:
+    seqs = part_rows(spark, d)
+    stay = seqs.select(F.lit(False).alias("stays")).union(greedy_filter(seqs, 0.5).select(F.lit(True)))
+    return stay.agg(F.count_if(~F.col("stays")).alias("before"), F.count_if("stays").alias("after")).withColumn("removed", F.col("before") - F.col("after"))
+
+
+def _functions(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and shares by the functions that SQL can call."""
+    register_functions(spark, CONFIGS["nw", "protein"])
+    name = f"pairs_{uuid.uuid4().hex}"
+    all_pairs(part_seqs(spark, d)).createTempView(name)
+    return spark.sql(f"select i, j, align_score(seq_j, seq_i) as score, positional_identity(seq_i, seq_j) as identity from {name}")
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """Names of all nations as they arrive, against the part names."""
+    path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}"
+    kind = _table(spark, d, "nation").schema
+    arriving = spark.readStream.schema(kind).parquet(f"{d}/natio[n].parquet").select(F.col("n_nationkey").cast("long").alias("name"), derive(F.col("n_name"), AMINO).alias("seq"))
+    scores = score_stream(arriving.where("seq <> ''"), part_seqs(spark, d), CONFIGS["nw", "protein"])
+    scores.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/scores").awaitTermination()
+    return spark.read.schema(scores.schema).parquet(f"{path}/scores")
+
+
+#: Spellings of methods, and gaps that a configuration may be given.
+SPELLINGS = {"nw": ["NW", "Needleman-Wunsch"], "ga": ["ga", "GOTOH"], "sw": ["Sw", "smith-waterman"]}
+GAPS = [None, -1, 0, 4]
+
+
+def _gap_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each configuration is accepted, and the method that it is then scored by."""
+    rows = []
+    for given, *gaps in itertools.product(itertools.chain(*SPELLINGS.values()), GAPS, GAPS, GAPS):
+        try:
+            found = ScoringConfig(given, "BLOSUM62", *gaps).resolved().method
+        except ValueError:
+            found = "none"
+        rows.append((given, *("" if g is None else str(g) for g in gaps), found))
+    return spark.createDataFrame(rows, "given string, gap string, gap_open string, gap_extend string, scored_by string")
+
+
+def _set_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with whole sets: texts as they are, sequences of all parts, and one sequence alone."""
+    texts = _table(spark, d, "documents").select("doc_id", strip_blanks(upper_ascii(F.col("text"))).alias("seq"))
+    alone = _table(spark, d, "supplier").select(derive(F.col("s_name"), AMINO).alias("seq")).distinct()
+    rows = []
+    for name, make in (("documents", lambda: check(renumber(texts, "doc_id"), AMINO)), ("part", lambda: part_rows(spark, d)), ("supplier", lambda: check(alone.withColumn("ord", F.lit(0)), AMINO))):
+        try:
+            make()
+            rows.append((name, None))
+        except SequenceError as e:
+            rows.append((name, str(e)))
+    return spark.createDataFrame(rows, "name string, fault string")
+
+
 def _operators(linear, pairs, end: str = "") -> dict:
     """The queries of the operators: those of one pass over one table, those of pairs over the other."""
     of = {
@@ -143,6 +217,13 @@ QUERIES = {
     "q_validate_report": _report,
     "q_filter_benchmark": lambda spark, d: greedy_filter(benchmark_seqs(spark, d), 0.1),
     **{f"q_{m}_benchmark": _scored(m, "protein", benchmark_seqs) for m in ("nw", "ga", "sw")},
+    "q_fasta_folder": _fasta_folder,
+    "q_sink_parquet": _sink,
+    "q_filter_removed": _removed,
+    "q_sql_functions": _functions,
+    "q_stream_scores": _stream,
+    "q_gap_rules": _gap_rules,
+    "q_set_checks": _set_checks,
     **_operators(part_seqs, part_seqs),
     **_operators(document_seqs, part_rows, "_whole"),
 }
@@ -232,11 +313,36 @@ _NORMAL = "regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFG
 _W = _linear("blosum62", 4, "protein")
 _LONG = "select i, j, score from w union all select j, i, score from w union all select ord, ord, 0 from s"
 
+_ARRIVING = (
+    _linear("blosum62", 4, "protein", f"{_seqs()}, a as (select n_nationkey as name, {_derived('n_name', 'protein')} as seq from nation)")
+    .replace("p as (select a.ord as i, b.ord as j, a.v as r, b.v as k from c a join c b on a.ord < b.ord)", "p as (select c.ord as i, cast(n.name as bigint) as j, c.v as r, n.v as k from c, (select name, list_transform(string_split(seq, ''), lambda x: strpos('" + AMINO + "', x) - 1) as v from a where seq <> '') n)")
+    .replace("select i, j, cast((", "select i as ord, j as name, cast((")
+)
+_GAP_RULES = f"""with m(given, method) as (values {", ".join(f"('{x}', '{m}')" for m, names in SPELLINGS.items() for x in names)}),
+v(x) as (values {", ".join("(cast(null as integer))" if x is None else f"({x})" for x in GAPS)}),
+c as (select given, method, g.x as gap, o.x as gap_open, e.x as gap_extend from m, v g, v o, v e)
+select given, coalesce(gap::varchar, '') as gap, coalesce(gap_open::varchar, '') as gap_open, coalesce(gap_extend::varchar, '') as gap_extend, coalesce(case
+  when least(coalesce(gap, 0), coalesce(gap_open, 0), coalesce(gap_extend, 0)) < 0 then null
+  when method = 'nw' then case when gap is not null and gap_open is null and gap_extend is null then 'nw' end
+  when gap is not null or gap_open is null or gap_extend is null then null
+  when method = 'ga' and gap_open = gap_extend then 'nw' else method end, 'none') as scored_by from c"""
+_FAULT = f"case when seq is null or seq = '' then 'empty' when regexp_matches(seq, '[^\\x01-\\x7f]') then 'corrupted' when regexp_matches(seq, '[^{AMINO}]') then 'invalid' end"
+_FIRST = f"select 'Sequence #' || k || ' is ' || fault from (select row_number() over (order by doc_id) as k, {_FAULT} as fault from (select doc_id, {_NORMAL} as seq from documents)) where fault is not null order by k limit 1"
+_SET_CHECKS = f"""select 'documents' as name, ({_FIRST}) as fault union all select 'part', null union all
+select 'supplier', case when count(distinct {_derived("s_name", "protein")}) < 2 then 'not enough sequences, at least 2 are needed' end from supplier"""
+
 ORACLE_SQL: dict[str, str] = {
     "q_list_matrices": "select * from (values "
     + ", ".join([f"('{n}', 'amino')" for n in [*BLOSUM_NAMES, *PAM_NAMES]] + [f"('{n}', 'nucleotide')" for n in NUCLEOTIDE_NAMES])
     + ") t(name, kind)",
     "q_matrix_scores": f"with {_flat('blosum62')}, u as (select unnest(range(1, {len(AMINO)} + 1)) as x), p as (select i.x as i, j.x as j from u i, u j) select '{AMINO}'[i] as a, '{AMINO}'[j] as b, cast(f[(i - 1) * {STRIDE} + j] as integer) as score from p, f",
+    "q_fasta_folder": f"with {_rows('documents')} select ord, seq from s",
+    "q_sink_parquet": f"with {_W}, m as ({_LONG}), r as (select i as ord, array_to_string(list(score order by j), ' ') as scores from m group by i) select ord, seq, scores from s join r using (ord)",
+    "q_filter_removed": f"with {_greedy(0.5, _rows('part'))}, b as (select count(*) as before from s), a as (select count(*) as after from z) select before, after, before - after as removed from b, a",
+    "q_sql_functions": f"with {_W} select w.i, w.j, score, {_IDENTITY} as identity from w join s a on a.ord = w.i join s b on b.ord = w.j",
+    "q_stream_scores": f"with {_ARRIVING} select name, ord, score from w",
+    "q_gap_rules": _GAP_RULES,
+    "q_set_checks": _SET_CHECKS,
     "q_filter_benchmark": f"with {_greedy(0.1, _rows('benchmark'))} select ord, seq from z",
     "q_filter_greedy_09_whole": f"with {_greedy(0.9, _rows('part'))} select ord, seq from z",
     "q_filter_greedy_05_whole": f"with {_greedy(0.5, _rows('part'))} select ord, seq from z",
