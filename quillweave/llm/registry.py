@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillweave.llm import bpe_automaton, chosen_path, line_crf, line_rules, mixing, multi_index, sentence_spans, token_files, url_cascade, warc
+from quillweave.llm import bpe_automaton, chosen_path, hash_ring, line_crf, line_rules, mixing, multi_index, pivot_negatives, sentence_spans, signature_repair, token_files, url_cascade, warc
 
 QUERIES = {
     "op1_multi_index": multi_index.op1_multi_index,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_rules": line_rules.op8_line_rules,
     "op9_chosen_path": chosen_path.op9_chosen_path,
     "op10_mixing": mixing.op10_mixing,
+    "op11_hash_ring": hash_ring.op11_hash_ring,
+    "op12_signature_repair": signature_repair.op12_signature_repair,
+    "op13_pivot_negatives": pivot_negatives.op13_pivot_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.ORACLE,
     "op8_line_rules": line_rules.ORACLE,
     "op9_chosen_path": chosen_path.ORACLE,
+    "op13_pivot_negatives": pivot_negatives.ORACLE,
 }

@@ -1,0 +1,274 @@
+"""Hash ring, conversation repair and hard negatives."""
+
+import hashlib
+import heapq
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillweave.llm import hash_ring, pivot_negatives, signature_repair
+from quillweave.llm.registry import ORACLE_SQL, QUERIES
+
+# Sharding
+
+
+def _hash(*values):
+    """Spark's chained hash of longs (int), ints (given as bytes), strings and booleans (4 bytes)."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _int(v):
+    return int(v).to_bytes(4, "little", signed=True)
+
+
+def _ring(rows, plan):
+    """Shard and slot of each row (id, text, lang), row by row and round by round."""
+    nodes = sorted((_hash(_int(plan.seed), _int(s), _int(r)) % plan.points, s) for s in range(plan.shards) for r in range(plan.replicas))
+    keys = []
+    for n, (i, text, lang) in enumerate(rows):
+        t, rest = _hash(text or ""), _hash(lang, _int(text is None), _int(lang is None))
+        k = "" if i is None else f"={i}"
+        h = _hash(_int(plan.seed), k, t, rest)
+        keys.append((h % plan.points, h, k, t, rest, n))
+    keys.sort()
+    most, held, out = hash_ring.capacities(len(rows), plan), [0] * plan.shards, [None] * len(rows)
+    while keys:
+        open_ = [m > h for m, h in zip(most, held)]
+        left = []
+        for key in keys:
+            free = [s for at, s in nodes if open_[s] and at >= key[0]] or [s for _, s in nodes if open_[s]]
+            s = free[0]
+            if held[s] < most[s]:
+                out[key[-1]] = s, held[s]
+                held[s] += 1
+            else:
+                left.append(key)
+        keys = left
+    return out
+
+
+ODD = [(1, None, "en"), (1, "", "en"), (None, None, None), (None, "a", None), (None, "a", None), (5, "é\n" * 50_000, "de"), *[(7, "copy", "fr")] * 40, *[(8, f"text {i}", None) for i in range(30)], *[(i, f"t{i % 9}", "en") for i in range(100, 220)]]
+
+
+@pytest.mark.parametrize("plan", [hash_ring.RingPlan(points=64, replicas=4, block=7), hash_ring.RingPlan(shards=3, load=1.2), hash_ring.RingPlan()])
+def test_ring_equals_brute_force(spark, plan):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string").repartition(3)
+    got = hash_ring.assign(docs, plan=plan).collect()
+    want = [(*row, *place) for row, place in zip(ODD, _ring(ODD, plan))]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_ring_query(spark, small):
+    rows = QUERIES["op11_hash_ring"](spark, small).collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(docs[r["doc_id"]].encode()) + 1, zlib.crc32(docs[r["doc_id"]].encode()), "rows", None) for r in rows)
+    slots = [sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert all(s == list(range(len(s))) for s in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+
+
+def test_ring_moves_few_rows(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    for load, most in ((1.0, 0.2), (1.25, 0.13)):
+        before, after = ({r["doc_id"]: r["_shard"] for r in hash_ring.assign(docs, plan=hash_ring.RingPlan(shards=n, load=load)).collect()} for n in (8, 9))
+        moved = [i for i in before if before[i] != after[i]]
+        assert len(moved) <= most * 5000
+        counts = np.bincount(list(after.values()))
+        assert counts.max() <= -(-load * 5000 // 9)
+
+
+def test_ring_odd_tables(spark, tmp_path):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    empty = hash_ring.assign(docs.limit(0))
+    assert empty.columns == ["doc_id", "text", "lang", "_shard", "_slot"] and empty.count() == 0
+    odd = docs.select("text", F.col("lang").alias("a.b"), F.col("doc_id"), F.lit(1).alias("shard"), F.create_map(F.lit(1), F.lit(2)).alias("copies"), F.array(F.lit(None).cast("int")).alias("_row"))
+    assert hash_ring.assign(odd).count() == len(ODD)
+    with pytest.raises(ValueError):
+        hash_ring.capacities(10, hash_ring.RingPlan(load=0.5))
+    hash_ring.write_shards(docs, f"file://{tmp_path}/shards", plan=hash_ring.RingPlan(shards=4))
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert back.groupBy("_shard").count().count() == 4 and back.count() == len(ODD)
+
+
+def test_ring_is_native(spark, small):
+    plan = QUERIES["op11_hash_ring"](spark, small)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# Conversations
+
+
+def _cheapest(letters):
+    """Least cost, then least edit string, among all paths."""
+    steps, heap, seen = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}), [(0, "", 0, 0)], set()
+    while heap:
+        cost, audit, i, state = heapq.heappop(heap)
+        if (i, state) in seen:
+            continue
+        seen.add((i, state))
+        if i == len(letters) and state in (0, 3):
+            return cost, audit
+        moves = [(3, "I", i, steps[state][r]) for r in "ua" if r in steps[state]]
+        if i < len(letters):
+            x = letters[i]
+            moves.append((4, "D", i + 1, state))
+            if x != "d":
+                more = 3 * x.isupper()
+                moves += [(more, "K", i + 1, steps[state][x.lower()])] if x.lower() in steps[state] else []
+                moves += [(3 + more, "R", i + 1, steps[state][r]) for r in "ua" if r in steps[state]]
+        for c, op, k, to in moves:
+            heapq.heappush(heap, (cost + c, audit + op, k, to))
+
+
+def test_signatures_are_solved_at_least_cost():
+    some = ["".join(x) for k in range(4) for x in itertools.product("suaxSUAXd", repeat=k)]
+    rng = random.Random(3)
+    some += ["".join(rng.choices("suaxSUAXd", k=rng.randint(4, 12))) for _ in range(500)]
+    assert all(signature_repair.solve(s) == _cheapest(s) for s in some)
+    cost, audit = signature_repair.solve("usdA" * 20_000)
+    assert audit.count("I") + 80_000 == len(audit) and cost > 0
+    with pytest.raises(ValueError):
+        signature_repair.Costs(insert=0)
+
+
+def _repaired(rows):
+    """What the contract says of conversations, from (conv_id, turn, role, text)."""
+    held = {}
+    for conv, turn, role, text in rows:
+        space = lambda x: " " if x is None else str(x)
+        lot = zlib.crc32(f"{space(conv)}:{space(turn)}".encode()) % 20
+        role, text = space(role), space(text)
+        mine = held.setdefault(conv, [])
+        text = "" if lot == 1 else re.sub("[.!?]", "", text) if lot == 2 else text
+        mine += [(turn, "user" if lot == 4 else role, text)] * (0 if lot == 0 else 2 if lot == 3 else 1)
+    out = {}
+    for conv, mine in held.items():
+        mine.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], _hash(r[2])))
+        counts, letters, seen = {"blank": 0, "duplicate": 0, "truncated": 0}, "", set()
+        for _, role, text in mine:
+            found = re.findall(r"[^\x20\x09-\x0D]", text)
+            fault = "blank" if not found else "duplicate" if (role, text) in seen else "truncated" if found[-1] not in ".!?" else None
+            seen.add((role, text))
+            if fault:
+                counts[fault] += 1
+            x = role[:1] if role[:1] in ("s", "u", "a") else "x"
+            letters += "d" if fault in ("blank", "duplicate") else x.upper() if fault else x
+        turns = [t for t, _, _ in mine if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(mine))
+        cost, audit = _cheapest(letters)
+        kept, at, n = [], 0, len(audit) - audit.count("D")
+        for op in audit:
+            given = ("user", "assistant")[(len(kept) - n % 2) % 2]
+            if op != "D":
+                kept.append(f"{mine[at][1] if op == 'K' else given}:{'' if op == 'I' else mine[at][2]}")
+            at += op != "I"
+        assert re.fullmatch("(s?(ua)+)?", "".join(x[0] for x in kept))
+        out[conv] = (gaps, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    return out
+
+
+FIELDS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def _query_rows(spark, rows, folder):
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"file://{folder}/conversations.parquet")
+    return QUERIES["op12_signature_repair"](spark, f"file://{folder}").collect()
+
+
+def test_repair_equals_brute_force(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = QUERIES["op12_signature_repair"](spark, small).collect()
+    assert {r["conv_id"]: tuple(r[f] for f in FIELDS) for r in got} == _repaired(rows) and len(got) == len({r[0] for r in rows})
+
+
+def test_repair_odd_rows(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [None, "", " \t\n", "One.", "Two", "Three? \n", "é!", ".", "Two", "x " * 100_000 + "end."]
+    rows = [(c, rng.choice([None, *range(9)]), rng.choice(["user", "assistant", "system", "tool", None, "", "User", "unit"]), rng.choice(texts)) for c in [None, *range(40)] for _ in range(rng.randint(1, 9))]
+    rows += [(77, t, ("user", "assistant")[t % 2], f"Same {t % 5}.") for t in range(900)]  # one long conversation
+    rows += rows[:25]
+    got = _query_rows(spark, rows, tmp_path)
+    assert {r["conv_id"]: tuple(r[f] for f in FIELDS) for r in got} == _repaired(rows) and len(got) == 42
+
+
+def test_repair_empty_table_and_dropped_conversations(spark, tmp_path):
+    assert _query_rows(spark, [], tmp_path / "none") == []
+    gone = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    got = _query_rows(spark, [(gone, 0, "user", "Hi.")], tmp_path / "one")
+    assert [tuple(r) for r in got] == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_repair_gives_rows_back(spark):
+    rows = spark.createDataFrame([("k", 0, "assistant", "A."), ("k", 1, "user", "B."), ("k", 1, "user", "B.")], "id string, turn int, role string, text string")
+    audits, repaired = signature_repair.repair(rows.withColumn("c", F.lit(1)).withColumn("a.b", F.lit(2)), "id")
+    assert [r["audit"] for r in audits.collect()] == ["IKKDI"]
+    assert [(r["position"], r["turn"], r["role"], r["text"], r["edit"]) for r in repaired.orderBy("position").collect()] == [(0, None, "user", "", "I"), (1, 0, "assistant", "A.", "K"), (2, 1, "user", "B.", "K"), (3, None, "assistant", "", "I")]
+
+
+# Hard negatives
+
+
+def test_negatives_equal_sql(spark, small, same_rows):
+    same_rows(QUERIES["op13_pivot_negatives"](spark, small), ORACLE_SQL["op13_pivot_negatives"])
+
+
+def _negatives(rows, every):
+    """From (id, label, vector): all scores, row by row, cut to 64 bits."""
+    rows = sorted({(i, y, tuple(int(np.floor(256 * x)) for x in v)) for i, y, v in rows if i is not None and y is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
+    out = []
+    for a in rows:
+        if a[0] % every:
+            continue
+        scored = sorted((-min(max(sum(p * q for p, q in zip(a[2], b[2])), -(2**63)), 2**63 - 1), b[0], b) for b in rows if b is not a)
+        for s, i, b in [x for x in scored if x[2][1] == a[1]][:5]:
+            near = [(t, j) for t, j, c in scored if c[1] != a[1] and 80 * -s <= 100 * -t <= 100 * -s][:5]
+            out += [(a[0], i, rank, j, -s, -t) for rank, (t, j) in enumerate(near, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("plan", [pivot_negatives.PivotPlan(), pivot_negatives.PivotPlan(pivots=3, block=20, chunk=3)])
+def test_negatives_equal_brute_force(spark, plan, monkeypatch):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(6, 12))
+    rows = [(i, int(rng.integers(0, 3)), (centres[i % 6] + 0.3 * rng.normal(size=12)).tolist()) for i in range(300)]
+    rows += [(i, 1, rows[10][2]) for i in range(300, 360)] + [(360, 2, rows[10][2])]  # many equal vectors: ties by id
+    rows += [(400, None, [1.0]), (None, 1, [1.0] * 12), (402, 1, None), (403, 1, [None] * 12), (404, 1, [float("nan")] * 12), (405, 1, [float("inf")]), (410, 1, []), (420, 2, [0.5, -0.25]), (430, 1, [1e30, 1e30]), (431, 1, [1e30, -1e30]), (440, 9, rows[3][2])]
+    rows += rows[:20] + [(10, 2, rows[11][2])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("rid", F.lit(1)).withColumn("a.b", F.lit(1))
+    monkeypatch.setattr(pivot_negatives, "SENT_BLOCKS", 4)
+    got = pivot_negatives.mine(df, F.col("id") % 10 == 0, plan=plan)
+    assert sorted(tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")) for r in got.collect()) == _negatives(rows, 10)
+    assert pivot_negatives.mine(df.limit(0), F.col("id") % 10 == 0).count() == 0
+
+
+def test_pivots_leave_far_blocks_out(spark):
+    """Anchors meet few of the vectors of other clusters, as the brackets show."""
+    rng = np.random.default_rng(2)
+    centres = 10 * rng.normal(size=(8, 16))
+    rows = [(i, i % 8, (centres[i % 8] + 0.1 * rng.normal(size=16)).tolist()) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, label long, v array<double>").withColumn("rid", F.col("id"))
+    held, pivots = pivot_negatives.pivot_table(df, pivot_negatives.PivotPlan())
+    d = {r["id"]: (r["block"], r["q"], r["size"]) for r in held.collect()}
+    spans = {r["block"]: ([min(x) for x in zip(*r["ds"])], [max(x) for x in zip(*r["ds"])]) for r in held.groupBy("block").agg(F.collect_list("d").alias("ds")).collect()}
+    own = far = 0
+    for i in range(0, 800, 100):
+        block, q, size = d[i]
+        least = np.sqrt(size + pivots.most - 2 * 0.9 * size)  # distance at a score of 0.9 of the anchor's square
+        for b, (low, high) in spans.items():
+            gap = max(max(lo - x, x - hi, 0) for x, lo, hi in zip(q, low, high))
+            if b == block:
+                own += gap <= least
+            else:
+                far += gap > least
+    assert own == 8 and far >= 30
