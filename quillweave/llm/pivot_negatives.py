@@ -72,10 +72,10 @@ class Pivots:
         return np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + self.most - 2 * q @ self.at.T, 0))
 
 
-def _matrix(vectors, width: int = 0) -> np.ndarray:
+def _matrix(vectors, width: int | None = None) -> np.ndarray:
     """Rows of numbers, short ones filled up with 0, cut to a width if one is given."""
     vectors = [np.frombuffer(v) if isinstance(v, bytes) else np.asarray(v, float) for v in vectors]
-    out = np.zeros((len(vectors), width or max((len(v) for v in vectors), default=0)))
+    out = np.zeros((len(vectors), max((len(v) for v in vectors), default=0) if width is None else width))
     for row, v in zip(out, vectors):
         row[: len(v)] = v[: len(row)]
     return out
@@ -126,12 +126,12 @@ def _products(x: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
 
 
 def _first(score: np.ndarray, ids: np.ndarray, rid: np.ndarray, k: int) -> np.ndarray:
-    """Places of the first k by score, id and row."""
+    """Places of the first k by score, id and row (~score falls as score rises, at the ends of 64 bits, too)."""
     if len(score) > 4 * k:
         least = np.partition(score, len(score) - k)[len(score) - k]
         near = np.flatnonzero(score >= least)
-        return near[np.lexsort((rid[near], ids[near], -score[near]))[:k]]
-    return np.lexsort((rid, ids, -score))[:k]
+        return near[np.lexsort((rid[near], ids[near], ~score[near]))[:k]]
+    return np.lexsort((rid, ids, ~score))[:k]
 
 
 def search(anchors: DataFrame, rows: DataFrame, pivots: Pivots, same: bool, k: int, plan: PivotPlan) -> DataFrame:
