@@ -1,50 +1,34 @@
 """The greedy similarity filter: a sequence goes if an earlier one that stays is too similar.
 
-Similarity is the share of equal letters at equal places over the shorter length, in single precision.
+The set is decided block by block in its own order. What is too similar to a sequence that already stays goes first, by
+the segment index between those that stay and the block; what is left of the block is decided by itself. So similar
+sequences are only ever compared with those that stay, and links are stored for one block at a time. Equal sequences are
+one, the first. Blocks grow twofold while the rest of a block has few pairs in its buckets, so a set without many similar
+sequences takes a number of blocks that follows the logarithm of its size; a block with many is cut down until a task can
+decide it alone, letters at hand and no links stored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillweave.operators.identity import first_apart, identity_shares, paired_identity, positional_identity
 from quillweave.operators.pairs import block_pairs
+from quillweave.operators.segment_index import SegmentIndex
 from quillweave.operators.sequences import at_least_two, renumber
-from quillweave.plans.store import saved
+from quillweave.plans.store import Scope
 
+__all__ = ["edges", "greedy_filter", "identity_shares", "paired_identity", "positional_identity", "removed", "similar_pairs"]
 
-def positional_identity(a: Column, b: Column) -> Column:
-    """The share as a Column, for pairs that are at hand: equal letters over the shorter length, single precision."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.size(F.filter(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y")), lambda p: p["x"] == p["y"]))
-    return (same / n).cast("float")
-
-
-def identity_shares(a: list[str], b: list[str]) -> np.ndarray:
-    """All pairs' shares, in blocks of places."""
-    size = lambda s: np.array([len(x) for x in s])
-    na, nb = size(a), size(b)
-    width = int(min(na.max(), nb.max()))
-    table = lambda s, pad: np.array([list((x[:width] + pad * width)[:width].encode("latin-1")) for x in s], np.uint8)
-    x, y = table(a, "\0"), table(b, "\1")
-    same = np.zeros((len(a), len(b)), np.int32)
-    for k in range(width):
-        same += x[:, k, None] == y[:, k]
-    return same.astype(np.float32) / np.minimum(na[:, None], nb).astype(np.float32)
-
-
-def paired_identity(a: list[str], b: list[str]) -> np.ndarray:
-    """The shares of the pairs (a[p], b[p]), all pairs of a length together."""
-    n = np.array([min(len(x), len(y)) for x, y in zip(a, b)], np.int64)
-    out = np.zeros(len(a), np.float32)
-    for width in np.unique(n[n > 0]):
-        at = np.flatnonzero(n == width)
-        x, y = ("".join(s[k][:width] for k in at) for s in (a, b))
-        same = np.frombuffer(x.encode("utf-32-le"), np.uint32) == np.frombuffer(y.encode("utf-32-le"), np.uint32)
-        out[at] = same.reshape(len(at), width).sum(axis=1).astype(np.float32) / np.float32(width)
-    return out
+#: Sequences of a block that one task decides, and the letters that it may hold for that.
+ALONE, LETTERS = 4096, 1 << 27
+#: Pairs in the buckets of a block, for each of its sequences, beyond which it is cut down.
+PAIRS_EACH = 64
+#: Links that one task decides; rounds over more of them before they are taken in parts of that size.
+LINKS, ROUNDS = 1 << 20, 6
 
 
 def edges(seqs: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
@@ -60,29 +44,107 @@ def edges(seqs: DataFrame, threshold: float, block: int | None = None) -> DataFr
     return block_pairs(seqs, near, "i int, j int", block)
 
 
-def greedy_filter(seqs: DataFrame, threshold: float) -> DataFrame:
-    """The sequences that stay, numbered anew; a threshold of 0 or less keeps all.
+def similar_pairs(seqs: DataFrame, threshold: float) -> DataFrame:
+    """The same pairs by the segment index, which compares few others where the threshold is high; of equal sequences only
+    the first, so that copies are not expanded into pairs."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is a share, above 0")
+    with Scope(seqs.sparkSession) as scope:
+        once = scope.saved(distinct(seqs), "distinct")
+        return scope.kept(SegmentIndex(threshold, scope).similar(once), "similar-pairs")
 
-    Equal to going through the sequences in order: in each round the undecided ones without an undecided earlier
-    neighbour stay, and their later neighbours go. Each round is written out, so none depends on the ones before. Each decides at least the
-    first undecided sequence, so the rounds end.
-    """
+
+def distinct(seqs: DataFrame) -> DataFrame:
+    """ord and seq of the first of equal sequences."""
+    return seqs.groupBy("seq").agg(F.min("ord").alias("ord")).select("ord", "seq")
+
+
+def greedy_filter(seqs: DataFrame, threshold: float) -> DataFrame:
+    """The sequences that stay, numbered anew; a threshold of 0 or less keeps all. Equal to going through them in order."""
     if threshold > 1:
         raise ValueError("the threshold is a share, from 0 to 1")
     if threshold <= 0:
         return seqs
-    links = saved(edges(seqs, threshold), "edges")
-    lost = None
-    while not links.isEmpty():
-        waiting = links.select(F.col("j").alias("n")).distinct()
-        stay = links.select(F.col("i").alias("n")).distinct().join(waiting, "n", "left_anti")
-        gone = saved(links.join(stay, links["i"] == stay["n"], "left_semi").select(F.col("j").alias("n")).distinct(), "lost")
-        lost = gone if lost is None else lost.union(gone)
-        decided = gone.union(stay)
-        rest = links.join(decided, links["i"] == decided["n"], "left_anti").join(gone, links["j"] == gone["n"], "left_anti")
-        links = saved(rest, "edges")
-    kept = seqs if lost is None else seqs.join(lost, seqs["ord"] == lost["n"], "left_anti")
-    return at_least_two(renumber(kept))
+    with Scope(seqs.sparkSession) as scope:
+        return at_least_two(renumber(seqs.join(staying(seqs, threshold, scope), "ord", "left_semi")))
+
+
+def staying(seqs: DataFrame, threshold: float, scope: Scope) -> DataFrame:
+    """ord of the sequences that stay."""
+    index = SegmentIndex(threshold, scope)
+    # a copy goes whatever becomes of the first: with it stays what it is too similar to, or it goes with what sent the first away
+    once = scope.saved(distinct(seqs), "distinct")
+    facts = once.agg(F.max("ord").alias("last"), F.max(F.length("seq")).alias("longest")).first()
+    end = 0 if facts["last"] is None else facts["last"] + 1
+    alone = max(1, min(ALONE, LETTERS // max(1, facts["longest"] or 1)))
+    stay, at, size = once.limit(0), 0, alone
+    while at < end:
+        block = once.where((F.col("ord") >= at) & (F.col("ord") < at + size))
+        if at:
+            block = block.join(index.similar(stay, block).select(F.col("j").alias("ord")).distinct(), "ord", "left_anti")
+        block = scope.saved(block, "block")
+        n = block.count()
+        entered, pairs = (None, 0) if n <= alone else index.enter(block)
+        while pairs > PAIRS_EACH * n and size > alone:
+            size = max(alone, size // 4)
+            block = scope.saved(block.where(F.col("ord") < at + size), "block", block, entered)
+            n = block.count()
+            entered, pairs = (None, 0) if n <= alone else index.enter(block)
+        if n <= alone:
+            found = _alone(block, threshold)
+        else:
+            links = scope.saved(index.similar(block, entered=entered), "links", entered)
+            found = block.join(_lost(links, scope), "ord", "left_anti")
+        stay = scope.saved(stay.union(found.select("ord", "seq")), "staying", stay, block)
+        scope.drop_others(once, stay)
+        at, size = at + size, 2 * size
+    return stay.select("ord")
+
+
+def _alone(block: DataFrame, threshold: float) -> DataFrame:
+    """What stays of a block of bounded size, decided in one task."""
+
+    def decide(batches):
+        whole = pd.concat(list(batches)).sort_values("ord")
+        yield whole[first_apart(whole["seq"].tolist(), threshold)] if len(whole) else whole
+
+    return block.repartition(1).mapInPandas(decide, "ord int, seq string") if block.count() else block
+
+
+def _lost(links: DataFrame, scope: Scope) -> DataFrame:
+    """ord of those that links (i < j of all similar pairs of a block) send away.
+
+    In a round, those without an earlier neighbour stay and their neighbours go. Links that are few enough, or are left
+    after some rounds, are taken in order of j by one task after the other, so that long chains take no more rounds.
+    """
+    lost, rounds = links.select(F.col("j").alias("ord")).limit(0), 0
+    while n := links.count():
+        if n > LINKS and rounds < ROUNDS:
+            waiting = links.select(F.col("j").alias("n")).distinct()
+            stay = links.select(F.col("i").alias("n")).distinct().join(waiting, "n", "left_anti")
+            gone = scope.saved(links.join(stay, links["i"] == stay["n"], "left_semi").select(F.col("j").alias("n")).distinct(), "lost")
+            decided = gone.union(stay)
+            rest = links.join(decided, links["i"] == decided["n"], "left_anti").join(gone, links["j"] == gone["n"], "left_anti")
+            rounds += 1
+        else:
+            cut = links.agg(F.max("j") if n <= LINKS else F.percentile_approx("j", LINKS / n, 100_000)).first()[0]
+            gone = scope.saved(links.where(F.col("j") <= cut).repartition(1).mapInPandas(_in_order, "n int"), "lost")
+            later = links.where(F.col("j") > cut).join(gone, F.col("i") == F.col("n"), "left_anti")
+            more = later.where(F.col("i") <= cut).select(F.col("j").alias("n")).distinct()  # by those up to the cut that stay
+            gone = scope.saved(gone.union(more), "lost")
+            rest = later.where(F.col("i") > cut).join(gone, F.col("i") == F.col("n"), "left_anti").join(gone, F.col("j") == F.col("n"), "left_anti")
+        lost = lost.union(gone.select(F.col("n").alias("ord")))
+        links = scope.saved(rest, "links", links)
+    return lost
+
+
+def _in_order(batches):
+    links = pd.concat(list(batches)).sort_values("j")
+    lost: set[int] = set()
+    for i, j in zip(links["i"].tolist(), links["j"].tolist()):
+        if i not in lost:
+            lost.add(j)
+    yield pd.DataFrame({"n": sorted(lost)}, dtype="int32")
 
 
 def removed(before: DataFrame, after: DataFrame) -> str:

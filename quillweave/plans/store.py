@@ -47,6 +47,38 @@ def drop(*tables: DataFrame) -> None:
                 _made.remove(path)
 
 
+class Scope:
+    """The tables that one run saves between its steps; they are deleted when it ends, but for those it hands on."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def saved(self, df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+        out = saved(df, name)
+        self.tables.append(out)
+        self._drop(done)
+        return out
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that outlives the scope."""
+        return saved(df, name)
+
+    def drop_others(self, *needed: DataFrame) -> None:
+        """Delete all tables but these."""
+        self._drop([t for t in self.tables if not any(t is x for x in needed)])
+
+    def _drop(self, tables) -> None:
+        mine = [t for t in self.tables if any(t is x for x in tables)]
+        drop(*mine)
+        self.tables = [t for t in self.tables if not any(t is x for x in mine)]
+
+    def __enter__(self) -> Scope:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._drop(list(self.tables))
+
+
 def made() -> int:
     """How many saved tables there are; to be given to release()."""
     return len(_made)

@@ -18,7 +18,7 @@ from quillweave.operators.matrix import dense_matrix, long_matrix
 from quillweave.operators.pairs import all_pairs, identified_pairs
 from quillweave.operators.score import register_functions, score_all, score_pairs
 from quillweave.operators.sequences import SequenceError, check, derive, encoded, from_dataframe, letters, report, renumber, stats, strip_blanks, upper_ascii
-from quillweave.operators.similarity_filter import edges, greedy_filter, identity_shares
+from quillweave.operators.similarity_filter import edges, greedy_filter, identity_shares, similar_pairs
 from quillweave.plans.config import ScoringConfig
 from quillweave.plans.run import align
 from quillweave.plans.store import saved, shared_folder
@@ -220,6 +220,8 @@ QUERIES = {
     "q_fasta_folder": _fasta_folder,
     "q_sink_parquet": _sink,
     "q_filter_removed": _removed,
+    "q_similar_documents_09": lambda spark, d: similar_pairs(document_seqs(spark, d), 0.9),
+    "q_filter_documents_09": lambda spark, d: greedy_filter(document_seqs(spark, d), 0.9),
     "q_sql_functions": _functions,
     "q_stream_scores": _stream,
     "q_gap_rules": _gap_rules,
@@ -242,6 +244,8 @@ s as (select cast(row_number() over (order by seq) - 1 as integer) as ord, seq f
 
 
 _IDENTITY = "cast(len(list_filter(range(1, least(length(a.seq), length(b.seq)) + 1), lambda k: a.seq[k] = b.seq[k])) / cast(least(length(a.seq), length(b.seq)) as double) as float)"
+_SHORTER = "least(length(a.seq), length(b.seq))"
+_HAMMING = f"cast(({_SHORTER} - hamming(left(a.seq, {_SHORTER}), left(b.seq, {_SHORTER}))) / cast({_SHORTER} as double) as float)"
 _PAIRS = "from s a join s b on a.ord < b.ord"
 
 
@@ -292,10 +296,10 @@ def _scores_sql(method: str, kind: str) -> str:
     return f"with recursive {_affine(cfg.matrix, cfg.gap_open, cfg.gap_extend, kind, method == 'sw')} select i, j, score from w"
 
 
-def _greedy(threshold: float, seqs: str | None = None) -> str:
+def _greedy(threshold: float, seqs: str | None = None, identity: str = _IDENTITY) -> str:
     """Common tables up to z (ord, seq): the sequences that stay, numbered anew."""
     return f"""{seqs or _seqs()},
-e as (select a.ord as i, b.ord as j {_PAIRS} where {_IDENTITY} >= cast({threshold} as float)),
+e as (select a.ord as i, b.ord as j {_PAIRS} where {identity} >= cast({threshold} as float)),
 n as (select s.ord as j, list(e.i) filter (e.i is not null) as n from s left join e on e.j = s.ord group by s.ord),
 l as (select list({{'j': [j], 'n': coalesce(n, cast([] as integer[]))}} order by j) as l from n),
 k as (select unnest(list_reduce(l, lambda acc, x: case when list_has_any(acc.j, x.n) then acc else {{'j': list_append(acc.j, x.j[1]), 'n': x.n}} end, {{'j': cast([] as integer[]), 'n': cast([] as integer[])}}).j) as j from l),
@@ -339,6 +343,8 @@ ORACLE_SQL: dict[str, str] = {
     "q_fasta_folder": f"with {_rows('documents')} select ord, seq from s",
     "q_sink_parquet": f"with {_W}, m as ({_LONG}), r as (select i as ord, array_to_string(list(score order by j), ' ') as scores from m group by i) select ord, seq, scores from s join r using (ord)",
     "q_filter_removed": f"with {_greedy(0.5, _rows('part'))}, b as (select count(*) as before from s), a as (select count(*) as after from z) select before, after, before - after as removed from b, a",
+    "q_similar_documents_09": f"with {_rows('documents').replace('s as (', 'r as (')}, s as (select min(ord) as ord, seq from r group by seq) select a.ord as i, b.ord as j {_PAIRS} where {_HAMMING} >= cast(0.9 as float)",
+    "q_filter_documents_09": f"with {_greedy(0.9, _rows('documents'), _HAMMING)} select ord, seq from z",
     "q_sql_functions": f"with {_W} select w.i, w.j, score, {_IDENTITY} as identity from w join s a on a.ord = w.i join s b on b.ord = w.j",
     "q_stream_scores": f"with {_ARRIVING} select name, ord, score from w",
     "q_gap_rules": _GAP_RULES,
