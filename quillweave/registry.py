@@ -102,16 +102,21 @@ def _fasta(spark: SparkSession, d: str, table=part_seqs) -> DataFrame:
     path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.fasta"
     seqs = table(spark, d)
     lines = F.concat(F.lit(">part "), F.col("ord"), F.lit("\n"), F.regexp_replace("seq", "(.{5})", "$1\n"))
-    seqs.coalesce(1).sortWithinPartitions("ord").select(lines).write.text(path)
+    _in_order(seqs).select(lines).write.text(path)
     return read_sequences(spark, path, AMINO)
 
 
+def _in_order(seqs: DataFrame) -> DataFrame:
+    """In parts that follow one another, for files in order of their names."""
+    return seqs.repartitionByRange(seqs.sparkSession.sparkContext.defaultParallelism, "ord").sortWithinPartitions("ord")
+
+
 def _dsv(spark: SparkSession, d: str, table=part_seqs) -> DataFrame:
     path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.psv"
     seqs = table(spark, d)
-    head = spark.createDataFrame([(-1, "name|Protein|note")], "ord int, line string")
-    lines = seqs.select("ord", F.concat(F.lit('"part|'), F.col("ord"), F.lit('"|"'), F.lower("seq"), F.lit('"|x')).alias("line"))
-    head.union(lines).coalesce(1).sortWithinPartitions("ord").select("line").write.text(path)
+    note = F.when(F.col("ord") % 3 == 0, F.lit('said "two"\nlines, | twice')).otherwise("x")
+    rows = _in_order(seqs).select(F.concat(F.lit("part|"), F.col("ord")).alias("name"), F.lower("seq").alias("Protein"), note.alias("note"))
+    rows.write.csv(path, sep="|", header=True, quoteAll=True, escape='"')
     return read_sequences(spark, path, AMINO)
 
 
@@ -119,7 +124,7 @@ def _fasta_folder(spark: SparkSession, d: str) -> DataFrame:
     """The sequences of a folder of FASTA files, numbered on from file to file."""
     path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.fasta"
     lines = F.concat(F.lit(">document "), F.col("ord"), F.lit("\n"), F.lower("seq"))
-    document_seqs(spark, d).repartitionByRange(4, "ord").sortWithinPartitions("ord").select(lines).write.text(path)
+    _in_order(document_seqs(spark, d)).select(lines).write.text(path)
     return read_sequences(spark, path, AMINO)
 
 

@@ -43,19 +43,28 @@ def read_sequences(spark: SparkSession, path: str, alphabet: str, max_length: in
     return READERS[ext](spark, path, alphabet, max_length, **options)
 
 
-def _numbered(rows: DataFrame, order: list[str], count: Column) -> DataFrame:
-    """Rows with _before: the sum of count over all rows before, by file, piece of a file, and order within it.
+def _numbered(rows: DataFrame, order: list[str], count: Column, of: str = "_before", each_file: bool = False) -> DataFrame:
+    """Rows with the sum of count over all rows before, by file, piece of a file, and order within it; each_file: over
+    those of their file only.
 
     Pieces are counted by themselves; their sums, one row per piece, are added up in order of files and places.
     """
     inside = Window.partitionBy("_file", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_count", count.cast("long"))
     pieces = rows.groupBy("_file", "_piece").agg(F.sum("_count").alias("_n"))
-    earlier = F.sum("_n").over(Window.orderBy("_file", "_piece").rowsBetween(Window.unboundedPreceding, -1))
+    along = Window.partitionBy("_file").orderBy("_piece") if each_file else Window.orderBy("_file", "_piece")
+    earlier = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1))
     pieces = pieces.select(F.col("_file").alias("_f"), F.col("_piece").alias("_p"), F.coalesce(earlier, F.lit(0)).alias("_base"))
     rows = rows.withColumn("_within", F.coalesce(F.sum("_count").over(inside), F.lit(0)))
     rows = rows.join(pieces, (rows["_file"] == pieces["_f"]) & (rows["_piece"] == pieces["_p"])).drop("_f", "_p")
-    return rows.withColumn("_before", F.col("_base") + F.col("_within")).drop("_base", "_within", "_count")
+    return rows.withColumn(of, F.col("_base") + F.col("_within")).drop("_base", "_within", "_count")
+
+
+def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The lines of a file, or of a folder's files, with their file, the piece that they were read in, and their order in it."""
+    value = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    lines = spark.read.text(path).select(value.alias("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_piece"), F.monotonically_increasing_id().alias("_at"))
+    return saved(lines, name)
 
 
 def read_fasta(spark: SparkSession, path: str, alphabet: str, max_length: int | None = None) -> DataFrame:
@@ -65,8 +74,7 @@ def read_fasta(spark: SparkSession, path: str, alphabet: str, max_length: int |
     record's lines meet again by its number, so only one sequence has to fit a task. Numbers go on from file to file, and
     each file must begin with a header.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_piece"), F.monotonically_increasing_id().alias("_at"))
-    lines = saved(lines, "fasta-lines")
+    lines = _lines(spark, path, "fasta-lines")
     if lines.isEmpty():
         raise SequenceError("the file is empty")
     firsts = lines.groupBy("_file").agg(F.min(F.struct("_piece", "_at", "value")).alias("first"))
@@ -154,33 +162,80 @@ def parse_dsv(text: str, delimiter: str, seq_col: str | int | None = None, heade
     return out, None
 
 
+#: Files of a folder whose headers are sent to all tasks; beyond it they are joined by shuffle.
+SENT_HEADERS = 10_000
+
+
+def _fields(text: str, delimiter: str) -> tuple[list[str], int]:
+    """A row's fields, and how many it has as its end is seen; one empty field for a blank row."""
+    done, last = next(split_fields(text, delimiter), ([], ""))
+    return [*done, last], len(done) + (last != "" or not done)
+
+
+def dsv_rows(lines: DataFrame) -> DataFrame:
+    """The rows of delimited files, _file, _piece, _row (increasing over all files) and text, from their lines.
+
+    A line end is data where a quote is open. Any quote opens or closes quoting, and a doubled one inside quotes does both,
+    so a quote is open after an odd number of them: pieces are counted side by side, and whether a piece starts inside
+    quotes follows from the sums of those before. Lines that do not start a row are put to the one that does.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = _numbered(lines, ["_at"], quotes, "_quotes", each_file=True)
+    starts = F.col("_quotes") % 2 == 0
+    lines = _numbered(lines, ["_at"], starts.cast("int")).withColumn("_row", F.col("_before") + starts.cast("int"))
+    parts = F.sort_array(F.collect_list(F.struct("_piece", "_at", "value")))
+    return lines.groupBy("_file", "_row").agg(F.min("_piece").alias("_piece"), F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("text"))
+
+
 def read_dsv(spark: SparkSession, path: str, alphabet: str, max_length: int | None = None, seq_col: str | int | None = None, header: bool = True) -> DataFrame:
-    """Delimited text by the rules of parse_dsv, on executors. A file is one unit, as quotes may span lines, and has its
-    own header; the files of a folder are read side by side, and numbers go on from file to file in order of names."""
+    """Delimited text by the rules of parse_dsv, in pieces at line ends, whatever the size of a file: only a row has to fit
+    a task. The files of a folder have headers of their own, and numbers go on from file to file in order of names. An
+    error names the first row in this order that is wrong."""
     delimiter = DELIMITERS[extension(path)]
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"), F.decode("content", "ISO-8859-1").alias("value"))
-
-    def parse(parts):
-        for pdf in parts:
-            for file, text in zip(pdf["_file"], pdf["value"]):
-                try:
-                    raw, error = parse_dsv(text, delimiter, seq_col, header) if text else ([], None)
-                except SequenceError as e:
-                    raw, error = [], str(e)
-                end = pd.DataFrame({"at": [len(raw)], "raw": [None], "error": [error]}) if error or not raw else None
-                rows = pd.DataFrame({"at": range(len(raw)), "raw": raw}).assign(error=None)
-                yield (rows if end is None else pd.concat([rows, end])).assign(_file=file)
-
-    rows = saved(files.mapInPandas(parse, "at int, raw string, error string, _file string"), "dsv-rows")
-    if rows.where("raw is not null or error is not null").isEmpty():
+    lines = _lines(spark, path, "dsv-lines")
+    rows = saved(dsv_rows(lines), "dsv-rows", lines)
+    first = rows.groupBy("_file").agg(F.min_by("text", "_row").alias("text"), F.min("_row").alias("_head"))
+
+    @F.pandas_udf("struct<n:int,at:int,error:string>")
+    def shape(text: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in text:
+            names, _ = _fields(t, delimiter)
+            try:
+                if any(not bare(x) for x in names):
+                    raise SequenceError("First row has empty column")
+                out.append((len(names), column_of(names, seq_col), None))
+            except SequenceError as e:
+                out.append((len(names), -1, str(e)))
+        return pd.DataFrame(out, columns=["n", "at", "error"])
+
+    heads = saved(first.select("_file", "_head", shape("text").alias("shape")).select("_file", "_head", "shape.*"), "dsv-headers")
+    heads = F.broadcast(heads) if heads.count() <= SENT_HEADERS else heads
+
+    @F.pandas_udf("struct<raw:string,count:int>")
+    def field(text: pd.Series, at: pd.Series) -> pd.DataFrame:
+        split = [_fields(t, delimiter) for t in text]
+        return pd.DataFrame({"raw": [bare(f[k]) if 0 <= k < n and f != [""] else None for (f, n), k in zip(split, at)], "count": [0 if f == [""] else n for f, n in split]})
+
+    rows = rows.join(heads, "_file").withColumn("f", field("text", "at")).select("_file", "_piece", "_row", "_head", "n", "at", "error", "f.*")
+    data = (F.col("count") > 0) & ((F.col("_row") > F.col("_head")) if header else F.lit(True))
+    few = F.when(F.col("count") <= F.col("at"), "has no sequence column").when(F.col("count") < F.col("n"), "has too few columns").when(F.col("count") > F.col("n"), "has too many columns")
+    wrong = F.when(F.col("error").isNotNull(), F.when(F.col("_row") == F.col("_head"), F.col("error"))).when(data, few)
+    raw = F.when(data & F.col("error").isNull(), F.col("raw"))
+    rows = rows.select("_file", "_piece", "_row", "_head", raw.alias("raw"), wrong.alias("wrong"), data.alias("data"))
+    rows = saved(_numbered(rows, ["_row"], F.col("raw").isNotNull()), "dsv-fields")
+    if rows.where("raw is not null or wrong is not null").isEmpty():
         raise SequenceError("the file is empty")
-    rows = _numbered(rows.withColumn("_piece", F.lit(0)), ["at"], F.col("raw").isNotNull())
     seqs = saved(rows.where("raw is not null").select(F.col("_before").cast("int").alias("ord"), upper_ascii(strip_blanks(F.col("raw"), quotes=True)).alias("seq")), "dsv-sequences")
-    wrong = rows.where("error is not null").agg(F.min(F.struct("_before", "error")).alias("m")).first()["m"]
-    raise_first_fault(seqs if wrong is None else seqs.where(F.col("ord") < wrong["_before"]), alphabet, max_length)
-    if wrong is not None:
-        raise SequenceError(wrong["error"])
-    return at_least_two(seqs)
+    bad = rows.where("wrong is not null").agg(F.min(F.struct("_file", "_row", "_head", "_before", "wrong", F.col("raw").isNotNull().cast("int").alias("has"))).alias("m")).first()["m"]
+    if bad is None:
+        raise_first_fault(seqs, alphabet, max_length)
+        return at_least_two(seqs)
+    raise_first_fault(seqs.where(F.col("ord") < bad["_before"] + bad["has"]), alphabet, max_length)
+    if bad["_row"] == bad["_head"] and not bad["wrong"].startswith("has "):
+        raise SequenceError(bad["wrong"])
+    place = rows.where((F.col("_file") == bad["_file"]) & (F.col("_row") <= bad["_row"]) & F.col("data")).count()
+    raise SequenceError(f"DSV row #{place} {bad['wrong']}")
 
 
 def read_dsv_relaxed(spark: SparkSession, path: str, seq_col: str, order_col: str, delimiter: str = ",") -> DataFrame:
