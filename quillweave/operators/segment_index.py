@@ -38,6 +38,8 @@ def mismatches_allowed(n: np.ndarray, threshold: float) -> np.ndarray:
 def entries(seqs: DataFrame, threshold: float) -> DataFrame:
     """key, shorter (whether as the shorter of a pair), ord and size: the buckets that each sequence is entered in.
 
+    Where seqs has a column group, only sequences of one group can share a bucket.
+
     The number of segments of each width is that of the longest sequence that has this width as the shorter, so that the
     longer of a pair is entered no oftener than the shorter may ask for.
     """
@@ -49,10 +51,11 @@ def entries(seqs: DataFrame, threshold: float) -> DataFrame:
         at = np.searchsorted(WIDTHS, n // count, side="right")
         return pd.DataFrame({"width": np.where(at > 0, np.array((0, *WIDTHS))[at], 0), "count": count})
 
-    sized = seqs.select("ord", "seq", F.length("seq").alias("size")).withColumn("own", own("size"))
+    group = [F.col(c) for c in ("group",) if c in seqs.columns]
+    sized = seqs.select("ord", "seq", *group, F.length("seq").alias("size")).withColumn("own", own("size"))
     most = dict(sized.groupBy("own.width").agg(F.max("own.count")).collect())  # a row per width
     segments = lambda width, count: F.transform(
-        F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.xxhash64(F.lit(width), k, F.substring("seq", k * width + 1, F.lit(width)))
+        F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.xxhash64(F.lit(width), k, F.substring("seq", k * width + 1, F.lit(width)), *group)
     )
     none = F.lit(None).cast("array<bigint>")
     shorter, longer = none, []
@@ -61,7 +64,7 @@ def entries(seqs: DataFrame, threshold: float) -> DataFrame:
             shorter = F.when(F.col("own.width") == width, segments(width, F.col("own.count"))).otherwise(shorter)
             room = F.least(F.lit(count), F.floor(F.col("size") / width).cast("int"))
             longer.append(F.when(room > 0, segments(width, room)).otherwise(none))
-    one = F.array(F.lit(0).cast("bigint"))  # the bucket of narrow segments
+    one = F.array(F.xxhash64(F.lit(0), *group))  # the bucket of narrow segments
     shorter = F.when(F.col("own.width") == 0, one).otherwise(shorter)
     longer = [one, *longer] if 0 in most else [none, *longer]
     filled = lambda keys: F.coalesce(keys, F.array().cast("array<bigint>"))
@@ -78,9 +81,10 @@ class SegmentIndex:
 
     def enter(self, left: DataFrame, right: DataFrame | None = None) -> tuple[DataFrame, int]:
         """Entries of both sets with the number of pairs in their buckets, and how many pairs the buckets hold in all."""
-        whole = left.select("ord", "seq", F.lit(0).alias("of"))
+        names = [c for c in ("ord", "seq", "group") if c in left.columns]
+        whole = left.select(*names, F.lit(0).alias("of"))
         if right is not None:
-            whole = whole.union(right.select("ord", "seq", F.lit(1).alias("of")))
+            whole = whole.union(right.select(*names, F.lit(1).alias("of")))
         found = self.scope.saved(entries(whole, self.threshold).join(whole.select("ord", "of"), "ord"), "segments")
         count = lambda *which: F.count_if((F.col("shorter") == which[0]) & (F.col("of") == which[1]))
         pairs = count(True, 0) * count(False, 1) + count(True, 1) * count(False, 0) if right is not None else count(True, 0) * count(False, 0)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillweave.functions.matrices import AMINO, BLOSUM_NAMES, NUCLEOTIDE, NUCLEOTIDE_NAMES, PAM_NAMES, STRIDE, get_matrix, list_matrices, matrix_rows
+from quillweave.operators.blosum import pair_weights, scores
 from quillweave.operators.matrix import dense_matrix, long_matrix
 from quillweave.operators.pairs import all_pairs, identified_pairs
 from quillweave.operators.score import register_functions, score_all, score_pairs
@@ -21,7 +22,8 @@ from quillweave.operators.sequences import SequenceError, check, derive, encoded
 from quillweave.operators.similarity_filter import edges, greedy_filter, identity_shares, similar_pairs
 from quillweave.plans.config import ScoringConfig
 from quillweave.plans.run import align
-from quillweave.plans.store import saved, shared_folder
+from quillweave.plans.store import Scope, saved, shared_folder
+from quillweave.sources.fasta_source import read_records
 from quillweave.sources.readers import read_sequences
 from quillweave.streaming.incremental import score_stream
 
@@ -128,6 +130,14 @@ def _fasta_folder(spark: SparkSession, d: str) -> DataFrame:
     return read_sequences(spark, path, AMINO)
 
 
+def _fasta_source(spark: SparkSession, d: str) -> DataFrame:
+    """The same files through the data source, in ranges of bytes, checked and numbered."""
+    path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}.fasta"
+    lines = F.concat(F.lit(">part "), F.col("ord"), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
+    _in_order(document_seqs(spark, d)).select(lines).write.text(path)
+    return from_dataframe(read_records(spark, path, 1 << 20), "data", "of", AMINO)
+
+
 def _sink(spark: SparkSession, d: str) -> DataFrame:
     """What a whole run writes, read again: each sequence with its row of the matrix."""
     path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}"
@@ -160,6 +170,16 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(scores.schema).parquet(f"{path}/scores")
 
 
+def _blosum(spark: SparkSession, d: str) -> DataFrame:
+    """Weights and scores estimated from blocks of the names of all parts, those of a length being a block."""
+    blocks = part_rows(spark, d).select(F.length("seq").alias("block"), "seq")
+    with Scope(spark) as scope:
+        weights = {(r["a"], r["b"]): r["weight"] for r in pair_weights(blocks, 62, scope).where("weight > 1e-9").collect()}  # 210 rows at most
+    table, _ = scores(weights)
+    rows = [(a, b, round(w, 6), int(table[AMINO.index(a), AMINO.index(b)])) for (a, b), w in weights.items()]
+    return spark.createDataFrame(rows, "a string, b string, weight double, score int")
+
+
 #: Spellings of methods, and gaps that a configuration may be given.
 SPELLINGS = {"nw": ["NW", "Needleman-Wunsch"], "ga": ["ga", "GOTOH"], "sw": ["Sw", "smith-waterman"]}
 GAPS = [None, -1, 0, 4]
@@ -223,8 +243,10 @@ QUERIES = {
     "q_filter_benchmark": lambda spark, d: greedy_filter(benchmark_seqs(spark, d), 0.1),
     **{f"q_{m}_benchmark": _scored(m, "protein", benchmark_seqs) for m in ("nw", "ga", "sw")},
     "q_fasta_folder": _fasta_folder,
+    "q_fasta_source": _fasta_source,
     "q_sink_parquet": _sink,
     "q_filter_removed": _removed,
+    "q_blosum_estimate": _blosum,
     "q_similar_documents_09": lambda spark, d: similar_pairs(document_seqs(spark, d), 0.9),
     "q_filter_documents_09": lambda spark, d: greedy_filter(document_seqs(spark, d), 0.9),
     "q_sql_functions": _functions,
@@ -340,12 +362,31 @@ _FIRST = f"select 'Sequence #' || k || ' is ' || fault from (select row_number()
 _SET_CHECKS = f"""select 'documents' as name, ({_FIRST}) as fault union all select 'part', null union all
 select 'supplier', case when count(distinct {_derived("s_name", "protein")}) < 2 then 'not enough sequences, at least 2 are needed' end from supplier"""
 
+_BLOSUM = f"""with recursive {_rows("part")}, d2 as (select length(seq) as block, seq, count(*) as n from s group by all),
+e as (select a.block, a.seq as x, b.seq as y from d2 a join d2 b on a.block = b.block where {_HAMMING} >= cast(0.62 as float)),
+r(block, seq, root) as (select block, seq, seq from d2 union select e.block, e.y, r.root from r join e on e.block = r.block and e.x = r.seq),
+k as (select block, seq, min(root) as cluster from r group by all),
+z as (select block, cluster, sum(n) as size from d2 join k using (block, seq) group by all),
+l as (select block, cluster, n / size as w, seq, unnest(range(1, block + 1)) as place from d2 join k using (block, seq) join z using (block, cluster)),
+v as (select block, place, cluster, strpos('{AMINO[:20]}', seq[place]) as x, sum(w) as v from l where strpos('{AMINO[:20]}', seq[place]) > 0 group by all),
+u as (select block, place, x, sum(v) as v from v group by all),
+whole as (select a.x, b.x as y, sum(a.v * b.v) as s from u a join u b using (block, place) where a.x <= b.x group by all),
+same as (select a.x, b.x as y, sum(a.v * b.v) as t from v a join v b using (block, place, cluster) where a.x <= b.x group by all),
+f as (select x, y, (s - coalesce(t, 0)) * case when x = y then 0.5 else 1 end as weight from whole left join same using (x, y)),
+g as (select x, y, weight, weight / sum(weight) over () as q from f where weight > 1e-9),
+p as (select x, sum(q) as p from (select x, q / 2 as q from g union all select y, q / 2 from g) group by x),
+b as (select g.x, g.y, weight, q, log2(q * case when g.x = g.y then 1 else 0.5 end / (i.p * j.p)) as bits from g join p i on i.x = g.x join p j on j.x = g.y),
+h as (select greatest(2, round(2 / sqrt(sum(q * bits)))) as unit from b)
+select '{AMINO}'[x] as a, '{AMINO}'[y] as b, round(weight, 6) as weight, cast(round(bits * unit) as integer) as score from b, h"""
+
 ORACLE_SQL: dict[str, str] = {
+    "q_blosum_estimate": _BLOSUM,
     "q_list_matrices": "select * from (values "
     + ", ".join([f"('{n}', 'amino')" for n in [*BLOSUM_NAMES, *PAM_NAMES]] + [f"('{n}', 'nucleotide')" for n in NUCLEOTIDE_NAMES])
     + ") t(name, kind)",
     "q_matrix_scores": f"with {_flat('blosum62')}, u as (select unnest(range(1, {len(AMINO)} + 1)) as x), p as (select i.x as i, j.x as j from u i, u j) select '{AMINO}'[i] as a, '{AMINO}'[j] as b, cast(f[(i - 1) * {STRIDE} + j] as integer) as score from p, f",
     "q_fasta_folder": f"with {_rows('documents')} select ord, seq from s",
+    "q_fasta_source": f"with {_rows('documents')} select ord, seq from s",
     "q_sink_parquet": f"with {_W}, m as ({_LONG}), r as (select i as ord, array_to_string(list(score order by j), ' ') as scores from m group by i) select ord, seq, scores from s join r using (ord)",
     "q_filter_removed": f"with {_greedy(0.5, _rows('part'))}, b as (select count(*) as before from s), a as (select count(*) as after from z) select before, after, before - after as removed from b, a",
     "q_similar_documents_09": f"with {_rows('documents').replace('s as (', 'r as (')}, s as (select min(ord) as ord, seq from r group by seq) select a.ord as i, b.ord as j {_PAIRS} where {_HAMMING} >= cast(0.9 as float)",
