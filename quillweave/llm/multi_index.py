@@ -51,6 +51,10 @@ class IndexPlan:
     seed: int = 5
 
 
+#: Vectors of the sample that the number of visits is fitted on; the others train the codebooks.
+PROBES = 2000
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -100,12 +104,12 @@ class Codebooks:
         The cell of ranks (i, j) comes after all (i + 1)(j + 1) - 1 cells of no greater ranks, so only pairs of ranks with
         (i + 1)(j + 1) <= visits can be among the first visits; these are sorted by their sums.
         """
-        step = max(1, (1 << 21) // self.k)
+        i, j = np.array([(i, j) for i in range(min(self.k, visits)) for j in range(min(self.k, visits // (i + 1)))]).T
+        step = max(1, (1 << 21) // max(self.k, len(i)))
         if len(x) > step:
             return np.concatenate([self.order(x[lo : lo + step], visits) for lo in range(0, len(x), step)])
         a, b = self.split(x)
         ra, rb = a.argsort(axis=1, kind="stable"), b.argsort(axis=1, kind="stable")
-        i, j = np.array([(i, j) for i in range(min(self.k, visits)) for j in range(min(self.k, visits // (i + 1)))]).T
         row = np.arange(len(x))[:, None]
         total = a[row, ra[:, i]] + b[row, rb[:, j]]
         best = total.argsort(axis=1, kind="stable")[:, :visits]
@@ -123,17 +127,25 @@ def fit(sample: np.ndarray, n: int, plan: IndexPlan) -> Codebooks:
     h = sample.shape[1] // 2
     if k == 1:
         return Codebooks(sample[:1, :h], sample[:1, h:], 1)
-    books = Codebooks(k_means(sample[:, :h], k, plan.rounds, rng), k_means(sample[:, h:], k, plan.rounds, rng), 1)
-    probe = sample[rng.choice(len(sample), min(len(sample), 2000), replace=False)]
+    # vectors lie nearer to codes that they trained than others do, so visits are fitted on vectors held out of that
+    apart = rng.permutation(len(sample))
+    held = min(PROBES, len(sample) // 4, len(sample) - k)
+    probe, rest = sample[apart[:held]], sample[apart[held:]]
+    if not held:
+        probe = rest
+    books = Codebooks(k_means(rest[:, :h], k, plan.rounds, rng), k_means(rest[:, h:], k, plan.rounds, rng), 1)
     turn = rng.normal(size=probe.shape)
     turn -= (turn * probe).sum(axis=1, keepdims=True) * probe
     norm = np.sqrt((turn * turn).sum(axis=1, keepdims=True))
     turned = plan.cosine * probe + math.sqrt(1 - plan.cosine**2) * turn / np.where(norm > 0, norm, 1)
-    most = min(k * k, 1024)
-    there, back = (books.order(x, most) == books.home(y)[:, None] for x, y in ((turned, probe), (probe, turned)))
-    place = lambda hit: np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, k * k)
-    visits = int(np.quantile(np.minimum(place(there), place(back)), plan.recall, method="higher"))
-    return Codebooks(books.first, books.second, min(k * k, max(1, visits)))
+    most = min(k * k, 256)
+    while True:
+        there, back = (books.order(x, most) == books.home(y)[:, None] for x, y in ((turned, probe), (probe, turned)))
+        place = lambda hit: np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, most + 1)
+        visits = int(np.quantile(np.minimum(place(there), place(back)), plan.recall, method="higher"))
+        if visits <= most or most == k * k:
+            return Codebooks(books.first, books.second, min(k * k, max(1, visits)))
+        most = min(k * k, 4 * most)
 
 
 def binned(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
