@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillweave.operators.identity import identity_shares, paired_identity
@@ -24,15 +24,17 @@ WIDTHS = (3, 4, 6, 8, 12, 16, 24, 32)
 NARROW = WIDTHS[0]
 #: Pairs of a bucket beyond which its sequences are compared by blocks, and sequences of such a block.
 HOT_PAIRS, BLOCK = 4096, 512
+#: Buckets with pairs that are sent to all tasks (16 bytes each); beyond it entries are joined with them by shuffle.
+SENT_KEYS = 1 << 18
 
 
-def mismatches_allowed(n: np.ndarray, threshold: float) -> np.ndarray:
+def mismatches_allowed(n: Column, threshold: float) -> Column:
     """Most mismatches over n letters at which the share, in single precision, is still at least the threshold."""
-    limit = np.float32(threshold)
-    m = np.clip(np.floor((1 - float(limit)) * n).astype(np.int64), 0, n)
-    fits = lambda m: ((n - m).astype(np.float32) / n.astype(np.float32)) >= limit
-    m = np.where((m < n) & fits(m + 1), m + 1, m)  # the product may be off by one either way
-    return np.where((m > 0) & ~fits(m), m - 1, m)
+    limit = float(np.float32(threshold))
+    fits = lambda m: ((n - m) / n).cast("float") >= F.lit(limit).cast("float")
+    m = F.floor((1 - limit) * n).cast("int")
+    m = F.when((m < n) & fits(m + 1), m + 1).otherwise(m)  # the product may be off by one either way
+    return F.when((m > 0) & ~fits(m), m - 1).otherwise(m)
 
 
 def entries(seqs: DataFrame, threshold: float) -> DataFrame:
@@ -44,15 +46,13 @@ def entries(seqs: DataFrame, threshold: float) -> DataFrame:
     longer of a pair is entered no oftener than the shorter may ask for.
     """
 
-    @F.pandas_udf("struct<width:int,count:int>")
-    def own(size: pd.Series) -> pd.DataFrame:
-        n = size.to_numpy(np.int64)
-        count = mismatches_allowed(n, threshold) + 1
-        at = np.searchsorted(WIDTHS, n // count, side="right")
-        return pd.DataFrame({"width": np.where(at > 0, np.array((0, *WIDTHS))[at], 0), "count": count})
-
     group = [F.col(c) for c in ("group",) if c in seqs.columns]
-    sized = seqs.select("ord", "seq", *group, F.length("seq").alias("size")).withColumn("own", own("size"))
+    more = [c for c in ("group", "of") if c in seqs.columns]
+    sized = seqs.select("ord", "seq", *more, F.length("seq").alias("size"))
+    sized = sized.withColumn("count", mismatches_allowed(F.col("size"), threshold) + 1)
+    fit = F.floor(F.col("size") / F.col("count"))
+    width = F.coalesce(*[F.when(fit >= w, F.lit(w)) for w in reversed(WIDTHS)], F.lit(0))
+    sized = sized.select("*", F.struct(width.alias("width"), F.col("count")).alias("own"))
     most = dict(sized.groupBy("own.width").agg(F.max("own.count")).collect())  # a row per width
     segments = lambda width, count: F.transform(
         F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.xxhash64(F.lit(width), k, F.substring("seq", k * width + 1, F.lit(width)), *group)
@@ -70,7 +70,8 @@ def entries(seqs: DataFrame, threshold: float) -> DataFrame:
     filled = lambda keys: F.coalesce(keys, F.array().cast("array<bigint>"))
     marked = lambda keys, shorter: F.transform(keys, lambda key: F.struct(key.alias("key"), F.lit(shorter).alias("shorter")))
     every = F.concat(marked(filled(shorter), True), marked(F.concat(*map(filled, longer)), False))
-    return sized.select("ord", "size", F.explode(every).alias("e")).select("e.key", "e.shorter", "ord", "size")
+    of = [c for c in more if c == "of"]
+    return sized.select("ord", "size", *of, F.explode(every).alias("e")).select("e.key", "e.shorter", "ord", "size", *of)
 
 
 class SegmentIndex:
@@ -85,12 +86,15 @@ class SegmentIndex:
         whole = left.select(*names, F.lit(0).alias("of"))
         if right is not None:
             whole = whole.union(right.select(*names, F.lit(1).alias("of")))
-        found = self.scope.saved(entries(whole, self.threshold).join(whole.select("ord", "of"), "ord"), "segments")
+        found = entries(whole, self.threshold)
         count = lambda *which: F.count_if((F.col("shorter") == which[0]) & (F.col("of") == which[1]))
         pairs = count(True, 0) * count(False, 1) + count(True, 1) * count(False, 0) if right is not None else count(True, 0) * count(False, 0)
-        counts = self.scope.saved(found.groupBy("key").agg(pairs.alias("pairs")).where("pairs > 0"), "buckets")
-        total = counts.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-        return self.scope.saved(found.join(counts, "key"), "segments", found, counts), total
+        # most buckets hold one sequence, as both the shorter and the longer; its entries are not kept
+        some = F.min("ord") != F.max("ord")
+        counts = self.scope.saved(found.groupBy("key").agg(pairs.alias("pairs"), some.alias("some")).where("pairs > 0 and some").drop("some"), "buckets")
+        facts = counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.count(F.lit(1))).first()
+        shared = F.broadcast(counts) if facts[1] <= SENT_KEYS else counts
+        return self.scope.saved(found.join(shared, "key"), "segments", counts), facts[0]
 
     def candidates(self, entered: DataFrame, within: bool) -> DataFrame:
         """i < j (by ord) of the pairs that share a bucket of few pairs, each once."""

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillweave.operators import segment_index, similarity_filter
 from quillweave.operators.identity import first_apart, identity_shares
@@ -43,10 +44,11 @@ def _staying(seqs, threshold):
 
 
 @pytest.mark.parametrize("threshold", [0.0001, 0.3, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0])
-def test_mismatches_allowed(threshold):
+def test_mismatches_allowed(spark, threshold):
     n = np.arange(1, 400)
     want = [max(m for m in range(k + 1) if np.float32(k - m) / np.float32(k) >= np.float32(threshold)) for k in n.tolist()]
-    assert mismatches_allowed(n, threshold).tolist() == want
+    got = spark.range(1, 400).select("id", mismatches_allowed(F.col("id"), threshold).alias("m")).orderBy("id").collect()
+    assert [r["m"] for r in got] == want
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9, 1.0])
