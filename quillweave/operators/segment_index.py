@@ -54,16 +54,15 @@ def entries(seqs: DataFrame, threshold: float) -> DataFrame:
     width = F.coalesce(*[F.when(fit >= w, F.lit(w)) for w in reversed(WIDTHS)], F.lit(0))
     sized = sized.select("*", F.struct(width.alias("width"), F.col("count")).alias("own"))
     most = dict(sized.groupBy("own.width").agg(F.max("own.count")).collect())  # a row per width
-    segments = lambda width, count: F.transform(
-        F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.xxhash64(F.lit(width), k, F.substring("seq", k * width + 1, F.lit(width)), *group)
-    )
+    # one pass over the letters for each width; places found by substring() would be counted from the start each time
+    cut = lambda width, count: F.slice(F.regexp_extract_all("seq", F.lit(f".{{{width}}}"), F.lit(0)), F.lit(1), count)
+    segments = lambda width, count: F.transform(cut(width, count), lambda x, k: F.xxhash64(F.lit(width), k, x, *group))
     none = F.lit(None).cast("array<bigint>")
     shorter, longer = none, []
     for width, count in sorted(most.items()):
         if width:
             shorter = F.when(F.col("own.width") == width, segments(width, F.col("own.count"))).otherwise(shorter)
-            room = F.least(F.lit(count), F.floor(F.col("size") / width).cast("int"))
-            longer.append(F.when(room > 0, segments(width, room)).otherwise(none))
+            longer.append(segments(width, F.lit(count)))
     one = F.array(F.xxhash64(F.lit(0), *group))  # the bucket of narrow segments
     shorter = F.when(F.col("own.width") == 0, one).otherwise(shorter)
     longer = [one, *longer] if 0 in most else [none, *longer]
