@@ -148,7 +148,8 @@ def repeated_runs(docs: DataFrame, rules: SpanRules = SpanRules(), id_col: str =
 
 def dedup(docs: DataFrame, rules: SpanRules = SpanRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the text cleaned; _n_sentences and _n_removed tell how much went."""
-    names = docs.columns
+    outer, names = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # so that further columns may have any name
+    docs, id_col, text_col = docs.toDF(*names), names[outer.index(id_col)], names[outer.index(text_col)]
     found = repeated_runs(docs, rules, id_col, text_col).toDF("_of", "_t", "_starts")
     same = (docs[id_col].cast("long") == found["_of"]) & (F.xxhash64(docs[text_col]) == found["_t"])
     df = docs.join(found, same, "left").select(*[docs[c] for c in names], "_starts")
@@ -170,7 +171,7 @@ def dedup(docs: DataFrame, rules: SpanRules = SpanRules(), id_col: str = "doc_id
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, [*names, "_n_sentences", "_n_removed"])
 
-    return df.mapInArrow(tidy(clean), schema)
+    return df.mapInArrow(tidy(clean), schema).toDF(*outer, "_n_sentences", "_n_removed")
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillweave.llm import chosen_path, multi_index, sentence_spans
 from quillweave.llm.components import connected_components
@@ -345,3 +346,17 @@ def test_sentence_spans_odd_rows(spark):
     long = " ".join(f"word{i}" for i in range(50_000))
     got = {r["doc_id"]: r["text"] for r in sentence_spans.dedup(spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")).collect()}
     assert got[1] == long and len(got[2]) < 200
+
+
+def test_further_columns_of_any_name(spark, small):
+    """A dot in a name, and names that the operators use themselves."""
+    import corpus_pipeline
+
+    passage = "One two three four five six seven eight nine ten. Eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty one."
+    rows = [(1, passage + " First tail of this text here.", "x"), (2, "Quite another start it has. " + passage, "y"), (3, passage + " First tail of this text here.", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("a.b", F.lit(7)).withColumn("_row", F.lit(8)).withColumn("c0", F.lit(9))
+    out = sentence_spans.dedup(docs)
+    assert out.columns == [*docs.columns, "_n_sentences", "_n_removed"]
+    assert {r["doc_id"]: (r["a.b"], r["c0"], passage in r["text"]) for r in out.collect()} == {1: (7, 9, True), 2: (7, 9, False), 3: (7, 9, False)}
+    kept = corpus_pipeline.near_duplicates(spark, docs, small)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["a.b"], r["_row"], r["c0"]) for r in kept.collect()) == [(1, 7, 8, 9), (2, 7, 8, 9)]
