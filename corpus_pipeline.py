@@ -34,14 +34,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text. Repeated rows are put together before the shuffle. Rows with neither doc_id nor words all stay, as they link
     with nothing.
     """
-    stay = chosen_path.jaccard_join(docs, hashed=True).where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_hash").alias("_hash")).distinct()
     names = docs.columns
-    bare = docs["doc_id"].isNull() & ~F.coalesce(docs["text"].rlike(WORD), F.lit(False))
-    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
-    rows = docs.where(~bare).select(docs["doc_id"].alias("_of"), F.xxhash64(docs["text"]).alias("_text"), row.alias("_row"), F.xxhash64(*[docs[c] for c in names]).alias("_order"))
+    inner = [f"c{i}" for i in range(len(names))]  # so that columns may have any name
+    docs, doc_id, text = docs.toDF(*inner), inner[names.index("doc_id")], inner[names.index("text")]
+    stay = chosen_path.jaccard_join(docs, id_col=doc_id, text_col=text, hashed=True).where("kept").select(F.col("doc_id").alias("_stay"), F.col("text_hash").alias("_hash")).distinct()
+    bare = F.col(doc_id).isNull() & ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    rows = docs.where(~bare).select(F.col(doc_id).alias("_of"), F.xxhash64(text).alias("_text"), F.struct(*inner).alias("_row"), F.xxhash64(*inner).alias("_order"))
     one = rows.groupBy("_of", "_text").agg(F.min_by("_row", "_order").alias("_row"))
     kept = one.join(stay, one["_of"].eqNullSafe(stay["_stay"]) & (one["_text"] == stay["_hash"]), "left_semi")
-    return kept.select("_row.*").toDF(*names).union(docs.where(bare))
+    return kept.select("_row.*").union(docs.where(bare)).toDF(*names)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
