@@ -3,10 +3,12 @@
 Every line of a text is judged by itself; lines that fail are removed, and a document that loses too much of its
 text is rejected. Words are runs of characters other than ASCII white space.
 
-Boilerplate is found in the data, in any language: a line that stands after very many different lines. Copies of a
-document repeat their lines after the same ones, so that they do not make boilerplate of each other. A line counts if it
-makes up more than one in boiler_share of all different pairs of a line and the one before; there are fewer than
-boiler_share such lines, whatever the corpus, which bounds what the driver gets and sends.
+Boilerplate is found in the data, in any language: a short line that stands after ten or more different lines. Copies of
+a document repeat their lines after the same ones, so that they do not make boilerplate of each other, and documents
+without a line say nothing about it, however many there are. Lines with their contexts are a table. It meets the lines of
+the texts by a join: lines that make up more than one in MANY rows, fewer than that, are sent to all tasks, the others
+are shuffled. The marks of a text go back to its rows by the text's hash; rows of texts that many rows share stay where
+they are. Of the texts, only the numbers per line are shuffled, unless the cleaned text is asked for.
 
 Cases: a null text has no words and fails the base rules; an empty text likewise. Apart from the boilerplate, to which
 each row adds its lines, rows are judged one by one, so repeated rows, ties and null ids change nothing; a share exactly
@@ -21,12 +23,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillweave.llm.common import SPACE, WORD, drop, saved, table
+from quillweave.llm.common import HOT, SPACE, WORD, saved, table
 
 #: How a line of prose closes: marks of several scripts, with quotes or brackets after them.
 CLOSING = r"[.!?:;,\u2026\u3002\uff01\uff1f][\"')\]\u201d\u2019\u00bb]*[\x20\x09-\x0D]*$"
 
 
+#: Lines that make up more than one in so many rows of the lines that are counted: fewer than that, whatever the corpus.
+MANY = 10_000
+
+
 @dataclass(frozen=True)
 class LineRules:
     """Limits of the line rules; a share is a fraction of the line's word characters or words."""
@@ -39,7 +45,6 @@ class LineRules:
     open_words: int = 4  # punctuation: a line of so many words or fewer must close with a mark
     boiler_letters: int = 160  # boilerplate: lines of so many characters at most
     boiler_contexts: int = 10  # boilerplate: different lines before it, at least
-    boiler_share: int = 10_000  # boilerplate: more than one in so many of all pairs of lines
     lost_share: float = 0.5  # document: word characters in removed lines beyond this
 
 
@@ -86,21 +91,48 @@ def _spread(starts: Column) -> Column:
     )
 
 
-def common_lines(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> list[int]:
-    """Hashes of the lines that are boilerplate in these documents, fewer than rules.boiler_share."""
-    hashed = F.transform(F.split(text_col, "\n", -1), lambda x: F.struct(F.when((F.length(x) <= rules.boiler_letters) & x.rlike(WORD), F.xxhash64(x)).alias("h"), F.xxhash64(x).alias("own")))
-    pairs = docs.select(hashed.alias("lines")).select(F.explode(F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), F.when(i > 0, F.get("lines", i - 1)["own"]).alias("before")))).alias("p"))
-    contexts = pairs.select("p.h", "p.before").where("h is not null").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    contexts = saved(contexts, "line-contexts")
-    total = contexts.agg(F.sum("n")).first()[0] or 0
-    limit = max(rules.boiler_contexts - 1, total // rules.boiler_share)
-    found = sorted(r["h"] for r in contexts.where(F.col("n") > limit).select("h").collect())
-    drop(contexts)
-    return found
+def _line_rows(texts: DataFrame, rules: LineRules) -> DataFrame:
+    """key, i, h and before of each line of texts (key, text) that may be boilerplate; before: hash of the line before."""
+    hashed = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.when((F.length(x) <= rules.boiler_letters) & x.rlike(WORD), F.xxhash64(x)).alias("h"), F.xxhash64(x).alias("own")))
+    line = F.transform("lines", lambda x, i: F.struct(i.alias("i"), x["h"].alias("h"), F.when(i > 0, F.get("lines", i - 1)["own"]).alias("before")))
+    return texts.select("key", hashed.alias("lines")).select("key", F.explode(line).alias("x")).select("key", "x.*").where("h is not null")
+
+
+def boilerplate(texts: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """key and places, in order, of the boilerplate lines of texts (key, text): a stored table, a row per key with any."""
+    lines = _line_rows(texts, rules)
+    seen = lines.groupBy("h", "before").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("m"))
+    facts = saved(seen.where(F.col("m") >= rules.boiler_contexts), "line-contexts")
+    limit, common = (facts.agg(F.sum("m")).first()[0] or 0) // MANY, F.col("n") >= rules.boiler_contexts
+    many, few = facts.where(F.col("m") > limit), facts.where((F.col("m") <= limit) & common)
+    lines = lines.select("key", "i", "h")
+    marked = lines.join(F.broadcast(many.where(common).select("h")), "h")
+    marked = marked.unionByName(lines.join(F.broadcast(many.select("h")), "h", "left_anti").join(few.select("h"), "h"))
+    return saved(marked.groupBy("key").agg(F.sort_array(F.collect_set("i")).alias("places")), "line-marks", facts)
+
+
+def _with_places(rows: DataFrame, texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows (with key) and the places that marks give for their key; keys of over one in HOT rows are sent to all tasks."""
+    copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > texts.count() // HOT)
+    hot = copies.join(marks, "key", "left").select("key", F.coalesce("places", F.array().cast("array<int>")).alias("hot_places"))
+    rows = rows.join(F.broadcast(hot), "key", "left")
+    aside = F.when(F.col("hot_places").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
+    out = rows.withColumn("aside", aside.cast("int")).join(marks.withColumn("aside", F.lit(0)), ["key", "aside"], "left")
+    return out.withColumn("places", F.coalesce("hot_places", "places", F.array().cast("array<int>"))).drop("hot_places", "aside", "key")
 
 
-def line_fails(line: Column, words: Column, chars: Column, symbols: Column, common: list[int], rules: LineRules = LineRules()) -> Column:
-    """Whether a line fails a rule of punctuation, navigation or boilerplate; symbols: of the whole text; common: hashes."""
+def _others(lines: Column, places: Column) -> Column:
+    """The elements that do not stand at these sorted places."""
+
+    def between(k: Column) -> Column:
+        lo = F.when(k > 0, F.get(places, k - 1) + 1).otherwise(0)
+        return F.slice(lines, lo + 1, F.coalesce(F.get(places, k), F.size(lines)) - lo)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), between))
+
+
+def line_fails(line: Column, words: Column, chars: Column, symbols: Column, rules: LineRules = LineRules()) -> Column:
+    """Whether a line by itself fails a rule of punctuation, navigation or boilerplate; symbols: of the whole text."""
     n = F.size(words)
     marked = (symbols > 0) & (_symbols(line) > rules.symbol_share * chars)
     shouts = line.contains("!!") & (n >= 2) & (F.size(F.filter(words, lambda w: w.endswith("!!"))) > rules.shout_share * n)
@@ -110,34 +142,48 @@ def line_fails(line: Column, words: Column, chars: Column, symbols: Column, comm
     again = lambda: F.size(F.filter(words, lambda w, i: F.get(words, i - 1) == w))
     stutter = (n >= 4) & (F.size(F.array_distinct(words)) <= (1 - rules.stutter_share) * n) & (again() > rules.stutter_share * n)
     open_ = (n <= rules.open_words) & ~line.rlike(CLOSING)
-    out = marked | shouts | navigation | stutter | open_
-    return out | (F.length(line) <= rules.boiler_letters) & F.xxhash64(line).isin(common) if common else out
+    return marked | shouts | navigation | stutter | open_
 
 
 def line_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Per row: counts, base verdict, kept, the cleaned text and the word characters that removed lines held."""
-    common = common_lines(docs, text_col, rules)
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = df.select("key", "text")
+    marks = boilerplate(texts, rules)
     line = lambda x: _let(split_words(x), lambda w: F.struct(x.alias("line"), w.alias("words"), F.length(F.array_join(w, "")).alias("chars")))
-    df = df.select("doc_id", F.transform(F.split("text", "\n", -1), line).alias("lines"), _symbols(F.col("text")).cast("long").alias("n_symbols"))
-    fails = lambda x: (x["chars"] > 0) & line_fails(x["line"], x["words"], x["chars"], F.col("n_symbols"), common, rules)
+    df = df.select("doc_id", "key", "text", F.transform(F.split("text", "\n", -1), line).alias("lines"), _symbols(F.col("text")).cast("long").alias("n_symbols"))
+    # word characters of a line, -1 if it fails by itself
+    own = lambda x: F.when(x["chars"] == 0, 0).when(line_fails(x["line"], x["words"], x["chars"], F.col("n_symbols"), rules), -1).otherwise(x["chars"])
     df = df.select(
         "doc_id",
+        "key",
+        "text",
         F.flatten(F.col("lines.words")).alias("words"),
         "n_symbols",
         F.transform(F.filter("lines", lambda x: x["chars"] > 0), lambda x: x["line"]).alias("worded"),
         F.aggregate(F.col("lines.chars"), F.lit(0).cast("long"), lambda a, x: a + x).alias("word_chars"),
-        F.filter("lines", lambda x: ~fails(x)).alias("good"),
+        F.transform("lines", own).alias("own"),
     )
     df = df.select(
         "doc_id",
+        "key",
+        "text",
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.array_join(F.col("good.line"), "\n").alias("clean_text"),
-        (F.col("word_chars") - F.aggregate(F.col("good.chars"), F.lit(0).cast("long"), lambda a, x: a + x)).alias("lost_chars"),
+        "own",
+    )
+    df = _with_places(df, texts, marks)
+    zipped = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), F.get("own", i).alias("own")))
+    good = _let(zipped, lambda z: F.filter(_others(z, F.col("places")), lambda x: x["own"] >= 0))
+    total = lambda values, at: F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.lit(0), at(x)))
+    left = total(F.col("own"), lambda x: x) - total(F.col("places"), lambda p: F.get("own", p))
+    df = df.select(
+        *("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
+        F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("clean_text"),
+        (F.col("word_chars") - left).alias("lost_chars"),
     )
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= rules.lost_share * F.col("word_chars")))
@@ -157,7 +203,7 @@ l as (select k, n_symbols, x.line as line, x.i as i, regexp_extract_all(x.line,
   from (select k, n_symbols, unnest(list_transform(string_split(text, chr(10)), lambda line, i: {{'line': line, 'i': i}})) as x from w)),
 p as (select distinct line, lag(line) over (partition by k order by i) as before from l qualify length(line) <= {_R.boiler_letters} and len(lw) > 0),
 c as (select line, count(*) as n from p group by line),
-common as (select line from c where n > greatest({_R.boiler_contexts - 1}, (select sum(n) from c) // {_R.boiler_share})),
+common as (select line from c where n >= {_R.boiler_contexts}),
 f as (select k, line, len(lw) as n, list_sum(list_transform(lw, lambda x: length(x))) as chars,
   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) as marks, len(list_filter(lw, lambda x: ends_with(x, '!!'))) as shouts,
   len(list_filter(lw, lambda x: x = '|')) as bars, len(list_distinct(lw)) as kinds, len(list_filter(lw, lambda x, i: i > 1 and lw[i - 1] = x)) as again

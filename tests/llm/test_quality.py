@@ -164,6 +164,22 @@ def test_boilerplate_is_found_in_the_data(spark):
     assert all(r["lost_chars"] == len(footer.replace(" ", "")) for r in got[:30])
 
 
+def test_boilerplate_does_not_depend_on_other_documents(spark):
+    """Sixty documents with one footer lose it alone and beside a thousand others; copies that many rows share, too."""
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)) + "."
+    footer = "All of these pages are printed on the paper of the mill."
+    texts = [f"{prose(60)}\n{footer}\n\n{prose(9)}\n{footer}" for _ in range(60)]
+    others = ["\n".join(prose(9) for _ in range(20)) for _ in range(1000)] + [texts[0]] * 500 + [prose(70)] * 500
+    clean = []
+    for rows in (texts, texts + others):
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+        got = [r["clean_text"] for r in line_rules.line_clean(df).orderBy("doc_id").collect()]
+        clean.append(got[:60])
+        assert got[60:] == others[: len(got) - 60][:1000] + ["\n".join(x for x in t.split("\n") if x != footer) for t in others[1000:]][: max(0, len(got) - 1060)]
+    assert clean[0] == clean[1] == ["\n".join(x for x in t.split("\n") if x != footer) for t in texts]
+
+
 def test_line_rules_ties(spark):
     """Shares exactly at a limit pass: half of the text lost, half of the words in repeated windows."""
     half = "|" + "a" * 99
