@@ -15,6 +15,7 @@ from quillweave.operators.similarity_filter import greedy_filter
 from quillweave.plans.config import ScoringConfig
 from quillweave.plans.store import saved
 from quillweave.sources.readers import read_sequences
+from quillweave.sources.tiles import write_triangle
 
 Writer = Callable[[DataFrame, DataFrame, str, int, bool], None]
 WRITERS: dict[str, Writer] = {}
@@ -55,7 +56,17 @@ def write_hdf5(seqs: DataFrame, scores: DataFrame, path: str, compression: int,
             table[row["ord"]] = row["scores"]
 
 
+def write_packed(seqs: DataFrame, scores: DataFrame, path: str, compression: int, overwrite: bool) -> None:
+    """sequences as Parquet, similarity as a packed triangle, which is read by rows (sources/tiles.py)."""
+    if not 0 <= compression <= 9:
+        raise ValueError("compression is a level from 0 to 9")
+    mode = "overwrite" if overwrite else "errorifexists"
+    seqs.repartitionByRange("ord").sortWithinPartitions("ord").write.mode(mode).parquet(f"{path}/sequences")
+    write_triangle(scores, seqs.count(), f"{path}/similarity", overwrite, compression)
+
+
 register_writer("parquet", write_parquet)
+register_writer("triangle", write_packed)
 register_writer("hdf5", write_hdf5)
 
 

@@ -1,12 +1,14 @@
 """Queries of the sequence operators, and SQL for those that SQL can express.
 
-The queries with SQL take the distinct part names, which are 62 to 64 short strings at any size, as SQL is too slow for
-more. Each has a twin, named with _whole and without SQL, over a whole table with its copies: all rows of part where
-pairs are made, all documents where one pass is enough. Whole benchmark texts show the speed of the batched kernel.
+The queries of pairs take the distinct part names, which are 62 to 64 short strings at any size. Each has a twin, named
+with _whole, over a whole table with its copies: all rows of part where pairs are made, all documents where one pass is
+enough. SQL of a twin scores the distinct names and joins their copies to it. Whole benchmark texts show the speed of the
+batched kernel.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import uuid
 
@@ -25,6 +27,7 @@ from quillweave.plans.run import align
 from quillweave.plans.store import Scope, saved, shared_folder
 from quillweave.sources.fasta_source import read_records
 from quillweave.sources.readers import read_sequences
+from quillweave.sources.tiles import read_triangle, write_triangle
 from quillweave.streaming.incremental import score_stream
 
 ALPHABETS = {"protein": AMINO, "dna": NUCLEOTIDE}
@@ -180,21 +183,62 @@ def _blosum(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "a string, b string, weight double, score int")
 
 
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog, with the number of part names that a matrix can score as they are."""
+    name = strip_blanks(upper_ascii(F.col("p_name")))
+    fits = [F.struct(F.lit(kind).alias("kind"), F.count_if(name.rlike(f"^[{letters}]+$")).alias("fits")) for kind, letters in (("amino", AMINO), ("nucleotide", NUCLEOTIDE))]
+    counted = _table(spark, d, "part").agg(F.array(*fits).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return list_matrices(spark).join(F.broadcast(counted), "kind").select("name", "kind", "fits")
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix in long form, with the number of places where its two letters follow each other in the names of all parts."""
+    names = part_rows(spark, d).where(F.length("seq") > 1)
+    two = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - 1), lambda k: F.substring("seq", k, F.lit(2)))).alias("two"))
+    counted = two.groupBy("two").agg(F.count(F.lit(1)).alias("n"))  # 576 rows at most
+    cells = matrix_rows(spark, "blosum62").withColumn("two", F.concat("a", "b"))
+    return cells.join(F.broadcast(counted), "two", "left").select("a", "b", "score", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _triangle(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the matrix of all part names, summed up, from the packed triangle that the scores were written to."""
+    path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}"
+    seqs = saved(part_rows(spark, d), "part-rows")
+    write_triangle(score_all(seqs, CONFIGS["nw", "protein"]), seqs.count(), path)
+    rows = read_triangle(spark, path, symmetric=True).groupBy(F.col("i").alias("ord"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
 #: Spellings of methods, and gaps that a configuration may be given.
 SPELLINGS = {"nw": ["NW", "Needleman-Wunsch"], "ga": ["ga", "GOTOH"], "sw": ["Sw", "smith-waterman"]}
 GAPS = [None, -1, 0, 4]
 
 
+@functools.cache
+def _scored_by(given: str, *gaps: str) -> str:
+    try:
+        return ScoringConfig(given, "BLOSUM62", *(int(g) if g else None for g in gaps)).resolved().method
+    except ValueError:
+        return "none"
+
+
 def _gap_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each configuration is accepted, and the method that it is then scored by."""
-    rows = []
-    for given, *gaps in itertools.product(itertools.chain(*SPELLINGS.values()), GAPS, GAPS, GAPS):
-        try:
-            found = ScoringConfig(given, "BLOSUM62", *gaps).resolved().method
-        except ValueError:
-            found = "none"
-        rows.append((given, *("" if g is None else str(g) for g in gaps), found))
-    return spark.createDataFrame(rows, "given string, gap string, gap_open string, gap_extend string, scored_by string")
+    """A configuration from the numbers of each part: whether it is accepted, and the method that it is then scored by."""
+
+    def judge(batches):
+        for b in batches:
+            b["scored_by"] = [_scored_by(*x) for x in zip(b["given"], b["gap"], b["gap_open"], b["gap_extend"])]
+            yield b
+
+    names = [*itertools.chain(*SPELLINGS.values())]
+    one_of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
+    gap = lambda k: one_of(["" if g is None else str(g) for g in GAPS], k)
+    key, size = F.col("p_partkey"), F.col("p_size")
+    rows = _table(spark, d, "part").select(
+        *("p_partkey", one_of(names, key).alias("given"), gap(F.floor(key / len(names))).alias("gap")),
+        *(gap(size).alias("gap_open"), gap(F.floor(size / len(GAPS))).alias("gap_extend")),
+    )
+    return rows.mapInPandas(judge, "p_partkey long, given string, gap string, gap_open string, gap_extend string, scored_by string")
 
 
 def _set_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -234,8 +278,9 @@ def _operators(linear, pairs, end: str = "") -> dict:
 
 
 QUERIES = {
-    "q_list_matrices": lambda spark, d: list_matrices(spark),
-    "q_matrix_scores": lambda spark, d: matrix_rows(spark, "blosum62"),
+    "q_list_matrices": _catalog,
+    "q_matrix_scores": _matrix,
+    "q_matrix_triangle": _triangle,
     "q_derive_protein": _derive("protein"),
     "q_derive_dna": _derive("dna"),
     "q_length_stats": _stats,
@@ -349,10 +394,10 @@ _ARRIVING = (
     .replace("p as (select a.ord as i, b.ord as j, a.v as r, b.v as k from c a join c b on a.ord < b.ord)", "p as (select c.ord as i, cast(n.name as bigint) as j, c.v as r, n.v as k from c, (select name, list_transform(string_split(seq, ''), lambda x: strpos('" + AMINO + "', x) - 1) as v from a where seq <> '') n)")
     .replace("select i, j, cast((", "select i as ord, j as name, cast((")
 )
-_GAP_RULES = f"""with m(given, method) as (values {", ".join(f"('{x}', '{m}')" for m, names in SPELLINGS.items() for x in names)}),
-v(x) as (values {", ".join("(cast(null as integer))" if x is None else f"({x})" for x in GAPS)}),
-c as (select given, method, g.x as gap, o.x as gap_open, e.x as gap_extend from m, v g, v o, v e)
-select given, coalesce(gap::varchar, '') as gap, coalesce(gap_open::varchar, '') as gap_open, coalesce(gap_extend::varchar, '') as gap_extend, coalesce(case
+_GAP_LIST = f"[{', '.join('null' if g is None else str(g) for g in GAPS)}]"
+_GAP_RULES = f"""with m(k, given, method) as (values {", ".join(f"({k}, '{x}', '{m}')" for k, (x, m) in enumerate((x, m) for m, names in SPELLINGS.items() for x in names))}),
+c as (select p_partkey, given, method, {_GAP_LIST}[p_partkey // 6 % 4 + 1] as gap, {_GAP_LIST}[p_size % 4 + 1] as gap_open, {_GAP_LIST}[p_size // 4 % 4 + 1] as gap_extend from part join m on m.k = p_partkey % 6)
+select p_partkey, given, coalesce(gap::varchar, '') as gap, coalesce(gap_open::varchar, '') as gap_open, coalesce(gap_extend::varchar, '') as gap_extend, coalesce(case
   when least(coalesce(gap, 0), coalesce(gap_open, 0), coalesce(gap_extend, 0)) < 0 then null
   when method = 'nw' then case when gap is not null and gap_open is null and gap_extend is null then 'nw' end
   when gap is not null or gap_open is null or gap_extend is null then null
@@ -379,12 +424,43 @@ b as (select g.x, g.y, weight, q, log2(q * case when g.x = g.y then 1 else 0.5 e
 h as (select greatest(2, round(2 / sqrt(sum(q * bits)))) as unit from b)
 select '{AMINO}'[x] as a, '{AMINO}'[y] as b, round(weight, 6) as weight, cast(round(bits * unit) as integer) as score from b, h"""
 
+def _copies(w: str, kind: str = "protein") -> str:
+    """Common tables up to v (i, j, score) of all rows of part: w's tables score the distinct names, equal ones as well."""
+    return f"""{w.replace("c a join c b on a.ord < b.ord", "c a join c b on a.ord <= b.ord")},
+raw as (select p_partkey as key, {_derived("p_name", kind)} as seq from part where {_derived("p_name", kind)} <> ''),
+x as (select raw.seq, s.ord as u, cast(row_number() over (order by key) - 1 as integer) as ord from raw join s using (seq)),
+v as (select a.ord as i, b.ord as j, w.score from x a join x b on a.ord < b.ord join w on w.i = least(a.u, b.u) and w.j = greatest(a.u, b.u))"""
+
+
+def _whole_scores(method: str, kind: str) -> str:
+    cfg = CONFIGS[method, kind]
+    w = _linear(cfg.matrix, cfg.gap, kind) if method == "nw" else _affine(cfg.matrix, cfg.gap_open, cfg.gap_extend, kind, method == "sw")
+    return f"with recursive {_copies(w, kind)} select i, j, score from v"
+
+
+_V = _copies(_W)
+_WHOLE_LONG = "select i, j, score from v union all select j, i, score from v union all select ord, ord, 0 from x"
+_PART = _rows("part")
+_NAME = "upper(replace(p_name, ' ', ''))"
+
 ORACLE_SQL: dict[str, str] = {
     "q_blosum_estimate": _BLOSUM,
-    "q_list_matrices": "select * from (values "
+    "q_list_matrices": f"with f as (select count(*) filter (regexp_full_match({_NAME}, '[{AMINO}]+')) as amino, count(*) filter (regexp_full_match({_NAME}, '[{NUCLEOTIDE}]+')) as nucleotide from part) select name, kind, case kind when 'amino' then amino else nucleotide end as fits from f, (values "
     + ", ".join([f"('{n}', 'amino')" for n in [*BLOSUM_NAMES, *PAM_NAMES]] + [f"('{n}', 'nucleotide')" for n in NUCLEOTIDE_NAMES])
     + ") t(name, kind)",
-    "q_matrix_scores": f"with {_flat('blosum62')}, u as (select unnest(range(1, {len(AMINO)} + 1)) as x), p as (select i.x as i, j.x as j from u i, u j) select '{AMINO}'[i] as a, '{AMINO}'[j] as b, cast(f[(i - 1) * {STRIDE} + j] as integer) as score from p, f",
+    "q_matrix_scores": f"with {_flat('blosum62')}, u as (select unnest(range(1, {len(AMINO)} + 1)) as x), p as (select i.x as i, j.x as j, '{AMINO}'[i.x] as a, '{AMINO}'[j.x] as b from u i, u j), {_PART}, l as (select seq, unnest(range(1, length(seq))) as k from s), g as (select seq[k:k + 1] as two, count(*) as n from l group by all) select a, b, cast(f[(i - 1) * {STRIDE} + j] as integer) as score, coalesce(n, 0) as n from f, p left join g on two = a || b",
+    "q_matrix_triangle": f"with {_V}, m as (select i, score from v union all select j, score from v) select i as ord, count(*) as n, cast(sum(score) as bigint) as total, min(score) as least, max(score) as most from m group by i",
+    "q_encode_whole": f"with {_rows('documents')}, u as (select ord, seq, unnest(range(1, length(seq) + 1)) as k from s) select ord, cast(k as integer) as pos, cast(strpos('{AMINO}', seq[k]) - 1 as integer) as code from u",
+    "q_pairs_whole": f"with {_PART} select a.ord as i, b.ord as j {_PAIRS}",
+    "q_pair_index_whole": f"with {_PART} select cast(b.ord as bigint) * (b.ord - 1) // 2 + a.ord as pair_id, a.ord as i, b.ord as j {_PAIRS}",
+    "q_identity_whole": f"with {_PART} select a.ord as i, b.ord as j, {_HAMMING} as identity {_PAIRS}",
+    "q_filter_edges_05_whole": f"with {_PART} select a.ord as i, b.ord as j {_PAIRS} where {_HAMMING} >= cast(0.5 as float)",
+    **{f"q_{m}_{k}_whole": _whole_scores(m, k) for m, k in CONFIGS},
+    **{f"q_{m}_sql_backend_whole": _whole_scores(m, "protein") for m in ("nw", "ga", "sw")},
+    "q_ga_equal_gap_rewrite_whole": f"with {_V} select i, j, score from v",
+    "q_matrix_long_whole": f"with {_V} {_WHOLE_LONG}",
+    "q_matrix_dense_whole": f"with {_V}, m as ({_WHOLE_LONG}) select i as ord, array_to_string(list(score order by j), ' ') as scores from m group by i",
+    "q_filtered_nw_whole": f"with {_linear('blosum62', 4, 'protein', _greedy(0.5, _PART).replace('z as (', 'kept as (')).replace('from s)', 'from kept)')} select i, j, score from w",
     "q_fasta_folder": f"with {_rows('documents')} select ord, seq from s",
     "q_fasta_source": f"with {_rows('documents')} select ord, seq from s",
     "q_sink_parquet": f"with {_W}, m as ({_LONG}), r as (select i as ord, array_to_string(list(score order by j), ' ') as scores from m group by i) select ord, seq, scores from s join r using (ord)",

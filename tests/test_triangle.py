@@ -72,3 +72,14 @@ def test_no_pairs(spark, tmp_path):
     _, df = scores_of(spark, 1)
     write_triangle(df, 1, f"{tmp_path}/t")
     assert read_triangle(spark, f"{tmp_path}/t").count() == 0
+
+
+def test_a_whole_run_writes_it(spark, tmp_path):
+    from quillweave.plans.config import ScoringConfig
+    from quillweave.plans.run import align
+
+    seqs = spark.createDataFrame([(0, "ACDE"), (1, "ACD"), (2, "WWW")], "ord int, seq string")
+    run = align(spark, seqs, ScoringConfig("nw", "blosum62", gap=4), f"{tmp_path}/out", compression=3, format="triangle")
+    got = sorted(tuple(r) for r in read_triangle(spark, f"{tmp_path}/out/similarity").collect())
+    assert got == sorted(tuple(r) for r in run.scores.select("i", "j", "score").collect()) and len(got) == 3
+    assert spark.read.parquet(f"{tmp_path}/out/sequences").count() == 3
