@@ -58,13 +58,9 @@ def block_of(n: int, cores: int, most: int = 512) -> int:
     return max(1, min(most, math.ceil(n / blocks)))
 
 
-def block_pairs(seqs: DataFrame, of_blocks: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int | None = None) -> DataFrame:
-    """What of_blocks makes of every two blocks (and of each with itself) of so many consecutive sequences.
-
-    Each sequence is sent once for every block that its own meets; a task holds two blocks, whatever the number of
-    sequences. of_blocks gets ord and seq of both and must itself drop pairs that are not i < j. The number of tasks is
-    set here, as adaptive execution joins small tasks by their bytes, which say little about the work of pairs.
-    """
+def tiles(seqs: DataFrame, block: int | None = None) -> tuple[DataFrame, int]:
+    """ord, seq, their own block mine, and the tile (lo, hi) they are sent to, for every two blocks of so many consecutive
+    sequences and each with itself; and a number of tasks for them."""
     spark = seqs.sparkSession
     n = seqs.agg(F.max("ord")).first()[0]
     n = 0 if n is None else n + 1
@@ -73,7 +69,17 @@ def block_pairs(seqs: DataFrame, of_blocks: Callable[[pd.DataFrame, pd.DataFrame
     mine = F.floor(F.col("ord") / block).cast("int")
     sent = seqs.select("ord", "seq", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))).alias("other"))
     sent = sent.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    tasks = max(1, min(blocks * (blocks + 1), MAX_TASKS))
+    return sent, max(1, min(blocks * (blocks + 1), MAX_TASKS))
+
+
+def block_pairs(seqs: DataFrame, of_blocks: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int | None = None) -> DataFrame:
+    """What of_blocks makes of every two blocks (and of each with itself) of so many consecutive sequences.
+
+    Each sequence is sent once for every block that its own meets; a task holds two blocks, whatever the number of
+    sequences. of_blocks gets ord and seq of both and must itself drop pairs that are not i < j. The number of tasks is
+    set here, as adaptive execution joins small tasks by their bytes, which say little about the work of pairs.
+    """
+    sent, tasks = tiles(seqs, block)
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillweave.functions import sql_kernels
-from quillweave.operators.pairs import block_pairs
+from quillweave.operators.pairs import block_pairs, tiles
 from quillweave.operators.similarity_filter import paired_identity
 from quillweave.plans.config import ScoringConfig
 
@@ -65,3 +65,33 @@ def register_functions(spark: SparkSession, config: ScoringConfig) -> None:
         return pd.Series(paired_identity(a.tolist(), b.tolist()))
 
     spark.udf.register("positional_identity", identity)
+
+
+def register_table_function(spark: SparkSession, config: ScoringConfig, name: str = "align_tiles") -> None:
+    """A table function for SQL: i, j, score of the pairs i < j of each tile of a table as tiles() makes it, called as
+    align_tiles(table(t) partition by (lo, hi)). A tile's sequences come one by one, its pairs are scored at once."""
+    cfg = config.resolved()
+    m, (o, e), kernel = cfg.load(), cfg.gaps, cfg.kernel
+    lookup, scores = m.lookup, m.scores
+
+    class AlignTiles:
+        def __init__(self):
+            self.left, self.right = {}, {}
+
+        def eval(self, row):
+            for side, block in ((self.left, row["lo"]), (self.right, row["hi"])):
+                if row["mine"] == block:
+                    side[row["ord"]] = row["seq"]
+
+        def terminate(self):
+            pairs = [(i, j) for j in sorted(self.right) for i in sorted(self.left) if i < j]
+            if pairs:
+                found = kernel([self.right[j] for _, j in pairs], [self.left[i] for i, _ in pairs], lookup, scores, o, e)
+                yield from ((i, j, int(x)) for (i, j), x in zip(pairs, found))
+
+    spark.udtf.register(name, F.udtf(AlignTiles, returnType="i int, j int, score int"))
+
+
+def tiles_view(seqs: DataFrame, name: str, block: int | None = None) -> None:
+    """Sequences as a temporary view of tiles, for the table function."""
+    tiles(seqs, block)[0].createOrReplaceTempView(name)

@@ -19,7 +19,7 @@ from quillweave.functions.matrices import AMINO, BLOSUM_NAMES, NUCLEOTIDE, NUCLE
 from quillweave.operators.blosum import pair_weights, scores
 from quillweave.operators.matrix import dense_matrix, long_matrix
 from quillweave.operators.pairs import all_pairs, identified_pairs
-from quillweave.operators.score import register_functions, score_all, score_pairs
+from quillweave.operators.score import register_functions, register_table_function, score_all, score_pairs, tiles_view
 from quillweave.operators.sequences import SequenceError, check, derive, encoded, from_dataframe, letters, report, renumber, stats, strip_blanks, upper_ascii
 from quillweave.operators.similarity_filter import edges, greedy_filter, identity_shares, similar_pairs
 from quillweave.plans.config import ScoringConfig
@@ -163,6 +163,14 @@ def _functions(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"select i, j, align_score(seq_j, seq_i) as score, positional_identity(seq_i, seq_j) as identity from {name}")
 
 
+def _table_function(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the names of all parts by the table function, from SQL."""
+    register_table_function(spark, CONFIGS["nw", "protein"])
+    name = f"tiles_{uuid.uuid4().hex}"
+    tiles_view(part_rows(spark, d), name)
+    return spark.sql(f"select i, j, score from align_tiles(table({name}) partition by (lo, hi))")
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """Names of all nations as they arrive, against the part names."""
     path = f"{shared_folder(spark)}/quillweave/{uuid.uuid4().hex}"
@@ -295,6 +303,7 @@ QUERIES = {
     "q_similar_documents_09": lambda spark, d: similar_pairs(document_seqs(spark, d), 0.9),
     "q_filter_documents_09": lambda spark, d: greedy_filter(document_seqs(spark, d), 0.9),
     "q_sql_functions": _functions,
+    "q_table_function": _table_function,
     "q_stream_scores": _stream,
     "q_gap_rules": _gap_rules,
     "q_set_checks": _set_checks,
@@ -457,6 +466,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_filter_edges_05_whole": f"with {_PART} select a.ord as i, b.ord as j {_PAIRS} where {_HAMMING} >= cast(0.5 as float)",
     **{f"q_{m}_{k}_whole": _whole_scores(m, k) for m, k in CONFIGS},
     **{f"q_{m}_sql_backend_whole": _whole_scores(m, "protein") for m in ("nw", "ga", "sw")},
+    "q_table_function": _whole_scores("nw", "protein"),
     "q_ga_equal_gap_rewrite_whole": f"with {_V} select i, j, score from v",
     "q_matrix_long_whole": f"with {_V} {_WHOLE_LONG}",
     "q_matrix_dense_whole": f"with {_V}, m as ({_WHOLE_LONG}) select i as ord, array_to_string(list(score order by j), ' ') as scores from m group by i",
