@@ -110,12 +110,15 @@ def joined(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how:
     """rows with the facts of their key. facts: one row per key, with the number n of rows that have it, of total rows.
 
     Facts of keys with over total / HOT rows, HOT at most, are sent to all tasks, so that such rows stay where they are;
-    the others are joined by shuffle, no key having more than its share. rows and facts should be stored tables.
+    the others are joined by shuffle, no key having more than its share. Rows without a key have no facts and stay where
+    they are, too. rows and facts should be stored tables.
     """
     limit = total // HOT
     many = F.broadcast(facts.where(F.col(n) > limit).drop(n))  # fewer than HOT rows
-    few = rows.join(many.select(key), key, "left_anti").join(facts.where(F.col(n) <= limit).drop(n), key, how)
-    return few.unionByName(rows.join(many, key).select(few.columns))
+    some = rows.where(F.col(key).isNotNull())
+    few = some.join(many.select(key), key, "left_anti").join(facts.where(F.col(n) <= limit).drop(n), key, how)
+    out = few.unionByName(some.join(many, key).select(few.columns))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

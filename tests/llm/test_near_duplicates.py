@@ -360,3 +360,28 @@ def test_further_columns_of_any_name(spark, small):
     assert {r["doc_id"]: (r["a.b"], r["c0"], passage in r["text"]) for r in out.collect()} == {1: (7, 9, True), 2: (7, 9, False), 3: (7, 9, False)}
     kept = corpus_pipeline.near_duplicates(spark, docs, small)
     assert kept.columns == docs.columns and sorted((r["doc_id"], r["a.b"], r["_row"], r["c0"]) for r in kept.collect()) == [(1, 7, 8, 9), (2, 7, 8, 9)]
+
+
+def test_rows_without_a_key_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from quillweave.llm.common import joined
+
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in zip(names, ("false", "-1", "8")):
+            spark.conf.set(k, v)
+        key = F.when(F.col("id") % 2 == 0, F.col("id") % 5000).when(F.col("id") % 10 == 1, F.lit(1))
+        rows = spark.range(0, 40_000, 1, 16).withColumn("k", key)
+        facts = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("twice", 2 * F.col("k"))
+        out = joined(rows, facts, "k", "n", 40_000)
+        got = out.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = lambda i: i % 5000 if i % 2 == 0 else 1 if i % 10 == 1 else None
+    assert sorted(r["id"] for r in got) == list(range(40_000))
+    assert all(r["k"] == want(r["id"]) and r["twice"] == (None if r["k"] is None else 2 * r["k"]) for r in got)
+    parts = [r["part"] for r in got]
+    assert max(parts.count(p) for p in set(parts)) < 4000
